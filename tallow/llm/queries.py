@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, packing
+from . import language_id, licenses, mixing, packing, secrets
 from .common import id_crc, read_table
 
 
@@ -32,5 +32,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_mixing, op4_license_scan)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.forest(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_mixing, op4_license_scan, op10_secret_scan)}
 ORACLES = {"op3_mixing": mixing.ORACLE, "op4_license_scan": licenses.oracle()}
