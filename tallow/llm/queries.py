@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, mixing, packing, secrets
-from .common import id_crc, read_table
+from . import language_id, licenses, media, mixing, packing, secrets, warc
+from .common import id_crc, new_dir, read_table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +36,37 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"), secrets.forest(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_mixing, op4_license_scan, op10_secret_scan)}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = new_dir(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), base)
+    return warc.read(spark, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    read_back = media.with_features(media.with_media(docs))
+    return read_back.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "features.payload_bytes",
+        "features.payload_sha256",
+        "features.tail_crc32",
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "features.feature",
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_best_fit_packing,
+        op3_mixing,
+        op4_license_scan,
+        op5_warc,
+        op6_media,
+        op10_secret_scan,
+    )
+}
 ORACLES = {"op3_mixing": mixing.ORACLE, "op4_license_scan": licenses.oracle()}
