@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, media, mixing, packing, secrets, warc
+from . import language_id, licenses, media, mixing, packing, secrets, spotsigs, warc
 from .common import id_crc, new_dir, read_table
 
 
@@ -57,6 +57,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_edits(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES = {
         op4_license_scan,
         op5_warc,
         op6_media,
+        op9_fingerprints,
         op10_secret_scan,
     )
 }
