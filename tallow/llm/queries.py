@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, media, mixing, packing, secrets, spotsigs, warc
+from . import language_id, licenses, media, mixing, packing, quality, secrets, spotsigs, warc
 from .common import id_crc, new_dir, read_table
 
 
@@ -61,6 +61,15 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = id_crc() % 5 == 0
+    model = quality.fit(docs, labels, where=~held_out)
+    scored = quality.with_scores(docs.select("doc_id", "text"), model)
+    score = F.col("quality_score.score")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +79,7 @@ QUERIES = {
         op4_license_scan,
         op5_warc,
         op6_media,
+        op7_quality,
         op9_fingerprints,
         op10_secret_scan,
     )
