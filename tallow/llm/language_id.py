@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 UNDETERMINED = "und"
 #: A multiplier for hashing 64-bit keys (2**64 divided by the golden ratio, odd).
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -263,4 +265,5 @@ def predictor(trees: ContextTrees, sc) -> Callable[[Column], Column]:
 
 def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", out: str = "language") -> DataFrame:
     """docs and a struct column `out` (replacing one of that name): lang_pred, score, bits_per_byte."""
+    ship(docs.sparkSession)
     return docs.withColumn(out, predictor(trees, docs.sparkSession.sparkContext)(F.col(text)))

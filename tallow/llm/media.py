@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _IDAT = 1 << 20
@@ -151,6 +153,7 @@ def with_media(df: DataFrame, payload: str = "text", out: str = "media") -> Data
         for batch in batches:
             yield pa.array([encode_png(padded(b or b"")) for b in batch.to_pylist()], pa.binary())
 
+    ship(df.sparkSession)
     return df.withColumn(out, stored_as_png.asNondeterministic()(F.col(payload).cast("binary")))
 
 
@@ -170,4 +173,5 @@ def with_features(df: DataFrame, media: str = "media", out: str = "features") ->
                 hashes.append(cosine_hash(samples))
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(tails, pa.int64()), pa.array(hashes, pa.string())], ["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
+    ship(df.sparkSession)
     return df.withColumn(out, read_back.asNondeterministic()(F.col(media)))

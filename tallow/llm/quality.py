@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 PASSAGE = 512
 _BLOCK = 1 << 20
 
@@ -174,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def with_scores(docs: DataFrame, model: AttentionModel, text: str = "text", out: str = "quality_score") -> DataFrame:
     """docs and a struct column: score, attention (the largest weight of a passage)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<score:double,attention:double>")

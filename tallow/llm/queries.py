@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, media, mixing, packing, quality, secrets, spotsigs, warc
+from . import jaccard_join, language_id, licenses, media, mixing, packing, quality, secrets, spotsigs, warc
 from .common import id_crc, new_dir, read_table
 
 
@@ -70,6 +70,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.Join(read_table(spark, sf_dir, "documents")).classes()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES = {
         op5_warc,
         op6_media,
         op7_quality,
+        op8_jaccard_join,
         op9_fingerprints,
         op10_secret_scan,
     )

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import wordhash
 from .wordhash import NOT_ALNUM, mixed
 
@@ -118,6 +119,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
         for batch in batches:
             yield pa.array(shown(signatures([b or b"" for b in batch.to_pylist()])), pa.string())
 
+    ship(docs.sparkSession)
     return docs.withColumn(out, spotted.asNondeterministic()(F.col(text).cast("binary")))
 
 
@@ -137,6 +139,7 @@ def _part_numbers(bounds: np.ndarray, firsts: dict[int, int] | None):
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, text, part, guest: rows dealt out by ranges of the id (numbers), sorted, each part closed by a guest,
     the first row of the next one (of the first part, after the last). The driver holds two numbers a part."""
+    ship(docs.sparkSession)
     low = -(1 << 63)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("bigint"), F.lit(low)).alias("place"), F.col(text).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import stored
 
 _CRLF = b"\r\n"
@@ -112,6 +113,7 @@ _MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes",
 
 def write(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", html: str = "html", least_revisit: int = 1000, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes an archive below the folder `base` and returns its manifest. shard_bytes: payload of a task."""
+    ship(pages.sparkSession)
     refer = stored(revisits(pages, key, html, least_revisit), "revisits")
     total = pages.agg(F.sum(F.octet_length(html).cast("bigint"))).first()[0] or 0
     id_type = pages.schema[key].dataType
@@ -179,6 +181,7 @@ def _parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 def read(spark: SparkSession, base: str) -> DataFrame:
     """A row a record of the files in the manifest: page_id, url, record_type, refers_to, payload (null for
     revisits), payload_bytes and payload_digest (of the payload itself where it is there, else as recorded)."""
+    ship(spark)
     files = spark.read.parquet(f"{base}/manifest").select("file", "bytes", "sha1")
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_bytes bigint, payload_digest string"
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
