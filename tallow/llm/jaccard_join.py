@@ -11,12 +11,14 @@ share because sizes differ by a factor t at most.
 1. One pass over the texts: sizes, digests of whole sets, bitmaps, and counters of tokens in 2**b hash
    buckets (b from the corpus' size; at most 2**26 bytes). Equal sets become one representative.
 2. A second pass: the index keys of each representative.
-3. Star round: members of an index key are verified against its smallest member only. Components follow.
-4. Rest round: an index key whose members all lie in one component has nothing to add; in the others all
-   pairs across components that the size and bitmap bounds allow are verified. Components again.
+3. Star rounds: the members of an index key are verified against one of them only, the text with the most
+   copies at first, then the one with the most links. Components follow; an index key whose members all
+   lie in one component has nothing more to add.
+4. Rest round: in the keys that are left, all pairs across components that no round has tried and that
+   the size and bitmap bounds allow are verified. Components again.
 
 Verification compares whole sets. Pairs within a component are never made, so that a group of near
-copies costs about as many pairs as it has members.
+copies around a common original costs about as many pairs as it has members.
 
 Cases: null text, no words: empty set, linked with nothing, a component of its own; equal rows are one
 class; rows with null id are linked by equal sets only; an empty table gives an empty result.
@@ -39,7 +41,6 @@ from .components import components
 from .wordhash import WHITE, mixed
 
 _A, _B, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
-_BITS = 1024
 _CELL = 1 << 16
 #: Sets smaller than this index every token alone; above, a level has its size / 16 classes of frequent tokens.
 _LEAST_COMBINED = 64
@@ -113,8 +114,8 @@ def _profiler(k: int, bucket_bits: int):
                 digests, bitmaps = [], []
                 for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     digests.append(hashlib.md5(keys[s:e].tobytes()).digest())
-                    bit = np.zeros(_BITS, bool)
-                    bit[(keys[s:e] & np.uint64(_BITS - 1)).astype(np.int64)] = True
+                    bit = np.zeros(max(256, 4 << (e - s).bit_length() - 1) if e > s else 8, bool)
+                    bit[(keys[s:e] & np.uint64(len(bit) - 1)).astype(np.int64)] = True
                     bitmaps.append(np.packbits(bit).tobytes())
                 m = len(block)
                 none = pa.nulls(m)
@@ -183,14 +184,17 @@ def _set_of(k: int):
 
 
 def _differing_bits():
-    """Bits in which two bitmaps differ: never more than tokens in one set only."""
+    """Bits in which two bitmaps differ: never more than tokens in one set only. Bitmaps have 4 to 8 bits a
+    token and a power of two of them; the longer one is folded."""
 
     @F.arrow_udf("bigint")
     def differing(a: pa.Array, b: pa.Array) -> pa.Array:
-        if not len(a):
-            return pa.array([], pa.int64())
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in (a, b))
-        return pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            n = min(len(x), len(y))
+            out.append(int(np.bitwise_count(np.bitwise_or.reduce(x.reshape(-1, n)) ^ np.bitwise_or.reduce(y.reshape(-1, n))).sum(dtype=np.int64)))
+        return pa.array(out, pa.int64())
 
     return differing.asNondeterministic()
 
@@ -206,10 +210,10 @@ def _common():
 class Join:
     """The join over one table of documents; links() and classes() give its results."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, tokens_a_bucket: int = 32, most_bucket_bits: int = 26):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, tokens_a_bucket: int = 32, most_bucket_bits: int = 26, star_rounds: int = 3):
         ship(docs.sparkSession)
         self.docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-        self.k, self.percent = k, percent
+        self.k, self.percent, self.star_rounds = k, percent, star_rounds
         total = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
         self.bucket_bits = min(most_bucket_bits, max(16, int(total // (6 * tokens_a_bucket)).bit_length()))
         # a counting task takes text of many times its counters' size, so that these stay a small part of what is moved
@@ -220,9 +224,9 @@ class Join:
         return self.profile.filter("cell is null").select("doc_id", "n", "digest")
 
     def representatives(self) -> DataFrame:
-        """doc_id, n, digest, bits: the smallest id of every distinct set that is not empty."""
+        """doc_id, n, digest, bits, copies: the smallest id of every distinct set that is not empty."""
         rows = self.profile.filter("cell is null and n > 0 and doc_id is not null")
-        return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
 
     def _counters(self) -> tuple[bytes, int]:
         """All buckets' scaled counts (2**bucket_bits bytes), and the scaled count from which a token is frequent."""
@@ -241,17 +245,55 @@ class Join:
         counts, frequent_from = self._counters()
         shared = self.docs.sparkSession.sparkContext.broadcast(counts)
         keyed = self.docs.filter("doc_id is not null").mapInArrow(_indexer(self.k, self.percent, shared, self.bucket_bits, frequent_from), "doc_id bigint, n bigint, keys array<bigint>")
-        index = stored(keyed.join(reps.select("doc_id", F.col("n").alias("m")), "doc_id").filter("n = m").select("doc_id", "n", F.explode("keys").alias("key")).repartition("key"), "index")
-        heads = index.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("head"), F.count("*").alias("members")).filter("members > 1")
-        shared_keys = stored(index.join(heads.select("key", "head"), "key"), "postings")
-        star = shared_keys.filter("doc_id <> head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
-        tried = stored(self._possible(star.filter(self._sizes_fit(F.col("na"), F.col("nb"))).distinct(), reps), "star")
-        first = stored(self._verified(tried, reps), "links")
-        found = components(first)
-        rest = stored(self._possible(self._across(shared_keys, found, tried), reps), "rest")
-        second = stored(self._verified(rest, reps), "links")
-        every = first.unionByName(second)
-        return every, components(every)
+        of_rep = keyed.join(reps.select("doc_id", F.col("n").alias("m"), "copies"), "doc_id").filter("n = m")
+        index = stored(of_rep.select("doc_id", "n", "copies", F.explode("keys").alias("key")), "index")
+        met = index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+        postings = stored(index.join(met, "key"), "postings")
+        weights = postings.select("doc_id", F.col("copies").alias("weight")).distinct()
+        links = tried = found = None
+        for r in range(self.star_rounds + 1):
+            open_rows = self._open(postings, found)
+            pairs = self._across(open_rows) if r == self.star_rounds else self._stars(open_rows, weights)
+            if tried is not None:
+                pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+            new = stored(self._possible(pairs.distinct(), reps), "pairs")
+            true = stored(self._verified(new, reps), "links")
+            tried = new if tried is None else tried.unionByName(new)
+            links = true if links is None else links.unionByName(true)
+            found = components(links)
+            ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id")))
+            weights = ends.groupBy("doc_id").agg(F.count("*").alias("weight"))
+        return links, found
+
+    @staticmethod
+    def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:
+        """Rows (key, doc_id, n, component) of the keys whose members lie in several components."""
+        if found is None:
+            return postings.select("key", "doc_id", "n", F.col("doc_id").alias("component"))
+        named = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        named = stored(named, "named")
+        several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        return stored(named.join(several, "key"), "open")
+
+    @staticmethod
+    def _pair(x: str, y: str) -> list[Column]:
+        """Columns a, b, na, nb of two struct columns (doc_id, n), the smaller id first."""
+        low, high = F.least(x, y), F.greatest(x, y)
+        return [low["doc_id"].alias("a"), high["doc_id"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")]
+
+    def _stars(self, rows: DataFrame, weights: DataFrame) -> DataFrame:
+        """Pairs of each key's heaviest member with the members of other components."""
+        weighed = rows.join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+        heads = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("n")).alias("m"), (-F.col("doc_id")).alias("i"), F.col("component").alias("c"))).alias("h"))
+        heads = heads.select("key", F.struct((-F.col("h.i")).alias("doc_id"), (-F.col("h.m")).alias("n")).alias("x"), F.col("h.c").alias("c"))
+        met = rows.join(heads, "key").filter((F.col("component") != F.col("c")) & self._sizes_fit(F.col("x.n"), F.col("n")))
+        return met.withColumn("y", F.struct("doc_id", "n")).select(*self._pair("x", "y"))
+
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """Pairs of one key's members in different components."""
+        l, r = (rows.select("key", F.struct("doc_id", "n").alias(x), F.col("component").alias(f"{x}c")) for x in "xy")
+        pairs = l.join(r, "key").filter((F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & self._sizes_fit(F.col("x.n"), F.col("y.n")))
+        return pairs.select(*self._pair("x", "y"))
 
     def _sizes_fit(self, na: Column, nb: Column) -> Column:
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent)
@@ -273,18 +315,6 @@ class Join:
         common = both.select("a", "b", "na", "nb", _common()("sa", "sb").alias("c"))
         return common.filter(F.col("c") * 100 >= (F.col("na") + F.col("nb") - F.col("c")) * self.percent).select("a", "b")
 
-    def _across(self, postings: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs of one index key in different components that no round has tried."""
-        named = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        named = stored(named, "named")
-        mixed_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        open_rows = stored(named.join(mixed_keys, "key"), "open")
-        l, r = open_rows.alias("l"), open_rows.alias("r")
-        smaller = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.doc_id") < F.col("r.doc_id")))
-        pairs = l.join(r, F.col("l.key") == F.col("r.key")).filter(smaller & (F.col("l.component") != F.col("r.component")) & self._sizes_fit(F.col("l.n"), F.col("r.n")))
-        pairs = pairs.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb")).distinct()
-        return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         _, found = self.links()
