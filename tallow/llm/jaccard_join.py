@@ -6,7 +6,10 @@ of the tokens, in one global order (rare ones first), must meet. Rare tokens are
 tokens are dealt into classes by hash, and each pair of a class is indexed: a class with e tokens in the
 prefix survives e - 1 missing ones, so that the prefix is extended until rare tokens plus e - 1 for each
 class exceed what may be missing. Index keys hold the level of the size (powers of two), which the partners
-share because sizes differ by a factor t at most.
+share because sizes differ by a factor t at most. With every key goes a place in the set's order: where
+the key is the first that two sets share, no more common tokens can stand in a set than from there on, and
+these must reach t / (1 + t) of both sizes. The place of a pair of frequent tokens allows for the single
+tokens that the other classes may share before it.
 
 1. One pass over the texts: sizes, digests of whole sets, bitmaps, and counters of tokens in 2**b hash
    buckets (b from the corpus' size; at most 2**26 bytes). Equal sets become one representative.
@@ -42,7 +45,7 @@ from .wordhash import WHITE, mixed
 
 _A, _B, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
 _CELL = 1 << 16
-#: Sets smaller than this index every token alone; above, a level has its size / 16 classes of frequent tokens.
+#: Sets smaller than this index every token alone; above, a level has its size / 128 classes of frequent tokens, one at least.
 _LEAST_COMBINED = 64
 
 
@@ -71,30 +74,39 @@ def _level(n: int) -> int:
     return n.bit_length() - 1
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set, its tokens given in the global order (rare first) with flags of the frequent ones."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, its tokens given in the global order (rare first) with flags of the frequent ones; and for
+    each key the least place from which on common tokens can stand, if it is the first that two sets share."""
     n = len(tokens)
     need = most_missing(n, percent) + 1
-    out = []
+    keys, places = [], []
     for level in {_level(n), _level((percent * n + 99) // 100)}:
         if (1 << level) < _LEAST_COMBINED or not frequent[:need].any():
-            out.append(mixed(tokens[:need] * _A + np.uint64(level)))
+            keys.append(mixed(tokens[:need] * _A + np.uint64(level)))
+            places.append(np.arange(need))
             continue
-        classes = (mixed(tokens[frequent]) % np.uint64((1 << level) // 16)).astype(np.int64)
+        n_classes = max(1, (1 << level) // 128)
+        at = np.flatnonzero(frequent)
+        classes = (mixed(tokens[at]) % np.uint64(n_classes)).astype(np.int64)
         gain = np.ones(n, np.int64)
-        gain[np.flatnonzero(frequent)[np.unique(classes, return_index=True)[1]]] = 0
-        length = int(np.searchsorted(np.cumsum(gain), need)) + 1
-        single = tokens[:length][~frequent[:length]]
-        out.append(mixed(single * _A + np.uint64(level)))
-        often = tokens[:length][frequent[:length]]
-        classes = classes[: len(often)]
-        order = np.argsort(classes, kind="stable")
-        often, classes = mixed(often[order] * _A + np.uint64(level)), classes[order]
+        gain[at[np.unique(classes, return_index=True)[1]]] = 0  # the first of each class is not worth anything yet
+        length = min(n, int(np.searchsorted(np.cumsum(gain), need)) + 1)
+        single = np.flatnonzero(~frequent[:length])
+        keys.append(mixed(tokens[single] * _A + np.uint64(level)))
+        places.append(single)
+        at = at[at < length]
+        order = np.argsort(classes[: len(at)], kind="stable")
+        at, classes = at[order], classes[: len(at)][order]
+        often = mixed(tokens[at] * _A + np.uint64(level))
         starts = np.concatenate([[0], np.flatnonzero(np.diff(classes)) + 1, [len(classes)]])
         for s, e in zip(starts[:-1], starts[1:]):
             i, j = np.triu_indices(e - s, 1)
-            out.append(mixed(often[s:e][i] * _B + often[s:e][j]))
-    return np.unique(np.concatenate(out))
+            # before the first common pair of its class stand no common tokens but one of each other class at most
+            place = np.maximum(at[s:e][i] - (n_classes - 1), at[s:e][j] - n_classes)
+            i, j, place = i[place < need], j[place < need], place[place < need]
+            keys.append(mixed(often[s:e][i] * _B + often[s:e][j]))
+            places.append(place)
+    return np.concatenate(keys), np.concatenate(places)
 
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("cell", pa.int64()), ("counts", pa.binary())])
@@ -156,15 +168,19 @@ def _indexer(k: int, percent: int, shared, bucket_bits: int, frequent_from: int)
                 owner = np.repeat(np.arange(len(block)), np.diff(bounds))
                 order = np.lexsort((keys, often, owner))
                 keys, frequent = keys[order], often[order] >= frequent_from
-                rows, sizes, found = [], [], []
+                rows, sizes, found, where = [], [], [], []
                 for i, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     if e > s:
                         rows.append(ids[begin + i])
                         sizes.append(e - s)
-                        found.append(index_keys(keys[s:e], frequent[s:e], percent))
+                        k_, p_ = index_keys(keys[s:e], frequent[s:e], percent)
+                        found.append(k_)
+                        where.append(p_)
                 flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                places = np.concatenate(where).astype(np.int32) if where else np.zeros(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "n", "keys"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "n", "keys", "places"])
 
     return run
 
@@ -244,9 +260,10 @@ class Join:
         reps = stored(self.representatives(), "representatives")
         counts, frequent_from = self._counters()
         shared = self.docs.sparkSession.sparkContext.broadcast(counts)
-        keyed = self.docs.filter("doc_id is not null").mapInArrow(_indexer(self.k, self.percent, shared, self.bucket_bits, frequent_from), "doc_id bigint, n bigint, keys array<bigint>")
+        keyed = self.docs.filter("doc_id is not null").mapInArrow(_indexer(self.k, self.percent, shared, self.bucket_bits, frequent_from), "doc_id bigint, n bigint, keys array<bigint>, places array<int>")
         of_rep = keyed.join(reps.select("doc_id", F.col("n").alias("m"), "copies"), "doc_id").filter("n = m")
-        index = stored(of_rep.select("doc_id", "n", "copies", F.explode("keys").alias("key")), "index")
+        each = of_rep.select("doc_id", "n", "copies", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+        index = stored(each.select("doc_id", "n", "copies", F.col("x.keys").alias("key"), F.col("x.places").alias("place")), "index")
         met = index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
         postings = stored(index.join(met, "key"), "postings")
         weights = postings.select("doc_id", F.col("copies").alias("weight")).distinct()
@@ -254,9 +271,10 @@ class Join:
         for r in range(self.star_rounds + 1):
             open_rows = self._open(postings, found)
             pairs = self._across(open_rows) if r == self.star_rounds else self._stars(open_rows, weights)
+            pairs = pairs.distinct()
             if tried is not None:
                 pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            new = stored(self._possible(pairs.distinct(), reps), "pairs")
+            new = stored(self._possible(pairs, reps), "pairs")
             true = stored(self._verified(new, reps), "links")
             tried = new if tried is None else tried.unionByName(new)
             links = true if links is None else links.unionByName(true)
@@ -267,10 +285,10 @@ class Join:
 
     @staticmethod
     def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:
-        """Rows (key, doc_id, n, component) of the keys whose members lie in several components."""
+        """Rows (key, doc_id, n, place, component) of the keys whose members lie in several components."""
         if found is None:
-            return postings.select("key", "doc_id", "n", F.col("doc_id").alias("component"))
-        named = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+            return postings.select("key", "doc_id", "n", "place", F.col("doc_id").alias("component"))
+        named = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
         named = stored(named, "named")
         several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         return stored(named.join(several, "key"), "open")
@@ -284,19 +302,22 @@ class Join:
     def _stars(self, rows: DataFrame, weights: DataFrame) -> DataFrame:
         """Pairs of each key's heaviest member with the members of other components."""
         weighed = rows.join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
-        heads = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("n")).alias("m"), (-F.col("doc_id")).alias("i"), F.col("component").alias("c"))).alias("h"))
-        heads = heads.select("key", F.struct((-F.col("h.i")).alias("doc_id"), (-F.col("h.m")).alias("n")).alias("x"), F.col("h.c").alias("c"))
-        met = rows.join(heads, "key").filter((F.col("component") != F.col("c")) & self._sizes_fit(F.col("x.n"), F.col("n")))
-        return met.withColumn("y", F.struct("doc_id", "n")).select(*self._pair("x", "y"))
+        head = F.struct("weight", (-F.col("n")).alias("m"), (-F.col("doc_id")).alias("i"), F.col("component").alias("c"), "place")
+        heads = weighed.groupBy("key").agg(F.max(head).alias("h"))
+        heads = heads.select("key", F.struct((-F.col("h.i")).alias("doc_id"), (-F.col("h.m")).alias("n"), F.col("h.place").alias("place")).alias("x"), F.col("h.c").alias("c"))
+        met = rows.join(heads, "key").filter(F.col("component") != F.col("c")).withColumn("y", F.struct("doc_id", "n", "place"))
+        return met.filter(self._fits("x", "y")).select(*self._pair("x", "y"))
 
     def _across(self, rows: DataFrame) -> DataFrame:
         """Pairs of one key's members in different components."""
-        l, r = (rows.select("key", F.struct("doc_id", "n").alias(x), F.col("component").alias(f"{x}c")) for x in "xy")
-        pairs = l.join(r, "key").filter((F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & self._sizes_fit(F.col("x.n"), F.col("y.n")))
+        l, r = (rows.select("key", F.struct("doc_id", "n", "place").alias(x), F.col("component").alias(f"{x}c")) for x in "xy")
+        pairs = l.join(r, "key").filter((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("xc") != F.col("yc")) & self._fits("x", "y"))
         return pairs.select(*self._pair("x", "y"))
 
-    def _sizes_fit(self, na: Column, nb: Column) -> Column:
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent)
+    def _fits(self, x: str, y: str) -> Column:
+        """Whether sizes and places (structs doc_id, n, place) leave room for enough common tokens."""
+        enough = (F.col(f"{x}.n") + F.col(f"{y}.n")) * self.percent
+        return ((F.col(f"{x}.n") - F.col(f"{x}.place")) * (100 + self.percent) >= enough) & ((F.col(f"{y}.n") - F.col(f"{y}.place")) * (100 + self.percent) >= enough) & (F.least(f"{x}.n", f"{y}.n") * (100 + self.percent) >= enough)
 
     def _possible(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) that the bitmaps allow: sets alike enough differ in few tokens, so in few bits."""
