@@ -34,11 +34,23 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallow-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows and bytes of an Arrow batch while a table is made; long texts need small batches to keep workers small.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    before = {k: spark.conf.get(k, None) for k in _BATCH}
+    try:
+        for k, v in _BATCH.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def id_crc(doc_id: str | Column = "doc_id") -> Column:

@@ -268,20 +268,24 @@ class Join:
         postings = stored(index.join(met, "key"), "postings")
         weights = postings.select("doc_id", F.col("copies").alias("weight")).distinct()
         links = tried = found = None
-        for r in range(self.star_rounds + 1):
+        stars = self.star_rounds
+        while True:
             open_rows = self._open(postings, found)
-            pairs = self._across(open_rows) if r == self.star_rounds else self._stars(open_rows, weights)
+            last = stars == 0
+            pairs = self._across(open_rows) if last else self._stars(open_rows, weights)
             pairs = pairs.distinct()
             if tried is not None:
                 pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
             new = stored(self._possible(pairs, reps), "pairs")
             true = stored(self._verified(new, reps), "links")
             tried = new if tried is None else tried.unionByName(new)
+            stars = 0 if true.isEmpty() else max(0, stars - 1)  # a star round that gains nothing is the last one
             links = true if links is None else links.unionByName(true)
             found = components(links)
+            if last:
+                return links, found
             ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id")))
             weights = ends.groupBy("doc_id").agg(F.count("*").alias("weight"))
-        return links, found
 
     @staticmethod
     def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:

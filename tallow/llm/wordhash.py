@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes that a step takes at once (a longer text is taken alone).
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _rng = np.random.default_rng(20_240_229)
 _VALUES = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]  # case of A-Z does not count
