@@ -15,7 +15,7 @@ tokens that the other classes may share before it.
    buckets (b from the corpus' size; at most 2**26 bytes). Equal sets become one representative.
 2. A second pass: the index keys of each representative.
 3. Star rounds: the members of an index key are verified against one of them only, the text with the most
-   copies at first, then the one with the most links. Components follow; an index key whose members all
+   copies at first, in further rounds (star_rounds) the one with the most links. Components follow; an index key whose members all
    lie in one component has nothing more to add.
 4. Rest round: in the keys that are left, all pairs across components that no round has tried and that
    the size and bitmap bounds allow are verified. Components again.
@@ -45,6 +45,8 @@ from .wordhash import WHITE, mixed
 
 _A, _B, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
 _CELL = 1 << 16
+#: Added to places in the index, which can be below zero.
+_PLACE = 1 << 20
 #: Sets smaller than this index every token alone; above, a level has its size / 128 classes of frequent tokens, one at least.
 _LEAST_COMBINED = 64
 
@@ -226,7 +228,7 @@ def _common():
 class Join:
     """The join over one table of documents; links() and classes() give its results."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, tokens_a_bucket: int = 32, most_bucket_bits: int = 26, star_rounds: int = 3):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, tokens_a_bucket: int = 32, most_bucket_bits: int = 26, star_rounds: int = 1):
         ship(docs.sparkSession)
         self.docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
         self.k, self.percent, self.star_rounds = k, percent, star_rounds
@@ -261,12 +263,16 @@ class Join:
         counts, frequent_from = self._counters()
         shared = self.docs.sparkSession.sparkContext.broadcast(counts)
         keyed = self.docs.filter("doc_id is not null").mapInArrow(_indexer(self.k, self.percent, shared, self.bucket_bits, frequent_from), "doc_id bigint, n bigint, keys array<bigint>, places array<int>")
-        of_rep = keyed.join(reps.select("doc_id", F.col("n").alias("m"), "copies"), "doc_id").filter("n = m")
-        each = of_rep.select("doc_id", "n", "copies", F.explode(F.arrays_zip("keys", "places")).alias("x"))
-        index = stored(each.select("doc_id", "n", "copies", F.col("x.keys").alias("key"), F.col("x.places").alias("place")), "index")
+        of_rep = keyed.join(reps.select("doc_id", F.col("n").alias("m"), F.floor(F.log2("copies")).alias("weight")), "doc_id").filter("n = m")
+        each = of_rep.select("doc_id", "n", "weight", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+        # one number for size, place and weight: the index is by far the longest table that is moved
+        packed = F.shiftleft("n", 32) + (F.col("x.places") + _PLACE) * 64 + F.col("weight")
+        index = stored(each.select(F.col("x.keys").alias("key"), "doc_id", packed.alias("packed")), "index")
         met = index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-        postings = stored(index.join(met, "key"), "postings")
-        weights = postings.select("doc_id", F.col("copies").alias("weight")).distinct()
+        held = stored(index.join(met, "key"), "postings")
+        low = F.col("packed").bitwiseAND(F.lit((1 << 32) - 1))
+        postings = held.select("key", "doc_id", F.shiftright("packed", 32).alias("n"), (F.shiftright(low, 6) - _PLACE).alias("place"), low.bitwiseAND(F.lit(63)).alias("weight"))
+        weights = None
         links = tried = found = None
         stars = self.star_rounds
         while True:
@@ -291,8 +297,8 @@ class Join:
     def _open(postings: DataFrame, found: DataFrame | None) -> DataFrame:
         """Rows (key, doc_id, n, place, component) of the keys whose members lie in several components."""
         if found is None:
-            return postings.select("key", "doc_id", "n", "place", F.col("doc_id").alias("component"))
-        named = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
+            return postings.select("*", F.col("doc_id").alias("component"))
+        named = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "place", "weight", F.coalesce("component", "doc_id").alias("component"))
         named = stored(named, "named")
         several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
         return stored(named.join(several, "key"), "open")
@@ -303,9 +309,9 @@ class Join:
         low, high = F.least(x, y), F.greatest(x, y)
         return [low["doc_id"].alias("a"), high["doc_id"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")]
 
-    def _stars(self, rows: DataFrame, weights: DataFrame) -> DataFrame:
+    def _stars(self, rows: DataFrame, weights: DataFrame | None) -> DataFrame:
         """Pairs of each key's heaviest member with the members of other components."""
-        weighed = rows.join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+        weighed = rows if weights is None else rows.drop("weight").join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
         head = F.struct("weight", (-F.col("n")).alias("m"), (-F.col("doc_id")).alias("i"), F.col("component").alias("c"), "place")
         heads = weighed.groupBy("key").agg(F.max(head).alias("h"))
         heads = heads.select("key", F.struct((-F.col("h.i")).alias("doc_id"), (-F.col("h.m")).alias("n"), F.col("h.place").alias("place")).alias("x"), F.col("h.c").alias("c"))
