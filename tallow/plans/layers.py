@@ -86,7 +86,7 @@ class Plan:
         if not self.wide:
             return [f"round(cast({c} as double), 6) as {c}" for c in self.outputs]
         power = "cast(floor(log10(nullif(abs({0}), 0))) as int)"
-        return [x for c in self.outputs for x in (f"round({c} / power(10e0, {power.format(c)}), 8) as {c}", f"coalesce({power.format(c)}, 0) as {c}_exponent")]
+        return [x for c in self.outputs for x in (f"round({c} / power(10e0, {power.format(c)}), 6) as {c}", f"coalesce({power.format(c)}, 0) as {c}_exponent")]
 
     def in_sql(self) -> bool:
         return not any(isinstance(x, Machine) and x.step is None for step in self.steps if not isinstance(step, dict) for x in step)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -17,9 +19,28 @@ def session(name: str = "tallow", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Spark's own defaults for an Arrow batch, and what takes their place: long texts need small batches.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def release() -> None:
+    """Gives freed memory of a Python worker back to the machine; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once a context: a zip of its sources as a py-file."""
+    """Makes this package importable in Python workers, once a context: a zip of its sources as a py-file.
+
+    Arrow batches become smaller where the session still has Spark's defaults.
+    """
     sc = spark.sparkContext
+    for key, (default, small) in _BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
     if getattr(sc, "_tallow_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
