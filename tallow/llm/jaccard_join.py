@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship
 from . import wordhash
 from .common import stored
 from .components import components
@@ -123,7 +123,7 @@ def _profiler(k: int, bucket_bits: int):
             ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
             for begin, block in wordhash.blocks(texts):
                 keys, bounds = shingles(block, k)
-                counters += np.bincount((keys >> np.uint64(64 - bucket_bits)).astype(np.int64), minlength=len(counters)).astype(np.uint32) if len(keys) > len(counters) // 8 else _scattered(keys, bucket_bits, len(counters), counters)
+                np.add.at(counters, (keys >> np.uint64(64 - bucket_bits)).astype(np.int64), np.uint32(1))
                 sizes = np.diff(bounds)
                 digests, bitmaps = [], []
                 for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -139,16 +139,11 @@ def _profiler(k: int, bucket_bits: int):
             part = small[cell : cell + _CELL]
             if part.any():
                 yield pa.RecordBatch.from_pylist([{"doc_id": None, "n": None, "digest": None, "bits": None, "cell": cell // _CELL, "counts": part.tobytes()}], _PROFILE)
+        release()
 
     return run
 
 
-def _scattered(keys: np.ndarray, bucket_bits: int, n: int, counters: np.ndarray) -> np.uint32:
-    """Adds a few keys in place (a whole-array count would cost more) and returns 0, so that += changes nothing."""
-    np.add.at(counters, (keys >> np.uint64(64 - bucket_bits)).astype(np.int64), np.uint32(1))
-    return np.uint32(0)
-
-
 def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(_CELL, np.int64)
     for raw in table.column("counts").to_pylist():
@@ -183,6 +178,7 @@ def _indexer(k: int, percent: int, shared, bucket_bits: int, frequent_from: int)
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, places)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "n", "keys", "places"])
+        release()
 
     return run
 
@@ -197,6 +193,7 @@ def _set_of(k: int):
                 raw, at = keys.tobytes(), (bounds * 8).tolist()
                 out += [raw[s:e] for s, e in zip(at, at[1:])]
             yield pa.array(out, pa.binary())
+        release()
 
     return whole_set.asNondeterministic()
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship
 
 UNDETERMINED = "und"
 #: A multiplier for hashing 64-bit keys (2**64 divided by the golden ratio, odd).
@@ -259,6 +259,7 @@ def predictor(trees: ContextTrees, sc) -> Callable[[Column], Column]:
                 [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
                 ["lang_pred", "score", "bits_per_byte"],
             )
+        release()
 
     return ppm.asNondeterministic()  # else a filter on the result would score every text twice
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -152,6 +152,7 @@ def with_media(df: DataFrame, payload: str = "text", out: str = "media") -> Data
     def stored_as_png(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([encode_png(padded(b or b"")) for b in batch.to_pylist()], pa.binary())
+        release()
 
     ship(df.sparkSession)
     return df.withColumn(out, stored_as_png.asNondeterministic()(F.col(payload).cast("binary")))
@@ -172,6 +173,7 @@ def with_features(df: DataFrame, media: str = "media", out: str = "features") ->
                 tails.append(zlib.crc32(payload[-WIDTH:]))
                 hashes.append(cosine_hash(samples))
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(tails, pa.int64()), pa.array(hashes, pa.string())], ["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+        release()
 
     ship(df.sparkSession)
     return df.withColumn(out, read_back.asNondeterministic()(F.col(media)))

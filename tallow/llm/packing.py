@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship
 from .common import stored
 
 #: A byte-level vocabulary writes bytes as these code points: printable Latin-1 as itself, the rest from 256 up.
@@ -78,6 +78,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, separator: int = 0, k
             for t in batch.to_pylist():
                 rows.append([{"start": s, "length": n, "ids_crc32": c} for s, n, c in cut(encode(t or "", path), length, separator)])
             yield pa.array(rows, kind)
+        release()
 
     ship(docs.sparkSession)
     whole = docs.select(F.col(key).alias("doc_id"), tokenised.asNondeterministic()(F.col(text)).alias("p"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship
 
 PASSAGE = 512
 _BLOCK = 1 << 20
@@ -193,5 +193,6 @@ def with_scores(docs: DataFrame, model: AttentionModel, text: str = "text", out:
                     begin, size = i, 0
                 size += len(t or b"")
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(p)), pa.array(np.concatenate(a))], ["score", "attention"])
+        release()
 
     return docs.withColumn(out, scored.asNondeterministic()(F.col(text).cast("binary")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import release, ship
 from . import wordhash
 from .wordhash import NOT_ALNUM, mixed
 
@@ -195,6 +195,7 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     if len(texts) > 1:
                         yield _compared(ids, texts)
                     ids, texts, size = ids[-1:], texts[-1:], len(t)
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     return in_order(docs, key, text).mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
