@@ -45,6 +45,8 @@ from .wordhash import WHITE, mixed
 
 _A, _B, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
 _CELL = 1 << 16
+#: Up to so many pairs or ids (of 32 bytes at most) a side of a join is broadcast; beyond, both sides are shuffled.
+_MOST_BROADCAST = 1_000_000
 #: Added to places in the index, which can be below zero.
 _PLACE = 1 << 20
 #: Sets smaller than this index every token alone; above, a level has its size / 128 classes of frequent tokens, one at least.
@@ -222,6 +224,11 @@ def _common():
     return common.asNondeterministic()
 
 
+def _small(side: DataFrame, n: int) -> DataFrame:
+    """A side of a join, to be broadcast if it is known to be small."""
+    return F.broadcast(side) if n <= _MOST_BROADCAST else side
+
+
 class Join:
     """The join over one table of documents; links() and classes() give its results."""
 
@@ -328,15 +335,17 @@ class Join:
 
     def _possible(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) that the bitmaps allow: sets alike enough differ in few tokens, so in few bits."""
-        bits = reps.select("doc_id", "bits")
-        both = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+        bits, pairs = reps.select("doc_id", "bits"), stored(pairs, "met")
+        n = pairs.count()
+        half = _small(pairs, n).join(bits.toDF("a", "bits_a"), "a")
+        both = _small(half, 16 * n).join(bits.toDF("b", "bits_b"), "b")
         bound = (F.col("na") + F.col("nb")) * (100 - self.percent) / (100 + self.percent)
         return both.withColumn("apart", _differing_bits()("bits_a", "bits_b")).filter(F.col("apart") <= bound + 1e-6).select("a", "b", "na", "nb")
 
     def _verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets are alike enough. Sets are made anew from the texts of documents in pairs only."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = self.docs.join(wanted, "doc_id", "left_semi").join(reps.select("doc_id", "n"), "doc_id")
+        wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+        texts = self.docs.join(_small(wanted, wanted.count()), "doc_id", "left_semi").join(reps.select("doc_id", "n"), "doc_id")
         sets = texts.select("doc_id", "n", _set_of(self.k)("text").alias("s")).filter(F.octet_length("s") == F.col("n") * 8).dropDuplicates(["doc_id"])
         sets = stored(sets.select("doc_id", "s"), "sets")
         both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
