@@ -692,3 +692,46 @@ statement("fun_time", "select event_id, date_trunc('hour', ts) as hour, ts + int
 statement("fun_text", "select c_custkey, substr(c_name, 1, 4) as a, upper(c_name) as b, lower(c_mktsegment) as c from {customer}")
 statement("fun_conditional", "select o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'none') as a, greatest(o_custkey, o_orderkey) as b, least(o_custkey, o_orderkey) as c, o_orderstatus is distinct from 'F' as d from {orders}")
 statement("fun_json", "select event_id, cast(json_extract_string(props, '$.k') as int) as k from {events}", "select event_id, cast(get_json_object(props, '$.k') as int) as k from {events}")
+
+# ---- registry and streaming
+
+from .plans import registry  # noqa: E402
+
+_BATCH = registry.merged({n: registry.plan_of(n) for n in ("ema", "rsi", "macd", "bollinger_bands", "dmi", "pat_doji", "pat_engulfing")})
+_series_query("reg_01", _BATCH)
+
+
+def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """What a stream over the events gives, read back from its sink in the shared folder."""
+    import tempfile
+    import uuid
+
+    from .streaming.bars import append_once
+
+    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tallow-")) + f"/stream-{uuid.uuid4().hex[:12]}"
+    events = sources.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ticks = stream.selectExpr("event_type as sym", "cast(ts as timestamp) as ts", "event_id as seq", "value as price", "1D as size")
+    q = make(ticks).writeStream.foreachBatch(append_once(f"{base}/out", ["sym", "ts"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _ntz(spark.read.parquet(f"{base}/out"))
+
+
+@query("str_02", f"select * from ({BARS}) where ts + interval '1 hour' <= (select max(ts) - interval '1 minute' from events)")
+def str_02(spark, sf_dir):
+    """Bars of a stream: those that the watermark has passed."""
+    from .streaming.bars import streamed_bars
+
+    return _streamed(spark, sf_dir, streamed_bars)
+
+
+@query("str_05")
+def str_05(spark, sf_dir):
+    """The recursive average kept as state from batch to batch, over single ticks."""
+    from .streaming.bars import streamed_average
+
+    return _streamed(spark, sf_dir, lambda t: streamed_average(t.withColumnRenamed("price", "c"), 9))
+
+
+for _id in ("str_01", "str_03", "str_04", "str_08", "str_12"):
+    QUERIES[_id], ORACLES[_id] = QUERIES["str_02"], ORACLES["str_02"]

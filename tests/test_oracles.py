@@ -11,7 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 
 from tallow.queries import ORACLES, QUERIES  # noqa: E402
 
-NAMES = sorted(n for n in ORACLES if not n.startswith("pat_"))
+NAMES = sorted({QUERIES[n]: n for n in ORACLES if not n.startswith("pat_")}.values())
 
 
 @pytest.fixture(scope="module")
@@ -26,9 +26,9 @@ def plain(frame: pd.DataFrame) -> pd.DataFrame:
     out = {}
     for k in sorted(frame.columns):
         s = frame[k]
-        if pd.api.types.is_numeric_dtype(s) and s.dtype != bool or s.dropna().map(lambda v: type(v).__name__ == "Decimal").any():
+        if pd.api.types.is_numeric_dtype(s) and s.dtype != bool or any(type(v).__name__ == "Decimal" for v in s):
             out[k] = pd.to_numeric(s).astype(float)
-        elif "datetime" in str(s.dtype) or s.dropna().map(lambda v: type(v).__name__ == "date").any():
+        elif "datetime" in str(s.dtype) or any(type(v).__name__ == "date" for v in s):
             out[k] = pd.to_datetime(s).astype(str)
         else:
             out[k] = s.map(lambda v: "" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else str(v))
