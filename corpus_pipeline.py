@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages; each works on all that its predecessor kept.
 
-1. language_id: documents whose language cannot be told (no text, no letter, or less than even odds) go.
+1. language_id: documents whose language cannot be told (no text, no letter, or a best guess below LEAST_SCORE) go.
 2. near_duplicates: of documents alike in 80 % of their word 5-grams, the one with the smallest id stays.
 3. secrets: secrets in the texts become [SECRET]; every document stays.
 4. mixing: sources by target weights; a document comes as often as its source's budget takes it.
@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from tallow.llm import jaccard_join, language_id, mixing, packing, secrets
 from tallow.llm.common import read_table, stored
 
+#: Below this posterior a language counts as not told; a few words can fit several languages and still be clean.
+LEAST_SCORE = 0.3
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trees = language_id.fit(docs)
     if not trees.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs, trees, out="__language")
-    kept = found.filter((F.col("__language.lang_pred") != language_id.UNDETERMINED) & (F.col("__language.score") >= 0.5))
+    kept = found.filter((F.col("__language.lang_pred") != language_id.UNDETERMINED) & (F.col("__language.score") >= LEAST_SCORE))
     return kept.select(*docs.columns)
 
 
