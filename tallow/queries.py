@@ -735,3 +735,32 @@ def str_05(spark, sf_dir):
 
 for _id in ("str_01", "str_03", "str_04", "str_08", "str_12"):
     QUERIES[_id], ORACLES[_id] = QUERIES["str_02"], ORACLES["str_02"]
+
+# ---- paged sources, plugins, wallets
+
+from .operators import plugins  # noqa: E402
+from .sources.paged import paged_bars  # noqa: E402
+
+_MINUTES = "select s.sym, timestamp '2024-01-01' + m * interval '1 minute' as ts, b::double as o, (b + 2)::double as h, (b - 2)::double as l, (b + 1)::double as c, (1 + k % 5)::double as v from (select m, 28401120 + m as k from range(2000) t(m)) cross join (values ('aa'), ('bbb')) s(sym), lateral (select 100 + (k * 31 + length(s.sym) * 7) % 50 as b) where k % 97 <> 0"
+
+
+@query("src_08", _MINUTES)
+def src_08(spark, sf_dir):
+    """Minute bars from a paged provider, ranges read in parallel."""
+    since = 28_401_120 * 60
+    return paged_bars(spark, "tallow.sources.paged:arithmetic", ["aa", "bbb"], since, since + 2000 * 60, parts=3, page=100)
+
+
+QUERIES["snk_10"], ORACLES["snk_10"] = QUERIES["src_08"], ORACLES["src_08"]
+
+
+@query("udf_03")
+def udf_03(spark, sf_dir):
+    plan = Plan(["fast", "slow"]).scan(indicators.ema("fast", "c", 9), indicators.ema("slow", "c", 21))
+    return plugins.decided(on_spark(plan, sources.hourly(spark, sf_dir)), plugins.EmaRegime())
+
+
+@query("udf_08", "select coalesce(a.name, b.name) as name, case when b.name is null then 'only_registered' when a.name is null then 'only_deployed' when a.version = b.version then 'matched' else 'version_mismatch' end as state from (select p_name || p_partkey as name, p_size as version from part where p_partkey % 3 <> 0) a full join (select p_name || p_partkey as name, case when p_partkey % 5 = 0 then 0 else p_size end as version from part where p_partkey % 2 = 0) b on a.name = b.name")
+def udf_08(spark, sf_dir):
+    p = sources.table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_name || p_partkey as name", "p_size as version")
+    return plugins.reconciled(p.filter("k % 3 <> 0"), p.filter("k % 2 = 0").selectExpr("name", "case when k % 5 = 0 then 0 else version end as version"))
