@@ -357,6 +357,7 @@ class Join:
         _, found = self.links()
         heads = self.profile.filter("cell is null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
         heads = heads.join(found.withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
+        heads = stored(heads, "heads")  # a join right after the aggregation could not be split at a digest with many copies
         rows = self.sizes().withColumn("digest", F.when(F.col("n") > 0, F.col("digest")))  # empty sets meet nothing
         out = rows.join(heads, "digest", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
