@@ -136,7 +136,7 @@ def _profiler(k: int, bucket_bits: int):
                 m = len(block)
                 none = pa.nulls(m)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[begin : begin + m], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()), none.cast(pa.int64()), none.cast(pa.binary())], schema=_PROFILE)
-        small = np.minimum(counters, 0xFFFF).astype("<u2")
+        small = np.minimum(counters, 0xFF).astype(np.uint8)
         for cell in range(0, len(small), _CELL):
             part = small[cell : cell + _CELL]
             if part.any():
@@ -149,7 +149,7 @@ def _profiler(k: int, bucket_bits: int):
 def _summed(table: pa.Table) -> pa.Table:
     total = np.zeros(_CELL, np.int64)
     for raw in table.column("counts").to_pylist():
-        part = np.frombuffer(raw, "<u2")
+        part = np.frombuffer(raw, np.uint8)
         total[: len(part)] += part
     # logarithmic: eighths of a power of two
     scaled = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
@@ -239,7 +239,7 @@ class Join:
         total = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
         self.bucket_bits = min(most_bucket_bits, max(16, int(total // (6 * tokens_a_bucket)).bit_length()))
         # a counting task takes text of many times its counters' size, so that these stay a small part of what is moved
-        emitters = max(8, -(-total // (16 << self.bucket_bits)))
+        emitters = max(8, -(-total // (8 << self.bucket_bits)))
         self.profile = stored(self.docs.coalesce(emitters).mapInArrow(_profiler(k, self.bucket_bits), "doc_id bigint, n bigint, digest binary, bits binary, cell bigint, counts binary"), "profile")
 
     def sizes(self) -> DataFrame:
