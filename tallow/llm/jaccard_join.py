@@ -272,7 +272,8 @@ class Join:
         # one number for size, place and weight: the index is by far the longest table that is moved
         packed = F.shiftleft("n", 32) + (F.col("x.places") + _PLACE) * 64 + F.col("weight")
         index = stored(each.select(F.col("x.keys").alias("key"), "doc_id", packed.alias("packed")), "index")
-        met = index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+        # what a join follows is stored first, here and below: right after an aggregation by its key a join can't be split
+        met = stored(index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "shared")
         held = stored(index.join(met, "key"), "postings")
         low = F.col("packed").bitwiseAND(F.lit((1 << 32) - 1))
         postings = held.select("key", "doc_id", F.shiftright("packed", 32).alias("n"), (F.shiftright(low, 6) - _PLACE).alias("place"), low.bitwiseAND(F.lit(63)).alias("weight"))
@@ -304,7 +305,7 @@ class Join:
             return postings.select("*", F.col("doc_id").alias("component"))
         named = postings.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "place", "weight", F.coalesce("component", "doc_id").alias("component"))
         named = stored(named, "named")
-        several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        several = stored(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "several")
         return stored(named.join(several, "key"), "open")
 
     @staticmethod
@@ -317,7 +318,7 @@ class Join:
         """Pairs of each key's heaviest member with the members of other components."""
         weighed = rows if weights is None else rows.drop("weight").join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
         head = F.struct("weight", (-F.col("n")).alias("m"), (-F.col("doc_id")).alias("i"), F.col("component").alias("c"), "place")
-        heads = weighed.groupBy("key").agg(F.max(head).alias("h"))
+        heads = stored(weighed.groupBy("key").agg(F.max(head).alias("h")), "heads")
         heads = heads.select("key", F.struct((-F.col("h.i")).alias("doc_id"), (-F.col("h.m")).alias("n"), F.col("h.place").alias("place")).alias("x"), F.col("h.c").alias("c"))
         met = rows.join(heads, "key").filter(F.col("component") != F.col("c")).withColumn("y", F.struct("doc_id", "n", "place"))
         return met.filter(self._fits("x", "y")).select(*self._pair("x", "y"))
@@ -357,7 +358,7 @@ class Join:
         _, found = self.links()
         heads = self.profile.filter("cell is null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
         heads = heads.join(found.withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
-        heads = stored(heads, "heads")  # a join right after the aggregation could not be split at a digest with many copies
+        heads = stored(heads, "heads")
         rows = self.sizes().withColumn("digest", F.when(F.col("n") > 0, F.col("digest")))  # empty sets meet nothing
         out = rows.join(heads, "digest", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -41,6 +41,7 @@ def revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least_r
     payload = F.coalesce(F.col(html), F.lit(""))
     narrow = pages.filter(F.octet_length(html) >= least_revisit).select(F.col(key).alias("page_id"), F.sha1(payload.cast("binary")).alias("digest")).filter("page_id is not null")
     shared = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = stored(shared, "digests")  # right after the aggregation the join could not be split at a digest with many records
     return narrow.join(shared, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
