@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Where that setting is absent (a local test session), a temporary folder of this machine serves.
+    Where that setting is absent, a local session takes a temporary folder of this machine; a cluster can't.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     found = getattr(spark, "_tallow_shared", None)
     if found is None:
         found = "file://" + tempfile.mkdtemp(prefix="tallow-")
