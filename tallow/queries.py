@@ -708,7 +708,7 @@ def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
 
     from .streaming.bars import append_once
 
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tallow-")) + f"/stream-{uuid.uuid4().hex[:12]}"
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallow-")) + f"/stream-{uuid.uuid4().hex[:12]}"
     events = sources.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ticks = stream.selectExpr("event_type as sym", "cast(ts as timestamp) as ts", "event_id as seq", "value as price", "1D as size")
