@@ -133,23 +133,35 @@ def _values(conditions: list[str]) -> list[dict[str, str]]:
     return layers
 
 
-def _confirmed(first: int, lookback: int):
-    """A match at a row, then its confirmation: a close beyond the row before the match within three rows, once."""
+def _confirmed(name: str, first: int) -> Machine:
+    """A match at a row, then its confirmation: a close beyond the row before the match within three rows, once.
+
+    States: the value, the last match's sign and row, and the high and low of the row before it.
+    """
 
     def kernel(hit, h, l, c):  # noqa: E741
-        out, at, sign = np.full(len(c), np.nan), 0, 0
-        for i in range(len(c)):
+        out, at, sign, top, bottom = np.full((5, len(c)), np.nan), -9, 0, 0.0, 0.0
+        for i in range(first, len(c)):
             value = 0
-            if i >= first:
-                if hit[i]:
-                    value, sign, at = hit[i], np.sign(hit[i]), i
-                elif sign and i <= at + 3 and (c[i] > h[at - 1] if sign > 0 else c[i] < l[at - 1]):
-                    value, at = 200 * sign, 0
-            if i >= lookback:
-                out[i] = value
-        return [out]
-
-    return kernel
+            if hit[i]:
+                value, sign, at, top, bottom = hit[i], np.sign(hit[i]), i + 1, h[i - 1], l[i - 1]
+            elif sign and i + 1 <= at + 3 and (c[i] > top if sign > 0 else c[i] < bottom):
+                value, at = 200 * sign, -9
+            out[:, i] = value, sign, at, top, bottom
+        return list(out)
+
+    v, g, a, p, q = (f"{x}_{name}" for x in ("value", "sign", "row", "top", "bottom"))
+    hit = f"coalesce(s.hit_{name}, 0)"
+    confirmed = f"(r.{g} <> 0 and s.rn <= r.{a} + 3 and case when r.{g} > 0 then s.c > r.{p} else s.c < r.{q} end)"
+    step = [
+        f"case when {hit} <> 0 then {hit} when {confirmed} then 200 * r.{g} else 0 end",
+        f"case when {hit} <> 0 then sign({hit}) else r.{g} end",
+        f"case when {hit} <> 0 then s.rn when {confirmed} then -9 else r.{a} end",
+        f"case when {hit} <> 0 then s.h1 else r.{p} end",
+        f"case when {hit} <> 0 then s.l1 else r.{q} end",
+    ]
+    start = [hit, f"sign({hit})", f"case when {hit} <> 0 then s.rn else -9 end", f"case when {hit} <> 0 then s.h1 else 0 end", f"case when {hit} <> 0 then s.l1 else 0 end"]
+    return Machine([v, g, a, p, q], [f"hit_{name}", "h", "l", "c"], f"s.rn = {first + 1}", start, step, kernel, also=("h1", "l1"))
 
 
 def plan(names: tuple[str, ...] = NAMES) -> Plan:
@@ -161,7 +173,8 @@ def plan(names: tuple[str, ...] = NAMES) -> Plan:
         p.add(**layer)
     p.add(**{f"pat_{n}": f"case when rn > {CONDITIONS[n][0]} then {CONDITIONS[n][1]} end" for n in stateless}, **{f"hit_{n}": f"cast({_HIKKAKE[n][2]} as double)" for n in stateful})
     if stateful:
-        p.scan(*(Machine([f"pat_{n}"], [f"hit_{n}", "h", "l", "c"], None, None, None, _confirmed(_HIKKAKE[n][1], _HIKKAKE[n][0])) for n in stateful))
+        p.scan(*(_confirmed(n, _HIKKAKE[n][1]) for n in stateful))
+        p.add(**{f"pat_{n}": f"case when rn > {_HIKKAKE[n][0]} then value_{n} end" for n in stateful})
     return p
 
 

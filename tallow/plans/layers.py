@@ -50,6 +50,8 @@ class Machine:
     first: list[str] | None
     step: list[str] | None
     kernel: Callable
+    #: Columns that only the SQL reads.
+    also: tuple[str, ...] = ()
 
     @property
     def out(self) -> str:
@@ -178,7 +180,7 @@ def as_sql(plan: Plan, bars_sql: str) -> str:
             t = f"t{n}"
             if isinstance(s, Machine):
                 columns = ", ".join(s.outs)
-                ctes.append(f"s_{s.out} as materialized (select sym, rn, {', '.join(s.reads)} from {t})")
+                ctes.append(f"s_{s.out} as materialized (select sym, rn, {', '.join((*s.reads, *s.also))} from {t})")
                 first = ", ".join(f"({e})::double as {o}" for e, o in zip(s.first, s.outs))
                 nxt = ", ".join(f"({e})::double" for e in s.step)
                 ctes.append(f"r_{s.out} as (select s.sym, s.rn, {first} from s_{s.out} s where {s.begins} union all select s.sym, s.rn, {nxt} from r_{s.out} r join s_{s.out} s on s.sym = r.sym and s.rn = r.rn + 1)")

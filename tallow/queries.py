@@ -521,7 +521,11 @@ def val_02(spark, sf_dir):
     return metrics.folds(_trades(spark, sf_dir), 5)
 
 
-@query("val_04")
+_PSR_T = "(1 / (1 + 0.2316419e0 * abs(z)))"
+_PSR_UP = f"exp(-z * z / 2) / sqrt(2 * pi()) * {_PSR_T} * (0.319381530e0 + {_PSR_T} * (-0.356563782e0 + {_PSR_T} * (1.781477937e0 + {_PSR_T} * (-1.821255978e0 + {_PSR_T} * 1.330274429e0))))"
+
+
+@query("val_04", f"with r as ({_RETURNS}), m as (select avg(r) as m, stddev_samp(r) as sd, count(*) as n from r), k as (select m, sd, n, avg(power((r - m) / sd, 3)) as skew, avg(power((r - m) / sd, 4)) as kurt from r, m group by m, sd, n), z as (select m / sd * sqrt(n - 1) / sqrt(1 - skew * (m / sd) + (kurt - 1) / 4 * power(m / sd, 2)) as z from k) select round(case when z >= 0 then 1 - {_PSR_UP} else {_PSR_UP} end, 6) as psr from z")
 def val_04(spark, sf_dir):
     return _rounded(metrics.sharpe_probability(metrics.daily_returns(_equity(spark, sf_dir), ("ts", "seq"))))
 
@@ -667,7 +671,20 @@ def der_02(spark, sf_dir):
     return _trades(spark, sf_dir).select("trade_id", audit.outcome(net + 5000, net, net / F.col("r0")).alias("bucket"))
 
 
-@query("der_03")
+def _episodes_sql(kind: str) -> str:
+    v = "equity" if kind == "drawdown" else "-equity"
+    w = "over (partition by sym order by seq rows unbounded preceding)"
+    o = "over (partition by sym order by seq)"
+    return f"""select '{kind}' as kind, sym, min(anchor) as anchor, min(seq) as first, arg_min(seq, (v, seq)) as extreme, max(seq) as last, nullif(arg_max(coalesce(nxt, -1), seq), -1) as recovery, round(abs(min(v) - min(peak)) / nullif(abs(min(peak)), 0), 9) as depth from (
+      select *, last_value(fresh ignore nulls) {w} as anchor, sum(case when under = 1 and was = 0 then 1 else 0 end) {w} as run from (
+        select *, case when under = 0 and (was = 1 or lag(peak) {o} is null or peak > lag(peak) {o}) then seq end as fresh from (
+          select *, coalesce(lag(under) {o}, 0) as was, lead(seq) {o} as nxt from (
+            select *, case when v < peak then 1 else 0 end as under from (
+              select sym, seq, v, max(v) {w} as peak from (select event_type as sym, event_id as seq, {v}::double as v from (select *, round(value)::bigint as equity from events)))))))
+      where under = 1 group by sym, run"""
+
+
+@query("der_03", f"{_episodes_sql('drawdown')} union all {_episodes_sql('runup')}")
 def der_03(spark, sf_dir):
     e = sources.table(spark, sf_dir, "events").selectExpr("event_type as sym", "event_id as seq", "cast(round(value) as bigint) as equity")
     return audit.episodes(e).withColumn("kind", F.lit("drawdown")).unionByName(audit.episodes(e, "runup").withColumn("kind", F.lit("runup")))
