@@ -19,8 +19,8 @@ def session(name: str = "tallow", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: Spark's own defaults for an Arrow batch, and what takes their place: long texts need small batches.
-_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+#: Spark's own defaults for batches, and what takes their place: long texts need small ones.
+_BATCH = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
 def release() -> None:
@@ -35,7 +35,7 @@ def release() -> None:
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once a context: a zip of its sources as a py-file.
 
-    Arrow batches become smaller where the session still has Spark's defaults.
+    Batches become smaller where the session still has Spark's defaults.
     """
     sc = spark.sparkContext
     for key, (default, small) in _BATCH.items():
