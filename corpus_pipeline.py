@@ -33,8 +33,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = stored(jaccard_join.Join(docs, k=5, percent=80).classes(), "classes")
-    dropped = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = stored(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= jaccard_join.MOST_BROADCAST  # then texts stay where they are
+    kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return kept

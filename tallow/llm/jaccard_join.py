@@ -46,7 +46,7 @@ from .wordhash import WHITE, mixed
 _A, _B, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x27D4EB2F165667C5)
 _CELL = 1 << 16
 #: Up to so many pairs or ids (of 32 bytes at most) a side of a join is broadcast; beyond, both sides are shuffled.
-_MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 1_000_000
 #: Added to places in the index, which can be below zero.
 _PLACE = 1 << 20
 #: Sets smaller than this index every token alone; above, a level has its size / 128 classes of frequent tokens, one at least.
@@ -226,7 +226,7 @@ def _common():
 
 def _small(side: DataFrame, n: int) -> DataFrame:
     """A side of a join, to be broadcast if it is known to be small."""
-    return F.broadcast(side) if n <= _MOST_BROADCAST else side
+    return F.broadcast(side) if n <= MOST_BROADCAST else side
 
 
 class Join:
