@@ -559,8 +559,57 @@ def _simulated(spark, sf_dir):
     return simulate.simulate(_signals(spark, sf_dir), {"base": simulate.Rules(), "wide": simulate.Rules(stop_share=0.05), "levered": simulate.Rules(leverage=5)})
 
 
-for _id in ("sim_01", "sim_02", "sim_03", "sim_05", "sim_06", "sim_08", "sim_09", "sim_10", "sim_11", "sim_12", "sim_13", "sim_14", "sim_19", "sim_20", "sim_28", "val_08"):
-    QUERIES[_id] = _simulated
+def _of_trades(name: str, *columns: str, where: str = "true") -> None:
+    """A view of the simulated trades of three runs."""
+    QUERIES[name] = lambda spark, sf_dir: _simulated(spark, sf_dir).filter(where).select("run_id", "sym", "trade_id", *columns)
+
+
+QUERIES["sim_01"] = QUERIES["val_08"] = _simulated
+_of_trades("sim_02", "side", "entry_ts", "entry_price")
+_of_trades("sim_08", "quantity", "entry_price", where="run_id = 'levered'")
+_of_trades("sim_09", "quantity", "entry_price", "r0")
+_of_trades("sim_10", "side", "exit_ts", "exit_price", "exit_reason", where="exit_reason in ('STOP_LOSS', 'TAKE_PROFIT')")
+_of_trades("sim_11", "side", "quantity", "entry_price")
+_of_trades("sim_12", "entry_ts", "exit_ts", "funding")
+_of_trades("sim_13", "exit_ts", "exit_price", "exit_reason", "funding", where="run_id = 'levered'")
+_of_trades("sim_14", "exit_ts", "exit_price", "exit_reason", where="exit_reason in ('DATA_GAP', 'END_OF_DATA')")
+_of_trades("sim_19", "gross", "fees", "slippage", "funding", "net", "r0")
+_of_trades("sim_20", "mae", "mfe")
+_EMAS = Plan(["f", "s"]).scan(indicators.ema("f", "c", 9), indicators.ema("s", "c", 21))
+
+
+@query("sim_03", f"select sym, ts, case when s is null then null when f > s then 1 when f < s then -1 else 0 end as signal from ({as_sql(_EMAS, BARS)})")
+def sim_03(spark, sf_dir):
+    """Decisions at each close, by the regime of two averages."""
+    return _signals(spark, sf_dir).select("sym", "ts", "signal")
+
+
+QUERIES["sim_28"], ORACLES["sim_28"] = QUERIES["sim_03"], ORACLES["sim_03"]
+
+
+@query("sim_05")
+def sim_05(spark, sf_dir):
+    """How the trades of each run ended."""
+    return _simulated(spark, sf_dir).groupBy("run_id", "exit_reason").agg(F.count("*").alias("n"))
+
+
+@query("sim_06")
+def sim_06(spark, sf_dir):
+    """Entries beside the open of the bar they filled on."""
+    bars = sources.hourly(spark, sf_dir).select("sym", F.col("ts").alias("entry_ts"), "o")
+    return _simulated(spark, sf_dir).join(bars, ["sym", "entry_ts"]).select("run_id", "sym", "trade_id", "side", "entry_price", "o")
+
+
+@query("sim_29")
+def sim_29(spark, sf_dir):
+    """Paper wallets over a stream of signals made from the events."""
+    from .streaming.wallet import wallet_fills
+
+    def fills(ticks: DataFrame) -> DataFrame:
+        signals = ticks.filter("seq < 500").selectExpr("concat('w', seq % 5) as wallet", "cast(seq as bigint) as signal_id", "sym", "cast(seq % 3 - 1 as int) as side", "price + 1 as open")
+        return wallet_fills(signals, allowed=("view", "click", "signup", "purchase"))
+
+    return _streamed(spark, sf_dir, fills, ["wallet", "signal_id", "side"])
 
 
 @query("sim_21")
@@ -718,7 +767,7 @@ _BATCH = registry.merged({n: registry.plan_of(n) for n in ("ema", "rsi", "macd",
 _series_query("reg_01", _BATCH)
 
 
-def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, make, keys: tuple[str, ...] | list[str] = ("sym", "ts")) -> DataFrame:
     """What a stream over the events gives, read back from its sink in the shared folder."""
     import tempfile
     import uuid
@@ -729,7 +778,7 @@ def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     events = sources.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ticks = stream.selectExpr("event_type as sym", "cast(ts as timestamp) as ts", "event_id as seq", "value as price", "1D as size")
-    q = make(ticks).writeStream.foreachBatch(append_once(f"{base}/out", ["sym", "ts"])).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = make(ticks).writeStream.foreachBatch(append_once(f"{base}/out", list(keys))).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return _ntz(spark.read.parquet(f"{base}/out"))
 
