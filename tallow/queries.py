@@ -304,8 +304,17 @@ _EPISODES = "select row_number() over (order by d) as episode, d as from_ts, d +
 
 @query("joi_10", f"select o_orderkey, start, \"end\", episode, from_ts, to_ts from ({_SPANS}) s join ({_EPISODES}) e on start <= to_ts and \"end\" >= from_ts")
 def joi_10(spark, sf_dir):
-    o = sources.table(spark, sf_dir, "orders")
-    spans = o.filter("o_orderkey % 50 = 0").selectExpr("o_orderkey", "o_orderdate as start", "o_orderdate + interval 2 days as end")
+    return _overlapping(sources.table(spark, sf_dir, "orders"), "o_orderkey % 50 = 0")
+
+
+@query("joi_10_all", f"select o_orderkey, start, \"end\", episode, from_ts, to_ts from (select o_orderkey, o_orderdate as start, o_orderdate + interval '2 days' as \"end\" from orders) s join ({_EPISODES}) e on start <= to_ts and \"end\" >= from_ts")
+def joi_10_all(spark, sf_dir):
+    return _overlapping(sources.table(spark, sf_dir, "orders"))
+
+
+def _overlapping(o: DataFrame, of: str = "true") -> DataFrame:
+    """Orders (those that `of` holds for) with the episodes that they overlap."""
+    spans = o.filter(of).selectExpr("o_orderkey", "o_orderdate as start", "o_orderdate + interval 2 days as end")
     days = o.filter("day(o_orderdate) = 1").selectExpr("o_orderdate as d").distinct()
     return align.overlaps(spans, days.selectExpr("row_number() over (order by d) as episode", "d as from_ts", "d + interval 10 days as to_ts").withColumn("episode", F.col("episode").cast("bigint")))
 
@@ -328,12 +337,27 @@ def joi_13(spark, sf_dir):
     return align.next_bar(e, sources.hourly(spark, sf_dir))
 
 
+@query("joi_13_all", f"select e.event_type as sym, e.event_id, e.ts, b.ts as next_ts, b.o as next_o from events e asof left join ({BARS}) b on e.event_type = b.sym and e.ts < b.ts")
+def joi_13_all(spark, sf_dir):
+    e = sources.table(spark, sf_dir, "events").selectExpr("event_type as sym", "event_id", "ts")
+    return align.next_bar(e, sources.hourly(spark, sf_dir))
+
+
 @query("joi_14", f"select e.event_id, first(t.value order by t.ts, t.event_id) as o, max(t.value) as h, min(t.value) as l, last(t.value order by t.ts, t.event_id) as c, count(*) as n from events e join events t on t.event_type = e.event_type and t.ts > e.ts and t.ts <= e.ts + interval '1 hour' where e.event_id % 100 = 0 group by e.event_id")
 def joi_14(spark, sf_dir):
-    """The candle of the hour after each signal, assembled from its ticks through hour buckets."""
+    return _next_candles(spark, sf_dir, "event_id % 100 = 0")
+
+
+@query("joi_14_all", "select e.event_id, first(t.value order by t.ts, t.event_id) as o, max(t.value) as h, min(t.value) as l, last(t.value order by t.ts, t.event_id) as c, count(*) as n from events e join events t on t.event_type = e.event_type and t.ts > e.ts and t.ts <= e.ts + interval '1 hour' group by e.event_id")
+def joi_14_all(spark, sf_dir):
+    return _next_candles(spark, sf_dir)
+
+
+def _next_candles(spark, sf_dir, of: str = "true") -> DataFrame:
+    """The candle of the hour after each signal (those that `of` holds for), assembled from its ticks through hour buckets."""
     e = sources.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
     hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000)
-    s = e.filter("event_id % 100 = 0").select(F.col("event_id").alias("signal"), "event_type", F.col("ts").alias("at")).withColumn("b", F.explode(F.array(hour("at"), hour("at") + 1)))
+    s = e.filter(of).select(F.col("event_id").alias("signal"), "event_type", F.col("ts").alias("at")).withColumn("b", F.explode(F.array(hour("at"), hour("at") + 1)))
     met = s.join(e.withColumn("b", hour("ts")), ["event_type", "b"]).filter("ts > at and ts <= at + interval 1 hour")
     place = F.struct("ts", "event_id")
     return met.groupBy(F.col("signal").alias("event_id")).agg(F.min_by("value", place).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", place).alias("c"), F.count("*").alias("n"))
