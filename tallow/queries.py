@@ -364,6 +364,7 @@ def _next_candles(spark, sf_dir, of: str = "true") -> DataFrame:
 
 
 statement("joi_15", "select e.event_id, b.c from {events} e join {bars} b on b.sym = e.event_type and b.ts = date_trunc('hour', e.ts) where e.event_id < 500")
+statement("joi_15_all", "select e.event_id, b.c from {events} e join {bars} b on b.sym = e.event_type and b.ts = date_trunc('hour', e.ts)")
 
 
 @query("joi_16", "select w.position, o.o_orderkey, o.o_totalprice from (values (0::bigint, 30), (1, 10), (2, 20)) as w(position, k) join orders o on o.o_orderkey = w.k")
@@ -630,7 +631,7 @@ def sim_29(spark, sf_dir):
     from .streaming.wallet import wallet_fills
 
     def fills(ticks: DataFrame) -> DataFrame:
-        signals = ticks.filter("seq < 500").selectExpr("concat('w', seq % 5) as wallet", "cast(seq as bigint) as signal_id", "sym", "cast(seq % 3 - 1 as int) as side", "price + 1 as open")
+        signals = ticks.selectExpr("concat('w', seq % 5) as wallet", "cast(seq as bigint) as signal_id", "sym", "cast(seq % 3 - 1 as int) as side", "price + 1 as open")
         return wallet_fills(signals, allowed=("view", "click", "signup", "purchase"))
 
     return _streamed(spark, sf_dir, fills, ["wallet", "signal_id", "side"])
@@ -669,7 +670,16 @@ def sim_17(spark, sf_dir):
 
 @query("sim_18", "select event_id, (unnest(generate_series(floor(epoch(ts) / 28800)::bigint + 1, floor(epoch(ts + interval '20 hours') / 28800)::bigint)) * 28800)::double as at from events where event_id < 1000")
 def sim_18(spark, sf_dir):
-    e = sources.table(spark, sf_dir, "events").filter("event_id < 1000").selectExpr("event_id", "ts as entry_ts", "ts + interval 20 hours as exit_ts")
+    return _boundaries(sources.table(spark, sf_dir, "events").filter("event_id < 1000"))
+
+
+@query("sim_18_all", "select event_id, (unnest(generate_series(floor(epoch(ts) / 28800)::bigint + 1, floor(epoch(ts + interval '20 hours') / 28800)::bigint)) * 28800)::double as at from events")
+def sim_18_all(spark, sf_dir):
+    return _boundaries(sources.table(spark, sf_dir, "events"))
+
+
+def _boundaries(events: DataFrame) -> DataFrame:
+    e = events.selectExpr("event_id", "ts as entry_ts", "ts + interval 20 hours as exit_ts")
     return simulate.funding_boundaries(e).select("event_id", F.unix_seconds("boundary").cast("double").alias("at"))
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from tallow.queries import QUERIES
 
 
@@ -29,3 +31,37 @@ def test_joins_cover_every_row(spark, sf):
             opens.setdefault((kind, e.ts.replace(minute=0, second=0, microsecond=0)), e.value)
     nexts = {e.event_id: min(((ts, o) for (kind, ts), o in opens.items() if kind == e.event_type and ts > e.ts), default=(None, None)) for e in events}
     assert {r.event_id: (r.next_ts, r.next_o) for r in QUERIES["joi_13_all"](spark, sf).collect()} == nexts
+
+
+def test_no_query_stops_at_an_id(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect()
+    epoch = dt.datetime(1970, 1, 1)
+    eighths = lambda t: (t - epoch) // dt.timedelta(hours=8)
+    want = sorted((e.event_id, b * 28800.0) for e in events for b in range(eighths(e.ts) + 1, eighths(e.ts + dt.timedelta(hours=20)) + 1))
+    assert sorted((r.event_id, r.at) for r in QUERIES["sim_18_all"](spark, sf).collect()) == want
+    assert sorted(r.event_id for r in QUERIES["joi_15_all"](spark, sf).collect()) == [e.event_id for e in events]
+
+
+def test_wallets_consume_every_event(spark, sf):
+    wallets: dict[str, tuple[float, float]] = {}
+    want = []
+    for e in spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect():
+        w, side, price = f"w{e.event_id % 5}", e.event_id % 3 - 1, e.value + 1
+        cash, position = wallets.get(w, (100_000.0, 0.0))
+        if e.event_type not in ("view", "click", "signup", "purchase"):
+            want.append((w, e.event_id, side, "symbol_not_allowed", cash, position))
+            continue
+        if position and side * position <= 0:
+            at = price * (0.9995 if position > 0 else 1.0005)
+            cash, position = cash + position * at - abs(position) * at * 0.0005, 0.0
+            want.append((w, e.event_id, 0, "closed", cash, position))
+        if side and not position:
+            at = price * (1 + 0.0005 * side)
+            quantity = max(0.0, cash) * 0.2 / at
+            position = side * quantity
+            cash -= position * at + quantity * at * 0.0005
+            want.append((w, e.event_id, side, "opened", cash, position))
+        wallets[w] = cash, position
+    got = sorted((r.wallet, r.signal_id, r.reason, r.side, r.cash, r.position) for r in QUERIES["sim_29"](spark, sf).collect())
+    assert [g[:4] for g in got] == [(w, i, reason, side) for w, i, side, reason, _, _ in sorted(want, key=lambda x: (x[0], x[1], x[3]))]
+    assert [g[4:] for g in got] == [pytest.approx(x[4:], rel=1e-9) for x in sorted(want, key=lambda x: (x[0], x[1], x[3]))]
