@@ -487,16 +487,20 @@ def met_06(spark, sf_dir):
     return _rounded(metrics.calmar(_equity(spark, sf_dir), ("ts", "seq")))
 
 
+def _multiples(trades: DataFrame, run) -> DataFrame:
+    """run_id, rs: all R multiples of each run in order of trades."""
+    r = F.struct("trade_id", (F.col("net") / F.col("r0")).alias("r"))
+    return trades.groupBy(run.alias("run_id")).agg(F.transform(F.array_sort(F.collect_list(r)), lambda x: x["r"]).alias("rs"))
+
+
 @query("met_10")
 def met_10(spark, sf_dir):
-    rs = _trades(spark, sf_dir).filter("trade_id <= 200").groupBy(F.lit("run").alias("run_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_id", (F.col("net") / F.col("r0")).alias("r")))), lambda x: x["r"]).alias("rs"))
-    return metrics.monte_carlo(rs, paths=1000, stop_early=True).select("run_id", "ruin")
+    return metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run")), stop_early=True).select("run_id", "ruin")
 
 
 @query("val_03")
 def val_03(spark, sf_dir):
-    rs = _trades(spark, sf_dir).withColumn("run_id", F.date_format("ts", "yyyy")).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_id", (F.col("net") / F.col("r0")).alias("r")))), lambda x: x["r"]).alias("rs"))
-    return metrics.monte_carlo(rs.withColumn("rs", F.slice("rs", 1, 100)), paths=500)
+    return metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.date_format("ts", "yyyy")))
 
 
 _CELLS = "select o_custkey % 10 as cell, count(*) as trade_count, sum(case when o_totalprice > 250000 then o_totalprice - 250000 end) / sum(case when o_totalprice < 250000 then 250000 - o_totalprice end) as pf, 1.5e0 as sortino, 0.9e0 as calmar, cast(null as double) as sqn, -0.1e0 as mdd, 0e0 as ror, 0.2e0 as expectancy_r from {0} group by 1"

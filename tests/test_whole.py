@@ -1,9 +1,11 @@
 """Queries over whole tables, by brute force on the smallest ones."""
 
 import datetime as dt
+import random
 
 import pytest
 
+from tallow.operators import metrics
 from tallow.queries import QUERIES
 
 
@@ -65,3 +67,48 @@ def test_wallets_consume_every_event(spark, sf):
     got = sorted((r.wallet, r.signal_id, r.reason, r.side, r.cash, r.position) for r in QUERIES["sim_29"](spark, sf).collect())
     assert [g[:4] for g in got] == [(w, i, reason, side) for w, i, side, reason, _, _ in sorted(want, key=lambda x: (x[0], x[1], x[3]))]
     assert [g[4:] for g in got] == [pytest.approx(x[4:], rel=1e-9) for x in sorted(want, key=lambda x: (x[0], x[1], x[3]))]
+
+
+def plain_paths(rs: list[float], paths: int, stop_early: bool) -> list[tuple[float, bool]]:
+    rng, out = random.Random(0), []
+    for _ in range(paths):
+        equity = peak = 1.0
+        total, ruined = 0.0, False
+        for _ in rs:
+            x = rng.choice(rs)
+            total += x
+            equity *= max(0.0, 1.0 + x * 0.01)
+            peak = max(peak, equity)
+            if equity <= peak * (1.0 - 0.6):
+                ruined = True
+                if stop_early:
+                    break
+        out.append((total, ruined))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 128, 1000, 70_000])
+@pytest.mark.parametrize("early", [True, False])
+def test_paths_in_blocks_are_those_of_a_plain_loop(n, early):
+    rs = [random.Random(n + i).uniform(-6, 7) for i in range(n)]
+    paths = 3 if n > 10_000 else 40
+    assert metrics.simulated(rs, paths, stop_early=early) == plain_paths(rs, paths, early)
+
+
+def test_monte_carlo_takes_all_multiples_and_paths(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderkey").collect()
+    rs: dict[str, list[float]] = {}
+    for o in orders:
+        rs.setdefault(str(o.o_orderdate.year), []).append((o.o_totalprice - 250000) / 10000)
+    assert max(map(len, rs.values())) > 100
+    got = {r.run_id: r for r in QUERIES["val_03"](spark, sf).collect()}
+    assert set(got) == set(rs)
+    year = min(rs)
+    ends = plain_paths(rs[year], 10_000, False)
+    totals = sorted(t for t, _ in ends)
+    low, high = 0.05 * 9999, 0.95 * 9999
+    at = lambda q: totals[int(q)] * (1 - q % 1) + totals[int(q) + 1] * (q % 1)
+    assert (got[year].p05, got[year].p95) == pytest.approx((at(low), at(high)), rel=1e-12)
+    assert got[year].ruin == sum(r for _, r in ends) / 10_000
+    every = [(o.o_totalprice - 250000) / 10000 for o in orders]
+    assert QUERIES["met_10"](spark, sf).first().ruin == sum(r for _, r in plain_paths(every, 10_000, True)) / 10_000
