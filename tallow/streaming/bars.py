@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.catalog import inserted_if_absent
+from ..operators.catalog import inserted_if_absent, latest
+from ..operators.resample import bars_from_ticks
 
 
 def streamed_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "1 minute") -> DataFrame:
@@ -66,3 +67,45 @@ def append_once(path: str, keys: list[str]):
         inserted_if_absent(held, batch, keys).write.mode("append").parquet(path)
 
     return write
+
+
+def rolling_bars(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Bars for update mode, however late a tick comes: one row of state a bucket, as many as there are bars."""
+    return bars_from_ticks(ticks, width)
+
+
+def put(path: str):
+    """A foreachBatch function that stores a batch's bars under its number; a replay writes the same place."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def refreshed(raw: str, path: str, width: str = "1 hour"):
+    """A foreachBatch function over ticks: stores them, then makes the bars of every bucket that they touch anew.
+
+    The last tick stored under a key (sym, ts, seq) counts, so that a corrected tick corrects its bar.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.select("sym", "ts", "seq", "price", "size").write.mode("overwrite").parquet(f"{raw}/batch={batch_id}")
+        held = _batches(spark, raw).filter(F.col("batch") <= batch_id)
+        bucket = F.window("ts", width)["start"].alias("bucket")
+        touched = held.filter(F.col("batch") == batch_id).select("sym", bucket).distinct()
+        ticks = held.select("*", bucket).join(touched, ["sym", "bucket"], "left_semi").drop("bucket")
+        put(path)(bars_from_ticks(latest(ticks, ["sym", "ts", "seq"], [F.col("batch").desc()]), width), batch_id)
+
+    return write
+
+
+def stored_bars(spark: SparkSession, path: str) -> DataFrame:
+    """The bars of a store, each as its last batch left it."""
+    return latest(_batches(spark, path), ["sym", "ts"], [F.col("batch").desc()]).drop("batch")
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of batches with their numbers."""
+    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))

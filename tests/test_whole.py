@@ -7,6 +7,7 @@ import pytest
 
 from tallow.operators import metrics
 from tallow.queries import QUERIES
+from tallow.streaming import bars as streaming
 
 
 def test_joins_cover_every_row(spark, sf):
@@ -112,3 +113,29 @@ def test_monte_carlo_takes_all_multiples_and_paths(spark, sf):
     assert got[year].ruin == sum(r for _, r in ends) / 10_000
     every = [(o.o_totalprice - 250000) / 10000 for o in orders]
     assert QUERIES["met_10"](spark, sf).first().ruin == sum(r for _, r in plain_paths(every, 10_000, True)) / 10_000
+
+
+@pytest.mark.parametrize("kind", ["touched", "update"])
+def test_late_ticks_correct_stored_bars(spark, tmp_path, kind):
+    schema = "sym string, ts timestamp, seq bigint, price double, size double"
+    t0 = dt.datetime(2024, 1, 1)
+    minute = dt.timedelta(minutes=1)
+    first = [("a", t0 + 10 * i * minute, i, 100.0 + i, 1.0) for i in range(30)]
+    late = [("a", t0 + 5 * minute, 100, 500.0, 2.0), ("a", t0 + 61 * minute, 101, 1.0, 1.0), ("b", t0, 102, 7.0, 1.0)]
+    for i, rows in enumerate((first, late)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "bars")
+    writer = ticks.writeStream.foreachBatch(streaming.refreshed(raw, out)) if kind == "touched" else streaming.rolling_bars(ticks).writeStream.outputMode("update").foreachBatch(streaming.put(out))
+    writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    want: dict[tuple, list] = {}
+    for sym, ts, seq, price, size in sorted([*first, *late], key=lambda x: (x[1], x[2])):
+        want.setdefault((sym, ts.replace(minute=0)), []).append((price, size))
+    got = {(r.sym, r.ts): (r.o, r.h, r.l, r.c, r.v) for r in streaming.stored_bars(spark, out).collect()}
+    assert got == {k: (v[0][0], max(p for p, _ in v), min(p for p, _ in v), v[-1][0], sum(s for _, s in v)) for k, v in want.items()}
+    if kind == "touched":  # a replay changes nothing, a corrected tick its bar
+        batch = spark.createDataFrame([("a", t0, 0, 900.0, 1.0)], schema)
+        for _ in range(2):
+            streaming.refreshed(raw, out)(batch, 7)
+        again = {(r.sym, r.ts): (r.o, r.h, r.v) for r in streaming.stored_bars(spark, out).collect()}
+        assert again[("a", t0)] == (900.0, 900.0, got[("a", t0)][4]) and len(again) == len(got)
