@@ -566,7 +566,8 @@ statement("val_05", "select k, d < 0.5 and p >= 0.95 as passed from (values (1,
 def val_06(spark, sf_dir):
     f = metrics.folds(_trades(spark, sf_dir), 5).agg(F.to_json(F.array_sort(F.collect_list(F.struct("fold", "pf", "degradation")))).alias("folds"))
     p = metrics.sharpe_probability(metrics.daily_returns(_equity(spark, sf_dir), ("ts", "seq")))
-    return f.crossJoin(_rounded(p))
+    m = metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run"))).select("p05", "p95", "ruin")
+    return f.crossJoin(_rounded(p)).crossJoin(m)
 
 
 @query("val_07", "select a.x, b.y from (values (9), (21)) a(x), (values (21), (55), (200)) b(y) where a.x < b.y")

@@ -139,3 +139,12 @@ def test_late_ticks_correct_stored_bars(spark, tmp_path, kind):
             streaming.refreshed(raw, out)(batch, 7)
         again = {(r.sym, r.ts): (r.o, r.h, r.v) for r in streaming.stored_bars(spark, out).collect()}
         assert again[("a", t0)] == (900.0, 900.0, got[("a", t0)][4]) and len(again) == len(got)
+
+
+def test_the_overfit_bundle_has_its_monte_carlo(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderkey").collect()
+    ends = metrics.simulated([(o.o_totalprice - 250000) / 10000 for o in orders], 10_000, stop_early=False)
+    totals = sorted(t for t, _ in ends)
+    got = QUERIES["val_06"](spark, sf).collect()
+    assert len(got) == 1 and got[0].folds and got[0].psr is not None and got[0].ruin == sum(r for _, r in ends) / 10_000
+    assert totals[499] <= got[0].p05 <= totals[500] and totals[9499] <= got[0].p95 <= totals[9500]
