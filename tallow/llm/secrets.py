@@ -19,11 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _START = r"(?<![A-Za-z0-9+/_=-])"
+_KEY = r"[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+#: A value in quotes up to the quote that closes it (on its line, escaped quotes within), or else up to white space.
+_QUOTED = (
+    r"\x22(?=(?:[^\x22\\\r\n]|\\[^\r\n]){8})[^\x22\\\r\n]*+(?:\\[^\r\n][^\x22\\\r\n]*+){0,200}+\x22"
+    r"|\x27(?=(?:[^\x27\\\r\n]|\\[^\r\n]){8})[^\x27\\\r\n]*+(?:\\[^\r\n][^\x27\\\r\n]*+){0,200}+\x27"
+)
+_VALUE = rf"(?:{_QUOTED}|\x22[^\s\x22]{{8,}}+|\x27[^\s\x27]{{8,}}+|[^\s\x22\x27]\S{{7,}}+)"
+#: A key through its END line, or where that lacks, with the lines of its body.
+_PEM = rf"-----BEGIN {_KEY}(?:[^-]*+(?:-{{1,4}}(?!-)[^-]*+){{0,64}}+-----END {_KEY}|(?:\s{{0,4}}[A-Za-z0-9+/=]{{20,}}+){{0,400}}+(?:\s{{0,4}}[A-Za-z0-9+/]{{0,19}}={{1,2}})?)"
 #: Names whose assignment is telling, and forms of well-known tokens.
 PATTERN = (
     r"(?i:(?:api|access|secret|private|auth|client|session)[_-]?(?:key|token|secret)|token|secret|passw(?:or)?d|pwd|credentials?)"
-    r"[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?[A-Za-z0-9+/_.=~$-]{8,}+[\x22\x27]?"
-    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"[\x22\x27]?\s{{0,3}}[:=]\s{{0,3}}(?![\x22\x27]?-----BEGIN {_KEY}){_VALUE}"
+    rf"|{_PEM}"
     rf"|{_START}(?:AKIA|ASIA)[0-9A-Z]{{16}}"
     rf"|{_START}gh[pousr]_[A-Za-z0-9]{{30,}}+"
     rf"|{_START}(?:xox[abprs]|sk|rk|pk|glpat)[-_][A-Za-z0-9_-]{{16,}}+"
@@ -60,6 +69,7 @@ FEATURES = {
     "benign": f"if(x.l rlike r'{_BENIGN}', 1D, 0D)",
     "telling": f"if(x.l rlike r'{_TELLING}' or x.l rlike r'{_NAMED}', 1D, 0D)",
     "placeholder": f"if(x.v rlike r'{_PLACEHOLDER}' or x.r rlike r'^\\W*(?:example|placeholder|dummy)', 1D, 0D)",
+    "spaces": "length(regexp_replace(x.v, '[^ ]', '')) / greatest(length(x.v), 1)",
     "hexadecimal": "if(x.v rlike '^(?:[0-9a-f]+|[0-9A-F]+)$', 1D, 0D)",
     "grouped": "if(x.v rlike '^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$' or x.v rlike '^[0-9]+(?:[-./_][0-9]+)*$', 1D, 0D)",
 }
@@ -84,6 +94,34 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
     def identifier(sep: str, k: int) -> str:
         return sep.join(rng.choice(DICTIONARY) for _ in range(k)) + str(rng.randrange(100))
 
+    def block(kind: str) -> str:
+        """A key with its body and END line, or the BEGIN line alone."""
+        lines = [draw(alnum + "+/", 64) for _ in range(rng.randrange(0, 5))]
+        head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + draw("0123456789ABCDEF", 32), ""] if rng.random() < 0.2 else []
+        last = [draw(alnum + "+/", rng.randrange(5, 60)) + rng.choice(["", "=", "=="]), f"-----END {kind}PRIVATE KEY-----"]
+        return rng.choice(["\n", "\n", "\\n"]).join([f"-----BEGIN {kind}PRIVATE KEY-----", *(head + lines + last if lines else [])])
+
+    def marked(marks: str, k: int) -> str:
+        """A password with punctuation anywhere in it, and sometimes white space where it is in quotes."""
+        value = list(draw(alnum, k) + marks)
+        rng.shuffle(value)
+        name, text = rng.choice(["password", "passwd", "pwd", "db_password", "secret", "client_secret"]), "".join(value)
+        if rng.random() < 0.5:
+            return f"{name}{rng.choice([' = ', '=', ': ', ':'])}{text}"
+        quote, at = rng.choice("\"'"), rng.randrange(1, len(text))
+        return f"{name}{rng.choice([' = ', '=', ': '])}{quote}{text[:at] + ' ' + text[at:] if rng.random() < 0.2 else text}{quote}"
+
+    def remembered() -> str:
+        """A password of word-like parts with letters exchanged, punctuation between and digits."""
+        part = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) + rng.choice(["ss", "rd", "n", "t", ""])
+        word = part().translate(str.maketrans("aos", rng.choice(["@os", "a0s", "ao$", "@0$"])))
+        return case(word[0]) + word[1:] + rng.choice("!@#%&*?") + part() + str(rng.randrange(10, 2030))
+
+    def called() -> str:
+        """A value that a program gets from somewhere else."""
+        what = rng.choice(DICTIONARY)
+        return rng.choice([f"get_{what}(user)", f"os.environ['{what.upper()}_KEY']", f"config.get('{what}')", f"${{{what.upper()}_SECRET}}", f"{{{{{what}_value}}}}", f"<your-{what}-here>", f"settings.{what}.value;", f"read_{what}(path),"])
+
     true = [
         lambda: assigned(case(draw(hexa, rng.choice([32, 40, 40, 48, 64])))),
         lambda: assigned(draw(alnum, rng.randrange(16, 56))),
@@ -93,8 +131,11 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
         lambda: "ghp_" + draw(alnum, 36),
         lambda: rng.choice(["sk-", "sk_live_", "xoxb-", "glpat-"]) + draw(alnum, rng.randrange(20, 48)),
         lambda: "eyJ" + draw(alnum, 24) + ".eyJ" + draw(alnum, 40) + "." + draw(alnum + "_-", 43),
-        lambda: "-----BEGIN " + rng.choice(["RSA ", "", "EC ", "OPENSSH "]) + "PRIVATE KEY-----",
+        lambda: block(rng.choice(["RSA ", "", "EC ", "OPENSSH "])),
         lambda: rng.choice(["bearer ", "Authorization: Bearer ", "the key is "]) + draw(alnum, rng.randrange(24, 60)),
+        lambda: marked(rng.choice(["p@ss!", "&", "#", "%", "!", "@"]), rng.randrange(6, 16)),
+        lambda: marked(draw("!@#%&*?;,()", 2), rng.randrange(6, 24)),
+        lambda: assigned(remembered(), rng.choice(["password", "passwd", "pwd"])),
     ]
     false = [
         lambda: rng.choice(["commit ", "sha1: ", "revision ", "blob ", "tree "]) + draw(hexa, 40),
@@ -110,6 +151,9 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
         lambda: rng.choice(["", "order ", "tracking ", "invoice "]) + draw("0123456789", rng.randrange(20, 30)),
         lambda: "data:image/png;base64," + "iVBORw0KGgo" + draw(alnum, 30) + "AAAA" + draw(alnum, 20),
         lambda: assigned(identifier("_", 3)),
+        lambda: rng.choice(names) + rng.choice([" = ", "=", ": "]) + called(),
+        lambda: rng.choice(names) + rng.choice([": ", " = "]) + '"' + " ".join(rng.choice(DICTIONARY) for _ in range(rng.randrange(3, 9))) + rng.choice([".", "", "!"]) + '"',
+        lambda: rng.choice(["secret", "password", "token"]) + rng.choice([": ", ":"]) + rng.choice(["everything", "something,", "forgotten.", "required,", "(optional)", "mandatory!", "incorrect;", "résumé-naïve", "contraseña"]),
         lambda: "=" * rng.randrange(10, 20) + str(rng.randrange(10)) + "=" * 12,
     ]
     out = []
