@@ -230,7 +230,7 @@ def _small(side: DataFrame, n: int) -> DataFrame:
 
 
 class Join:
-    """The join over one table of documents; links() and classes() give its results."""
+    """The join over one table of documents; classes() gives its result, joining_links() the links that hold it together."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, tokens_a_bucket: int = 32, most_bucket_bits: int = 26, star_rounds: int = 1):
         ship(docs.sparkSession)
@@ -261,8 +261,11 @@ class Join:
         usual = float(np.exp2(out / 8.0).mean()) if len(out) else 0.0
         return out.tobytes(), int(np.ceil(8 * np.log2(1 + max(64.0, 3 * usual))))
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """(links between representatives found by verification: a, b; components of the linked representatives)."""
+    def joining_links(self) -> tuple[DataFrame, DataFrame]:
+        """(links between representatives that join components: a, b; components of the linked representatives).
+
+        Not every pair that is alike: pairs inside a component joined already are not verified.
+        """
         reps = stored(self.representatives(), "representatives")
         counts, frequent_from = self._counters()
         shared = self.docs.sparkSession.sparkContext.broadcast(counts)
@@ -355,7 +358,7 @@ class Join:
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        _, found = self.links()
+        _, found = self.joining_links()
         heads = self.profile.filter("cell is null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("head"))
         heads = heads.join(found.withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
         heads = stored(heads, "heads")
