@@ -4,7 +4,7 @@ Documents are tokenised whole; only those longer than a sequence are cut. Every
 pieces by best-fit decreasing and computes a lower bound on its number of bins from dual feasible
 functions. Where the two agree the partition is certified optimal and final. A partition with a gap
 gives up the documents of its emptiest bins; these documents, from all such partitions together, are
-dealt out anew and packed again, until no gap is left or a round gains nothing.
+dealt out anew and packed again, until no gap is left or three such rounds are over; gaps may then stay open.
 
 Cases: null or empty text is one piece (the separator alone). Repeated rows are packed once each. An
 empty table gives an empty result. Columns other than id and text are ignored.
