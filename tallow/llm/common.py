@@ -37,11 +37,42 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallow-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Up to so many bytes a side of a join is broadcast, where its size is known; beyond, both sides are shuffled.
+MOST_BROADCAST = 32 << 20
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tallow_paths = [path]
+    return table
+
+
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, known to read these stored tables only, so that discarding it discards them."""
+    df._tallow_paths = [p for t in tables for p in getattr(t, "_tallow_paths", [])]
+    return df
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes stored tables that nothing reads any more. Others (and None) are left alone."""
+    for table in tables:
+        for path in getattr(table, "_tallow_paths", []):
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def small(side: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """A side of a join, broadcast if its rows, of row_bytes at most, are known to fit in MOST_BROADCAST."""
+    return F.broadcast(side) if rows * row_bytes <= MOST_BROADCAST else side
 
 
 def id_crc(doc_id: str | Column = "doc_id") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, holding, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,11 +18,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = stored(one_way.unionByName(one_way.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        hooked = labels.select("node", "component").join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         jumped = hooked.join(of, "component").select("node", F.least("component", "next").alias("component"), (F.least("component", "next") < F.col("was")).alias("changed"))
         step = stored(jumped, "labels")
-        labels = step.drop("changed")
+        discard(labels)
+        labels = step
         if step.filter("changed").isEmpty():
-            return labels
+            discard(both)
+            return holding(step.drop("changed"), step)

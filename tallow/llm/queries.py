@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, licenses, media, mixing, packing, quality, secrets, spotsigs, warc
+from ..session import small_batches
 from .common import id_crc, new_dir, read_table
 
 
@@ -74,8 +75,18 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.Join(read_table(spark, sf_dir, "documents")).classes()
 
 
+def _frugal(f):
+    """The query in a session that has opted in to small batches: long texts, little memory."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _frugal(f)
     for f in (
         op1_language_id,
         op2_best_fit_packing,

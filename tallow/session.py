@@ -19,7 +19,7 @@ def session(name: str = "tallow", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: Spark's own defaults for batches, and what takes their place: long texts need small ones.
+#: Spark's own defaults for batches, and what may take their place: long texts need small ones.
 _BATCH = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
@@ -32,15 +32,17 @@ def release() -> None:
         pass
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once a context: a zip of its sources as a py-file.
-
-    Batches become smaller where the session still has Spark's defaults.
-    """
-    sc = spark.sparkContext
+def small_batches(spark: SparkSession) -> None:
+    """Opts a session in to smaller Parquet and Arrow batches, where it still has Spark's defaults. No operator does so by
+    itself; programs over long texts that must run in little memory may. The session keeps the settings."""
     for key, (default, small) in _BATCH.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, small)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once a context: a zip of its sources as a py-file."""
+    sc = spark.sparkContext
     if getattr(sc, "_tallow_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
