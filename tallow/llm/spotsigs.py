@@ -12,7 +12,8 @@ signatures (prefix) and whose length bound allows the threshold.
 
 Cases: a text without anchors takes every word as an anchor; a text without words has the empty
 fingerprint; two empty fingerprints have likeness 1, an empty and another 0; null text counts as empty;
-repeated rows have equal fingerprints; null ids sort first; an empty table gives an empty result.
+repeated rows have equal fingerprints; null ids sort first, rows of one id by the SHA-1 of their texts; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import release, ship
 from . import wordhash
+from .ranges import Parts, even_parts, id_key
 from .wordhash import NOT_ALNUM, mixed
 
 #: Common words of English, French, German, Spanish, Italian and Portuguese.
@@ -123,35 +125,73 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     return docs.withColumn(out, spotted.asNondeterministic()(F.col(text).cast("binary")))
 
 
-def _part_numbers(bounds: np.ndarray, firsts: dict[int, int] | None):
-    """A column function: the parts a row goes to, (part, guest); with firsts also the part whose last row it follows."""
+#: Bytes of a row beside its text, about.
+_ROW = 64
+_SENT = "doc_id {kind}, part bigint, guest boolean, key string, copies bigint, size bigint, text binary"
 
-    @F.arrow_udf("array<struct<part:int,guest:boolean>>")
-    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            ids = batch.to_numpy(zero_copy_only=False)
-            own = np.searchsorted(bounds, ids, side="right")
-            yield pa.array([[{"part": p, "guest": False}] + ([{"part": firsts[i], "guest": True}] if firsts and i in firsts else []) for p, i in zip(own.tolist(), ids.tolist())], pa.list_(pa.struct([("part", pa.int32()), ("guest", pa.bool_())])))
 
-    return parts.asNondeterministic()
+def _dealer(parts, codec: str = "zstd"):
+    """Rows to their parts, texts compressed; the first row of a part goes to the part before it too, as its guest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p: Parts = parts.value
+        pack = pa.Codec(codec, compression_level=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows, keys = [], batch.column("key").slice(at, 256).to_pylist()
+                own = p.of(keys).tolist()
+                for i, (key, place) in enumerate(zip(keys, own)):
+                    if p.pieces and key in p.pieces:
+                        continue
+                    part = int(p.number[place])
+                    rows.append((i, part, False, key))
+                    if p.first[place] == key.encode():
+                        rows.append((i, p.before(part), True, key))
+                if not rows:
+                    continue
+                picked, number, guest, key = zip(*rows)
+                texts = [t or b"" for t in batch.column("text").slice(at, 256).to_pylist()]
+                packed = {i: pack.compress(texts[i], asbytes=True) for i in set(picked)}
+                ids = batch.column("doc_id").slice(at, 256).take(pa.array(picked))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int64()), pa.array(guest), pa.array(key), pa.array([1] * len(rows), pa.int64()), pa.array([len(texts[i]) for i in picked], pa.int64()), pa.array([packed[i] for i in picked], pa.binary())], ["doc_id", "part", "guest", "key", "copies", "size", "text"])
+
+    return run
 
 
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, text, part, guest: rows dealt out by ranges of the id (numbers), sorted, each part closed by a guest,
-    the first row of the next one (of the first part, after the last). The driver holds two numbers a part."""
+    """doc_id, part, guest, key, copies, size, text (compressed): rows dealt out by even ranges of id and text, a task a
+    range, sorted, each part closed by a guest, the first row of the next one (of the first part, after the last). Of
+    rows that fill several parts with their copies each part has one, with the number of copies."""
     ship(docs.sparkSession)
-    low = -(1 << 63)
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("bigint"), F.lit(low)).alias("place"), F.col(text).cast("binary").alias("text"))
-    total = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
-    n = max(1, -(-total // part_bytes))
-    quantiles = rows.agg(F.percentile_approx("place", F.lit([i / n for i in range(1, n)]), 20 * n)).first()[0] if n > 1 else []
-    bounds = np.unique(np.array(quantiles or [], np.int64))
-    plain = _part_numbers(bounds, None)
-    least = {r["part"]: r["place"] for r in rows.select("place", F.col("place").alias("p")).select("place", plain("p")[0]["part"].alias("part")).groupBy("part").agg(F.min("place").alias("place")).collect()}
-    order = sorted(least)
-    firsts = {least[p]: order[i - 1] for i, p in enumerate(order)}
-    dealt = rows.withColumn("to", F.explode(_part_numbers(bounds, firsts)("place"))).select("doc_id", "place", "text", "to.part", "to.guest")
-    return dealt.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "guest", "place", "text").drop("place")
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = rows.withColumn("key", F.concat(id_key("doc_id"), F.sha1("text")))
+    weighed = rows.groupBy("key").agg(F.max(F.octet_length("text").cast("bigint") + _ROW).alias("weight"), F.count("*").alias("copies"))
+    parts = even_parts(weighed, part_bytes)
+    kind = docs.schema[key].dataType.simpleString()
+    sent = rows.mapInArrow(_dealer(docs.sparkSession.sparkContext.broadcast(parts)), _SENT.format(kind=kind))
+    if parts.pieces:
+        listed = []
+        for k, pieces in parts.pieces.items():
+            listed += [(k, part, False, copies) for part, _, copies in pieces]
+            listed += [(k, part, True, 1) for part, _, _ in pieces[:-1]]  # the next copy follows in the next part
+            if parts.begins(k) == pieces[0][0]:
+                listed.append((k, parts.before(pieces[0][0]), True, 1))
+        table = docs.sparkSession.createDataFrame(listed, "key string, part bigint, guest boolean, copies bigint")
+        packed = _packed()
+        # of even_parts' most_parts keys at most, a row each
+        once = rows.join(F.broadcast(table.select("key").distinct()), "key").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        once = once.select("doc_id", "key", F.octet_length("text").cast("bigint").alias("size"), packed("text").alias("text")).join(F.broadcast(table), "key")
+        sent = sent.unionByName(once.select(*sent.columns))
+    return sent.repartitionById(parts.n, F.col("part").cast("int")).sortWithinPartitions("part", "guest", "key")
+
+
+def _packed():
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        pack = pa.Codec("zstd", compression_level=1)
+        return pa.array([pack.compress(t, asbytes=True) for t in texts.to_pylist()], pa.binary())
+
+    return packed.asNondeterministic()
 
 
 def edited(text: str, following: str) -> str:
@@ -179,14 +219,26 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     text whose second half is the next document's, and against the next document, by ascending id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = pa.Codec("zstd")
         ids, texts, size, part, closed = [], [], 0, None, False
         for batch in batches:
-            for doc_id, t, p, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "guest"))):
-                t = (t or b"").decode("utf-8", "replace")
+            columns = [batch.column(c) for c in ("doc_id", "part", "guest", "copies", "size", "text")]
+            for i in range(batch.num_rows):
+                doc_id, p, guest, copies, n, packed = (c[i].as_py() for c in columns)
                 if p != part:
                     ids, texts, size, part, closed = [], [], 0, p, False
                 if closed:
-                    continue  # repeated rows of the first id: one of them closes the part
+                    continue  # equal rows: one of them closes the part
+                t = unpack.decompress(packed, n, asbytes=True).decode("utf-8", "replace") if n else ""
+                if copies > 1:  # all but the last are followed by themselves
+                    ids, texts = [*ids, doc_id, doc_id], [*texts, t, t]
+                    block = _compared(ids, texts)
+                    yield block.slice(0, block.num_rows - 1)
+                    once = max(1, wordhash.BLOCK // (n + _ROW))
+                    for done in range(0, copies - 1, once):
+                        yield block.take(pa.array([block.num_rows - 1] * min(once, copies - 1 - done)))
+                    ids, texts, size = [doc_id], [t], len(t)
+                    continue
                 ids.append(doc_id)
                 texts.append(t)
                 size += len(t)
