@@ -2,9 +2,11 @@
 
 Documents are tokenised whole; only those longer than a sequence are cut. Every partition packs its
 pieces by best-fit decreasing and computes a lower bound on its number of bins from dual feasible
-functions. Where the two agree the partition is certified optimal and final. A partition with a gap
-gives up the documents of its emptiest bins; these documents, from all such partitions together, are
-dealt out anew and packed again, until no gap is left or three such rounds are over; gaps may then stay open.
+functions. Where the two agree the partition is certified optimal by itself, and where the sum of bins meets the bound
+over all pieces, everything is. While that gap is open, partitions exchange documents: the emptiest bins of all of them,
+at first a few times the gap, are given up, dealt out anew, a bin whole, and packed again by best-fit decreasing; a
+round that gains nothing is followed by one of four times as many bins, until the bound is met or all bins
+with room have been given up and nothing was gained. Only what is given up is moved, and no round can lose bins.
 
 Cases: null or empty text is one piece (the separator alone). Repeated rows are packed once each. An
 empty table gives an empty result. Columns other than id and text are ignored.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import release, ship
-from .common import stored
+from .common import discard, stored
 
 #: A byte-level vocabulary writes bytes as these code points: printable Latin-1 as itself, the rest from 256 up.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -34,19 +36,36 @@ _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _loaded: dict[str, tuple] = {}
 
 
+def _merges_agree(model: dict, ranks: dict[bytes, int], slow) -> bool:
+    """Whether merging by the vocabulary's ids (as the faster encoder does) is merging by the file's list of merges.
+
+    So it is where the merged tokens' ids rise along the list and every token is what its own bytes encode to: which
+    merges happen within a span depends on the span alone, so no pair can meet that only one of the encoders joins.
+    """
+    ids = [model["vocab"][a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    if any(a >= b for a, b in zip(ids, ids[1:])) or len(ids) + 256 != len(ranks):
+        return False
+    names = {i: token for token, i in model["vocab"].items()}
+    return all(slow.model.tokenize(names[i])[0].id == i for i in ids)
+
+
 def tokenizer(path: str) -> tuple:
-    """The vocabulary as its own library reads it, and the same vocabulary and merges for the faster encoder."""
+    """The vocabulary as its own library reads it, and the same vocabulary and merges for the faster encoder (None where
+    the file is not of the kind that it can stand for)."""
     if path not in _loaded:
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        slow, fast, vocabulary = Tokenizer.from_file(path), None, spec["model"]["vocab"]
         others = (b for b in range(256) if b not in set(_PRINTABLE))
         as_byte = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(others)}
         ranks = {bytes(as_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in as_byte for c in token) and not token.startswith("<|")}
-        fast = tiktoken.Encoding("byte_bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _loaded[path] = Tokenizer.from_file(path), fast
+        plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if plain and _merges_agree(spec["model"], ranks, slow):
+            fast = tiktoken.Encoding("byte_bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _loaded[path] = slow, fast
     return _loaded[path]
 
 
@@ -54,7 +73,7 @@ def encode(text: str, path: str) -> np.ndarray:
     """Ids of the whole text as the tokenizers library gives them. Ordinary Latin text takes the faster
     encoder, which gives the same ids there; anything unusual takes the library itself."""
     slow, fast = tokenizer(path)
-    if _UNUSUAL.search(text):
+    if fast is None or _UNUSUAL.search(text):
         return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
     return np.array(fast.encode_ordinary(text), "<u4")
 
@@ -134,11 +153,12 @@ def best_fit(sizes: Iterable[int], capacity: int) -> tuple[np.ndarray, np.ndarra
     return where, offset, left
 
 
-_PACKED = "doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, released boolean"
+_PACKED = "doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, room int"
 
 
-def _packer(capacity: int, round_no: int, last: bool):
-    """The packing of one partition. A re-packing that needs more bins than it was given keeps what it was given."""
+def _packer(capacity: int, round_no: int):
+    """The packing of one partition, with the room left in each bin. A re-packing that needs as many bins as it was given
+    keeps what it was given, and so does a partition whose bins meet its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -147,50 +167,68 @@ def _packer(capacity: int, round_no: int, last: bool):
         table = pa.Table.from_batches(got).combine_chunks()
         table = table.take(pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
         sizes = table["length"].to_numpy()
-        where, offset, left = best_fit(sizes, capacity)
-        number = ((round_no << 24 | TaskContext.get().partitionId()) << 32) + where
+        keep = False
         if round_no:
-            given = table["sequence_id"].to_numpy()
-            distinct, index = np.unique(given, return_inverse=True)
-            if len(distinct) <= len(left):
-                number, where, offset = given, index, table["offset"].to_numpy()
-                left = (capacity - np.bincount(index, weights=sizes)).astype(int).tolist()
-        gap = len(left) - lower_bound(np.bincount(sizes, minlength=capacity + 1))
-        release = np.zeros(len(left), bool)
-        if gap > 0 and not last:
-            emptiest = np.argsort(-np.array(left), kind="stable")[: max(8, 4 * gap)]
-            release[emptiest] = np.array(left)[emptiest] > 0
+            given, index = np.unique(table["sequence_id"].to_numpy(), return_inverse=True)
+            keep = len(given) == lower_bound(np.bincount(sizes, minlength=capacity + 1))
+        if not keep:
+            where, offset, left = best_fit(sizes, capacity)
+            number = ((round_no << 24 | TaskContext.get().partitionId()) << 32) + where
+            keep = bool(round_no) and len(given) <= len(left)
+        if keep:
+            number, where, offset = given[index], index, table["offset"].to_numpy()
+            left = (capacity - np.bincount(index, weights=sizes)).astype(int).tolist()
         table = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        for name, values in (("sequence_id", number), ("offset", offset), ("released", release[where])):
+        for name, values in (("sequence_id", number), ("offset", offset), ("room", np.array(left, np.int32)[where])):
             table = table.append_column(name, pa.array(values))
         yield from table.to_batches(max_chunksize=50_000)
 
     return run
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 65_536, rounds: int = 3) -> DataFrame:
-    """The pieces with sequence_id and offset.
+def _rooms(packed: DataFrame, capacity: int) -> np.ndarray:
+    """How many bins have each room: of a bin, the row at offset 0 counts. At most capacity + 1 rows reach the driver."""
+    out = np.zeros(capacity + 1, np.int64)
+    for r in packed.filter("offset = 0").groupBy("room").count().collect():
+        out[r["room"]] = r["count"]
+    return out
 
-    rows_a_partition bounds what one task holds. A round after the first moves only documents of
-    partitions whose bound is not met, whole bins at a time, so that it can never lose bins.
-    """
+
+def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 65_536) -> DataFrame:
+    """The pieces with sequence_id and offset, and, the same in every row, bins (sequences in all) and bound (no packing
+    has fewer). rows_a_partition bounds what one task holds."""
     held = stored(cut_pieces, "pieces")
-    key = held.schema["doc_id"].dataType.simpleString()
-    schema, total = _PACKED.format(key=key), held.count()
-    parts: list[DataFrame] = []
-    todo = held.repartition(max(1, -(-total // rows_a_partition)))
-    for r in range(rounds + 1):
-        done = stored(todo.mapInArrow(_packer(capacity, r, r == rounds), schema), f"packed{r}")
-        parts.append(done.filter(~F.col("released")))
-        open_rows = done.filter("released")
-        n = open_rows.count() if r < rounds else 0
-        if not n:
+    schema = _PACKED.format(key=held.schema["doc_id"].dataType.simpleString())
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in held.groupBy("length").count().collect():  # at most capacity rows
+        counts[r["length"]] = r["count"]
+    total, bound = int(counts.sum()), lower_bound(counts)
+    first = stored(held.repartition(max(1, -(-total // rows_a_partition))).mapInArrow(_packer(capacity, 0), schema), "packed")
+    discard(held)
+    # still: rows of `first` with less room than `least`; moved: the last round's result, with all rows that it took from there
+    still, least, moved, round_no = _rooms(first, capacity), capacity + 1, None, 0
+    rooms = np.zeros(capacity + 1, np.int64)
+    wanted = 0
+    while (gap := int(still.sum() + rooms.sum()) - bound) > 0:
+        wanted = max(64, 8 * gap, 4 * wanted)
+        # the least room of bins to give up, so that they are about as many as wanted; full bins stay
+        enough = np.flatnonzero(np.cumsum((still + rooms)[::-1])[::-1][1:] >= wanted)
+        now = min(least, int(enough[-1]) + 1 if len(enough) else 1)
+        pool = first.filter((F.col("room") >= now) & (F.col("room") < least))
+        if moved is not None:
+            pool = pool.unionByName(moved)
+        taken = int(still[now:].sum() + rooms.sum())
+        still[now:] = 0
+        n, round_no = pool.count(), round_no + 1
+        was, moved = moved, stored(pool.drop("room").repartition(max(1, -(-n // rows_a_partition)), "sequence_id", F.lit(round_no)).mapInArrow(_packer(capacity, round_no), schema), "packed")
+        discard(was)
+        rooms, everything, least = _rooms(moved, capacity), now == 1, now
+        if everything and int(rooms.sum()) == taken:
             break
-        todo = open_rows.drop("released").repartition(max(1, -(-n // rows_a_partition)), "sequence_id")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("released")
+    out = first.filter(F.col("room") < least)
+    if moved is not None:
+        out = out.unionByName(moved)
+    return out.drop("room").withColumn("bins", F.lit(int(still.sum() + rooms.sum())).cast("bigint")).withColumn("bound", F.lit(bound).cast("bigint"))
 
 
 def certificate(packed: DataFrame, capacity: int = 2048) -> dict[str, int]:
