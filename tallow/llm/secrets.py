@@ -4,7 +4,9 @@ A pattern finds candidates (assignments to telling names, well-known token forms
 Each candidate is described by its length, character classes and transitions between them, how much of
 it dictionary words cover, path marks, and the words before and after it. A random forest, grown on
 the driver from labelled findings and written out as SQL conditions, scores it; candidates at or above
-the threshold are secrets. Everything happens within a row: no shuffle, no Python on the executors.
+the threshold are secrets. Everything happens within a row: no shuffle, no Python on the executors. A candidate has no
+greatest length, nor has the white space around a mark of assignment; neighbouring words are those in the BEFORE
+characters before it and the AFTER characters behind it.
 
 Cases: null text has no candidates and stays null when redacted; equal rows get equal results; an empty
 table gives an empty result; other columns are kept by `redacted` and ignored by `scan`.
@@ -19,28 +21,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _START = r"(?<![A-Za-z0-9+/_=-])"
-_KEY = r"[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+_KEY = r"[A-Z ]*?PRIVATE KEY(?: BLOCK)?-----"
 #: A value in quotes up to the quote that closes it (on its line, escaped quotes within), or else up to white space.
+#: All repetitions are possessive or of single characters, so that none of them needs a stack or looks back, however long.
 _QUOTED = (
-    r"\x22(?=(?:[^\x22\\\r\n]|\\[^\r\n]){8})[^\x22\\\r\n]*+(?:\\[^\r\n][^\x22\\\r\n]*+){0,200}+\x22"
-    r"|\x27(?=(?:[^\x27\\\r\n]|\\[^\r\n]){8})[^\x27\\\r\n]*+(?:\\[^\r\n][^\x27\\\r\n]*+){0,200}+\x27"
+    r"\x22(?=(?:[^\x22\\\r\n]|\\[^\r\n]){8})[^\x22\\\r\n]*+(?:\\[^\r\n][^\x22\\\r\n]*+)*+\x22"
+    r"|\x27(?=(?:[^\x27\\\r\n]|\\[^\r\n]){8})[^\x27\\\r\n]*+(?:\\[^\r\n][^\x27\\\r\n]*+)*+\x27"
 )
 _VALUE = rf"(?:{_QUOTED}|\x22[^\s\x22]{{8,}}+|\x27[^\s\x27]{{8,}}+|[^\s\x22\x27]\S{{7,}}+)"
 #: A key through its END line, or where that lacks, with the lines of its body.
-_PEM = rf"-----BEGIN {_KEY}(?:[^-]*+(?:-{{1,4}}(?!-)[^-]*+){{0,64}}+-----END {_KEY}|(?:\s{{0,4}}[A-Za-z0-9+/=]{{20,}}+){{0,400}}+(?:\s{{0,4}}[A-Za-z0-9+/]{{0,19}}={{1,2}})?)"
+_PEM = rf"-----BEGIN {_KEY}(?:[^-]*+(?:-{{1,4}}(?!-)[^-]*+)*+-----END {_KEY}|(?:\s*+[A-Za-z0-9+/=]{{20,}}+)*+(?:\s*+[A-Za-z0-9+/]{{0,19}}={{1,2}})?)"
 #: Names whose assignment is telling, and forms of well-known tokens.
 PATTERN = (
     r"(?i:(?:api|access|secret|private|auth|client|session)[_-]?(?:key|token|secret)|token|secret|passw(?:or)?d|pwd|credentials?)"
-    rf"[\x22\x27]?\s{{0,3}}[:=]\s{{0,3}}(?![\x22\x27]?-----BEGIN {_KEY}){_VALUE}"
+    rf"[\x22\x27]?\s*+[:=]\s*+(?![\x22\x27]?-----BEGIN {_KEY}){_VALUE}"
     rf"|{_PEM}"
     rf"|{_START}(?:AKIA|ASIA)[0-9A-Z]{{16}}"
     rf"|{_START}gh[pousr]_[A-Za-z0-9]{{30,}}+"
     rf"|{_START}(?:xox[abprs]|sk|rk|pk|glpat)[-_][A-Za-z0-9_-]{{16,}}+"
     rf"|{_START}eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}(?:\.[A-Za-z0-9_-]+)?"
-    rf"|{_START}(?=[A-Za-z+/_=-]{{0,200}}+[0-9])[A-Za-z0-9+/_=-]{{20,}}+"
+    rf"|{_START}(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{20,}}+"
 )
 #: A name and a mark of assignment before the value, and a quote after it.
-ASSIGNED = r"^[A-Za-z][A-Za-z0-9_-]{0,40}[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?(?=[^=\x22\x27])"
+ASSIGNED = r"^[A-Za-z][A-Za-z0-9_-]*+[\x22\x27]?\s*+[:=]\s*+[\x22\x27]?(?=[^=\x22\x27])"
+#: Characters before and after a candidate whose words are features.
+BEFORE, AFTER = 60, 40
 #: Words that make up identifiers, paths and placeholders.
 DICTIONARY = (
     "the and for with this that your from test demo sample example value name user data file path image index page home main "
@@ -49,9 +54,9 @@ DICTIONARY = (
     "http https www com org net here insert change replace enter dummy placeholder password secret token key none null "
     "true false static public private assets upload download document report month date time year"
 ).split()
-_BENIGN = r"(?i)(?:sha[-_ ]?[0-9]{0,3}|md5|digest|checksum|hash|commit|revision|blob|tree|uuid|guid|etag|version|build|id|isbn|serial|order|invoice|tracking|parcel|sum)[\x22\x27]?\s{0,3}[:=#]?\s{0,3}[\x22\x27]?$"
-_TELLING = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|bearer|authorization|credential|auth|login)s?[\x22\x27]?(?:\s+(?:is|was))?\s{0,3}[:=]?\s{0,3}[\x22\x27]?$"
-_NAMED = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credentials?)[\x22\x27]?\s{0,3}[:=]\s{0,3}[\x22\x27]?$"
+_BENIGN = r"(?i)(?:sha[-_ ]?[0-9]{0,3}|md5|digest|checksum|hash|commit|revision|blob|tree|uuid|guid|etag|version|build|id|isbn|serial|order|invoice|tracking|parcel|sum)[\x22\x27]?\s*[:=#]?\s*[\x22\x27]?$"
+_TELLING = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|bearer|authorization|credential|auth|login)s?[\x22\x27]?(?:\s+(?:is|was))?\s*[:=]?\s*[\x22\x27]?$"
+_NAMED = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credentials?)[\x22\x27]?\s*[:=]\s*[\x22\x27]?$"
 _PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|your|insert|change|replace|redacted|x{4,}|1234|abcd|0000|todo|here)"
 
 #: name -> SQL over a struct x(c: candidate, v: value, l: text before the value, r: text after the candidate).
@@ -223,7 +228,7 @@ def _described(docs: DataFrame, text: str) -> DataFrame:
     docs = docs.withColumn("__parts", F.when(F.size("__cands") > 0, F.split(t, PATTERN, -1)))
     lead = rf"regexp_extract(c, r'{ASSIGNED}', 0)"
     value = rf"regexp_replace(substring(c, length({lead}) + 1), r'[\x22\x27]$', '')"
-    near = f"transform(__cands, (c, i) -> struct(c, {value} as v, concat(right(__parts[i], 60), {lead}) as l, left(__parts[i + 1], 40) as r))"
+    near = f"transform(__cands, (c, i) -> struct(c, {value} as v, concat(right(__parts[i], {BEFORE}), {lead}) as l, left(__parts[i + 1], {AFTER}) as r))"
     described = ", ".join(f"{sql} as {name}" for name, sql in FEATURES.items())
     return docs.withColumn("__found", F.expr(f"transform({near}, x -> struct(x.c as c, x.v as v, {described}))"))
 
