@@ -96,23 +96,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: list[tu
     w = F.col("w")
     hashes = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b))
     whole = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), words(F.col(text)).alias("w"))
-    whole = whole.select("doc_id", "t", F.size("w").cast("bigint").alias("n_words"), hashes.alias("hs"))
+    # rows alike in id and text are told apart by the task that reads them, so that many of them do not meet in one task
+    whole = whole.select("doc_id", "t", F.spark_partition_id().alias("part"), F.size("w").cast("bigint").alias("n_words"), hashes.alias("hs"))
     # the last element pairs the last word with nothing; a leading null keeps texts without any hit
-    places = whole.select("doc_id", "t", "n_words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), "hs")).alias("at", "h"))
+    places = whole.select("doc_id", "t", "part", "n_words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), "hs")).alias("at", "h"))
     hits = places.join(F.broadcast(table), "h", "left").filter("at = 0 or template is not null")
-    hits = hits.select("doc_id", "t", "n_words", (F.col("at") - 1).cast("bigint").alias("word"), F.coalesce("template", F.lit(-1)).alias("template"), "label", "base", "place", "grams", "needed", "slack")
-    hits = hits.repartition("doc_id", "t")  # all that follows groups within a document
-    votes = hits.groupBy("doc_id", "t", "n_words", "template", "label", "base", "grams", "needed", "slack", (F.col("word") - F.coalesce("place", F.lit(0))).alias("diagonal"))
+    hits = hits.select("doc_id", "t", "part", "n_words", (F.col("at") - 1).cast("bigint").alias("word"), F.coalesce("template", F.lit(-1)).alias("template"), "label", "base", "place", "grams", "needed", "slack")
+    hits = hits.repartition("doc_id", "t", "part")  # all that follows groups within a document
+    votes = hits.groupBy("doc_id", "t", "part", "n_words", "template", "label", "base", "grams", "needed", "slack", (F.col("word") - F.coalesce("place", F.lit(0))).alias("diagonal"))
     votes = votes.agg(F.collect_set("place").alias("places"), F.count("*").alias("copies"), F.min("word").alias("first"), F.max("word").alias("last"))
-    along = Window.partitionBy("doc_id", "t", "template").orderBy("diagonal")
+    along = Window.partitionBy("doc_id", "t", "part", "template").orderBy("diagonal")
     votes = votes.withColumn("begins", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.col("slack"), F.lit(True)).cast("int"))
     votes = votes.withColumn("span", F.sum("begins").over(along))
-    spans = votes.groupBy("doc_id", "t", "n_words", "template", "label", "base", "grams", "needed", "span").agg(
+    spans = votes.groupBy("doc_id", "t", "part", "n_words", "template", "label", "base", "grams", "needed", "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.min("diagonal").alias("start"), F.max("copies").alias("copies"))
     good = (F.col("template") >= 0) & (F.col("found") >= F.col("needed"))
     is_base = good & F.col("base")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    out = spans.groupBy("doc_id", "t", "n_words").agg(
+    out = spans.groupBy("doc_id", "t", "part", "n_words").agg(
         F.max(F.when(F.col("template") < 0, F.col("copies"))).alias("copies"),
         F.sum(F.when(is_base, 1).otherwise(0)).cast("bigint").alias("n_base"),
         F.min(F.when(is_base, F.col("start"))).alias("first_word"),
