@@ -213,13 +213,14 @@ def has_letter(text: str) -> bool:
 
 
 def training_rows(
-    docs: DataFrame, text: str, lang: str, key: str, where: Column | None, docs_per_language: int
+    docs: DataFrame, text: str, lang: str, key: str, where: Column | None, docs_per_language: int, most_languages: int = 256
 ) -> DataFrame:
-    """About docs_per_language labelled rows of each language, chosen by hash, in one narrow and one wide pass."""
+    """About docs_per_language labelled rows of each of the most_languages languages with the most rows, chosen by hash, in
+    one narrow and one wide pass."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(lang)).alias("h"), (where if where is not None else F.lit(True)).alias("ok"))
     rows = rows.filter("ok and lang is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    # one row a language; the join side is as small as the label set
+    counts = counts.orderBy(F.col("n").desc(), "lang").limit(most_languages)  # so the join side, the trees and the sample are bounded
     kept = rows.filter("length(text) > 0").join(F.broadcast(counts), "lang")
     share = F.least(F.lit(1.0), F.lit(1.5 * docs_per_language) / F.col("n"))
     return kept.filter(F.pmod(F.col("h"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text", "h")
@@ -234,11 +235,12 @@ def fit(
     order: int = 4,
     docs_per_language: int = 400,
     bytes_per_language: int = 1_500_000,
+    most_languages: int = 256,
 ) -> ContextTrees:
     """Trees from a bounded sample of the labelled rows for which `where` holds. Whole texts; at least one a language."""
     samples: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
-    for row in training_rows(docs, text, lang, key, where, docs_per_language).orderBy("lang", "h", "text").toLocalIterator():
+    for row in training_rows(docs, text, lang, key, where, docs_per_language, most_languages).orderBy("lang", "h", "text").toLocalIterator():
         coded = row.text.encode("utf-8", "replace")
         if size.get(row.lang, 0) < bytes_per_language and len(samples.get(row.lang, ())) < docs_per_language:
             samples.setdefault(row.lang, []).append(coded)

@@ -159,14 +159,17 @@ class AttentionModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, most_rows: int = 4000, most_bytes: int = 32 << 20) -> AttentionModel:
-    """A model from at most about most_rows labelled rows for which `where` (over `key`) holds."""
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), (where if where is not None else F.lit(True)).alias("ok")).filter("ok and y is not null").select("key", "y")
+    """A model from a sample of the labelled rows for which `where` (over `key`) holds: about most_rows ids by hash (an id
+    with both labels counts with each, repeated labels once), most_bytes of text, twice most_rows texts at most."""
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), (where if where is not None else F.lit(True)).alias("ok")).filter("ok and y is not null").select("key", "y").distinct()
     n = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(min(1.0, most_rows / max(1, n)) * 1_000_000))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "key")
     texts, y, size = [], [], 0
     for r in rows.orderBy(F.xxhash64("key"), "key", "text", "y").toLocalIterator():
         t = bytes(r.text or b"")
+        if size >= most_bytes or len(texts) >= 2 * most_rows:
+            break
         if size + len(t) <= most_bytes or not texts:
             texts.append(t)
             y.append(r.y)
