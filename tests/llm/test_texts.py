@@ -195,3 +195,9 @@ def test_held_out_quality(spark):
     assert (held.held_out == held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
     good, poor = held[held.quality == 1].score, held[held.quality == 0].score
     assert np.mean([(g > p) for g in good for p in poor]) > 0.95
+
+
+def test_labels_repeated_often_stay_bounded(spark):
+    docs = spark.createDataFrame([(i, f"word {i} here") for i in range(40)] + [(0, "word")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1)] * 3000 + [(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert all(0 <= r.quality_score.score <= 1 for r in quality.with_scores(docs, quality.fit(docs, labels, most_rows=10)).collect())
