@@ -30,10 +30,13 @@ def difference(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataF
     return missing.unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("surplus")))
 
 
-def ordered_hash(df: DataFrame, columns: list[str], group: str) -> DataFrame:
-    """SHA-256 of each group's rows in the order of their columns: row hashes, then the hash of their sorted list."""
+def ordered_hash(df: DataFrame, columns: list[str], group: str, digits: int = 2) -> DataFrame:
+    """SHA-256 of each group's rows in the order of their hashes: of the hashes of its parts, a part being the row hashes
+    that begin alike (of 16 ** digits parts a group, each a task's work at most), in order."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    return df.select(group, row.alias("h")).groupBy(group).agg(F.sha2(F.concat_ws("\x1e", F.array_sort(F.collect_list("h"))), 256).alias("content_hash"))
+    joined = lambda c: F.sha2(F.concat_ws("\x1e", F.array_sort(F.collect_list(c))), 256)
+    parts = df.select(group, row.alias("h")).groupBy(group, F.substring("h", 1, digits).alias("part")).agg(joined("h").alias("own"))
+    return parts.groupBy(group).agg(F.sha2(F.concat_ws("\x1e", F.transform(F.array_sort(F.collect_list(F.struct("part", "own"))), lambda x: x["own"])), 256).alias("content_hash"))
 
 
 def outcome(gross: Column, net: Column, r: Column) -> Column:
@@ -64,3 +67,112 @@ def episodes(equity: DataFrame, kind: str = "drawdown", by: str = "sym", order:
     e = e.withColumn("next", F.lead(order).over(w))
     g = e.filter("under = 1").groupBy(by, "run").agg(F.min("anchor").alias("anchor"), F.min(order).alias("first"), F.max(order).alias("last"), F.max_by("next", order).alias("recovery"), F.first("peak").alias("level"), F.min("v").alias("low"), F.min_by(order, F.struct("v", order)).alias("extreme"))
     return g.withColumn("depth", F.round(F.try_divide(F.abs(F.col("low") - F.col("level")), F.abs("level")), 9)).select(by, "anchor", "first", "extreme", "last", "recovery", "depth")
+
+
+# ---- of a simulation's journal: each gives the rows at fault
+
+
+def lagging(journal: DataFrame, most_seconds: float) -> DataFrame:
+    """Fills later than most_seconds after their decision."""
+    lag = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("decision_ts").cast("timestamp"))
+    return journal.filter("kind = 'fill'").withColumn("lag_ms", F.floor(lag / 1000)).filter(F.col("lag_ms") > most_seconds * 1000).select("run_id", "sym", "seq", "reason", "lag_ms")
+
+
+def undecided(journal: DataFrame) -> DataFrame:
+    """Fills without a decision that are not the end of the data."""
+    return journal.filter("kind = 'fill' and decision_ts is null and reason is distinct from 'END_OF_DATA'").select("run_id", "sym", "seq", "reason")
+
+
+def costs_not_once(trades: DataFrame, journal: DataFrame, tolerance: float = 1e-7) -> DataFrame:
+    """Trades whose fees or slippage are not those of their fills."""
+    of = journal.filter("kind = 'fill'").groupBy("run_id", "sym", "trade_id").agg(F.sum("fee").alias("own_fees"), F.sum("slippage").alias("own_slippage"))
+    both = trades.join(of, ["run_id", "sym", "trade_id"], "left")
+    off = lambda a, b: F.abs(F.col(a) - F.coalesce(b, F.lit(0.0))) > tolerance
+    return both.filter(off("fees", "own_fees") | off("slippage", "own_slippage")).select("run_id", "sym", "trade_id")
+
+
+def slippage_off(journal: DataFrame, unit: float = 1e-8) -> DataFrame:
+    """Fills whose slippage is not price against reference times quantity, to what rounding the price may cost."""
+    f = journal.filter("kind = 'fill'")
+    return f.filter(F.abs(F.abs(F.col("price") - F.col("reference")) * F.col("quantity") - F.col("slippage")) > (F.col("quantity") + 1) * unit).select("run_id", "sym", "seq")
+
+
+def funding_off(trades: DataFrame, journal: DataFrame) -> DataFrame:
+    """run_id, sym, trade_id, at, fault of the funding times in (entry, exit] that are not paid, of payments at other times,
+    and of payments whose sign is not that of side and rate."""
+    step = 8 * 3600
+    second = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    first, last = F.floor(second("entry_ts") / step) + 1, F.floor(second("exit_ts") / step)
+    due = trades.select("run_id", "sym", "trade_id", F.explode(F.when(first <= last, F.sequence(first, last))).alias("k"))
+    paid = journal.filter("kind = 'funding'").select("run_id", "sym", "trade_id", F.floor(second("ts") / step).alias("k"), (F.signum("amount") * F.signum(F.col("side") * F.col("rate")) < 0).alias("wrong"), F.lit(True).alias("there"))
+    both = due.withColumn("due", F.lit(True)).join(paid, ["run_id", "sym", "trade_id", "k"], "full")
+    fault = F.when(F.col("there").isNull(), "not_paid").when(F.col("due").isNull(), "not_due").when(F.col("wrong"), "wrong_sign")
+    return both.withColumn("fault", fault).filter("fault is not null").select("run_id", "sym", "trade_id", F.timestamp_seconds(F.col("k") * step).cast("timestamp_ntz").alias("at"), "fault")
+
+
+def net_off(trades: DataFrame, tolerance: float = 1e-7) -> DataFrame:
+    """Trades whose net is not gross less all costs."""
+    return trades.filter(F.abs(F.col("net") - (F.col("gross") - F.col("fees") - F.col("slippage") - F.col("funding"))) > tolerance).select("run_id", "sym", "trade_id")
+
+
+def phases(trades: DataFrame, extremes: DataFrame) -> DataFrame:
+    """run_id, sym, trade_id, phase, ts, r: entry, exit, and the worst and best of each trade (of the entry, if no bar followed)."""
+    t = trades.join(extremes, ["run_id", "sym", "trade_id"], "left")
+    one = lambda name, ts, r: F.struct(F.lit(name).alias("phase"), ts.alias("ts"), r.cast("double").alias("r"))
+    r = lambda c: F.col(c) / F.nullif(F.col("r0"), F.lit(0.0))
+    four = F.array(one("entry", F.col("entry_ts"), F.lit(None)), one("exit", F.col("exit_ts"), F.lit(None)), one("mae", F.coalesce("mae_ts", "entry_ts"), r("mae")), one("mfe", F.coalesce("mfe_ts", "entry_ts"), r("mfe")))
+    return t.select("run_id", "sym", "trade_id", F.explode(four).alias("x")).select("run_id", "sym", "trade_id", "x.*")
+
+
+def phases_missing(trades: DataFrame, found: DataFrame) -> DataFrame:
+    """Trades with the phases that they lack."""
+    have = found.groupBy("run_id", "sym", "trade_id").agg(F.collect_set("phase").alias("have"))
+    lacking = F.array_except(F.array(*map(F.lit, ("entry", "exit", "mae", "mfe"))), F.coalesce("have", F.array().cast("array<string>")))
+    return trades.join(have, ["run_id", "sym", "trade_id"], "left").withColumn("lacking", F.array_join(F.array_sort(lacking), ",")).filter("lacking <> ''").select("run_id", "sym", "trade_id", "lacking")
+
+
+def snapshot_off(snapshot: DataFrame, actual: DataFrame) -> DataFrame:
+    """sym, fault of a table of sources (sym, bars, expected, missing, coverage) that does not agree with itself or with the
+    same made from the bars."""
+    a = actual.select("sym", F.col("bars").alias("own_bars"), F.col("coverage").alias("own_coverage"))
+    faults = [("count", F.col("bars") + F.col("missing") != F.col("expected")), ("coverage", F.abs(F.col("coverage") - F.least(F.lit(1.0), F.round(F.col("bars") / F.col("expected"), 6))) > 1e-9), ("rows", F.col("own_bars").isNull() | (F.col("bars") != F.col("own_bars"))), ("source", F.col("bars") <= 0)]
+    named = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(n)) for n, bad in faults)))
+    return snapshot.join(a, "sym", "left").withColumn("fault", F.explode(named)).select("sym", "fault")
+
+
+#: The checks that every run must pass, and one that counts where it was made.
+REQUIRED = ("accounting_identity", "timestamp_order", "cost_once", "net_of_cost", "deterministic", "evidence_complete")
+OPTIONAL = ("trailing_parity",)
+
+
+def integrity(runs: DataFrame, found: str = "checks") -> DataFrame:
+    """runs (a map of check to boolean) with failed, the required ones that are not true and the optional ones that are
+    false, in order, and passed."""
+    c = F.col(found)
+    bad = [F.when(~F.coalesce(c[n], F.lit(False)), F.lit(n)) for n in REQUIRED] + [F.when(F.map_contains_key(c, n) & ~F.coalesce(c[n], F.lit(False)), F.lit(n)) for n in OPTIONAL]
+    failed = F.array_compact(F.array(*bad))
+    return runs.withColumn("failed", F.array_join(failed, ",")).withColumn("passed", F.size(failed) == 0)
+
+
+def orphaned(runs: DataFrame) -> DataFrame:
+    """runs (status, config_hash): those that run without a hash have lost their process."""
+    return runs.withColumn("status", F.when((F.col("status") == "RUNNING") & F.col("config_hash").isNull(), "ORPHANED").otherwise(F.col("status")))
+
+
+def checks(journal: DataFrame, trades: DataFrame, bar_seconds: int) -> DataFrame:
+    """check_name, passed, sample_ref of a journal."""
+    e = journal.filter("kind = 'equity'")
+    ref = F.concat_ws("/", *(F.col(c).cast("string") for c in ("run_id", "sym")))
+    none = lambda df, name, key: df.select(F.lit(name).alias("check_name"), F.concat_ws("/", ref, F.col(key).cast("string")).alias("ref"))
+    found = [
+        none(e.filter("abs(cash + margin + unrealized - equity) > 1e-7"), "accounting_identity", "seq"),
+        none(lagging(journal, bar_seconds), "timestamp_order", "seq"),
+        none(undecided(journal), "timestamp_order", "seq"),
+        none(costs_not_once(trades, journal), "cost_once", "trade_id"),
+        none(slippage_off(journal), "cost_once", "seq"),
+        none(funding_off(trades, journal), "cost_once", "trade_id"),
+        none(net_off(trades), "net_of_cost", "trade_id"),
+    ]
+    faults = reduce(DataFrame.unionByName, found).groupBy("check_name").agg(F.min("ref").alias("sample_ref"))
+    names = journal.sparkSession.createDataFrame([(n,) for n in REQUIRED[:4]], "check_name string")
+    return names.join(F.broadcast(faults), "check_name", "left").select("check_name", F.col("sample_ref").isNull().alias("passed"), "sample_ref")

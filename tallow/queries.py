@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import align, audit, catalog, gaps, indicators, metrics, patterns, resample, simulate
+from . import replay
+from .operators import align, audit, catalog, gaps, indicators, metrics, money, patterns, resample, simulate
 from .plans.layers import Average, Plan, as_sql, on_spark
 from .sources import bars as sources
 
@@ -46,6 +47,18 @@ def statement(name: str, text: str, spark_text: str | None = None) -> None:
     ORACLES[name] = re.sub(r"\{(\w+)\}", r"\1", duck)
 
 
+def _split(columns: str) -> list[str]:
+    """A list of SQL columns as expressions, cut at commas outside brackets."""
+    out, depth = [""], 0
+    for ch in columns:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [x.strip() for x in out]
+
+
 # ---- indicators and patterns
 
 
@@ -298,23 +311,15 @@ statement("joi_06", "select s.s_suppkey, coalesce(a.n_name, '') as home, coalesc
 statement("joi_07", "select n_name, r_name from {nation} join {region} on r_regionkey = n_regionkey")
 statement("joi_08", "select s_name, n_name from {supplier} join {nation} on n_nationkey = s_nationkey where s_acctbal > 0")
 statement("joi_09", "select w.k from (values (1), (2), (3), (999999999), (1000000000)) as w(k) left join {orders} on o_orderkey = w.k where o_orderkey is null")
-_SPANS = "select o_orderkey, o_orderdate as start, o_orderdate + interval '2 days' as \"end\" from orders where o_orderkey % 50 = 0"
+_SPANS = "select o_orderkey, o_orderdate as start, o_orderdate + interval '2 days' as \"end\" from orders"
 _EPISODES = "select row_number() over (order by d) as episode, d as from_ts, d + interval '10 days' as to_ts from (select distinct o_orderdate as d from orders where extract(day from o_orderdate) = 1)"
 
 
 @query("joi_10", f"select o_orderkey, start, \"end\", episode, from_ts, to_ts from ({_SPANS}) s join ({_EPISODES}) e on start <= to_ts and \"end\" >= from_ts")
 def joi_10(spark, sf_dir):
-    return _overlapping(sources.table(spark, sf_dir, "orders"), "o_orderkey % 50 = 0")
-
-
-@query("joi_10_all", f"select o_orderkey, start, \"end\", episode, from_ts, to_ts from (select o_orderkey, o_orderdate as start, o_orderdate + interval '2 days' as \"end\" from orders) s join ({_EPISODES}) e on start <= to_ts and \"end\" >= from_ts")
-def joi_10_all(spark, sf_dir):
-    return _overlapping(sources.table(spark, sf_dir, "orders"))
-
-
-def _overlapping(o: DataFrame, of: str = "true") -> DataFrame:
-    """Orders (those that `of` holds for) with the episodes that they overlap."""
-    spans = o.filter(of).selectExpr("o_orderkey", "o_orderdate as start", "o_orderdate + interval 2 days as end")
+    """Orders with the episodes that they overlap. Episodes are numbered in one task: there is one a month at most."""
+    o = sources.table(spark, sf_dir, "orders")
+    spans = o.selectExpr("o_orderkey", "o_orderdate as start", "o_orderdate + interval 2 days as end")
     days = o.filter("day(o_orderdate) = 1").selectExpr("o_orderdate as d").distinct()
     return align.overlaps(spans, days.selectExpr("row_number() over (order by d) as episode", "d as from_ts", "d + interval 10 days as to_ts").withColumn("episode", F.col("episode").cast("bigint")))
 
@@ -331,40 +336,24 @@ def joi_12(spark, sf_dir):
     return align.paired(sources.hourly(spark, sf_dir), "view", "click").select("sym", "ts", "c", "c2")
 
 
-@query("joi_13", f"select e.event_type as sym, e.event_id, e.ts, b.ts as next_ts, b.o as next_o from events e asof left join ({BARS}) b on e.event_type = b.sym and e.ts < b.ts where e.event_id % 7 = 0")
+@query("joi_13", f"select e.event_type as sym, e.event_id, e.ts, b.ts as next_ts, b.o as next_o from events e asof left join ({BARS}) b on e.event_type = b.sym and e.ts < b.ts")
 def joi_13(spark, sf_dir):
-    e = sources.table(spark, sf_dir, "events").filter("event_id % 7 = 0").selectExpr("event_type as sym", "event_id", "ts")
-    return align.next_bar(e, sources.hourly(spark, sf_dir))
-
-
-@query("joi_13_all", f"select e.event_type as sym, e.event_id, e.ts, b.ts as next_ts, b.o as next_o from events e asof left join ({BARS}) b on e.event_type = b.sym and e.ts < b.ts")
-def joi_13_all(spark, sf_dir):
     e = sources.table(spark, sf_dir, "events").selectExpr("event_type as sym", "event_id", "ts")
     return align.next_bar(e, sources.hourly(spark, sf_dir))
 
 
-@query("joi_14", f"select e.event_id, first(t.value order by t.ts, t.event_id) as o, max(t.value) as h, min(t.value) as l, last(t.value order by t.ts, t.event_id) as c, count(*) as n from events e join events t on t.event_type = e.event_type and t.ts > e.ts and t.ts <= e.ts + interval '1 hour' where e.event_id % 100 = 0 group by e.event_id")
+@query("joi_14", "select e.event_id, first(t.value order by t.ts, t.event_id) as o, max(t.value) as h, min(t.value) as l, last(t.value order by t.ts, t.event_id) as c, count(*) as n from events e join events t on t.event_type = e.event_type and t.ts > e.ts and t.ts <= e.ts + interval '1 hour' group by e.event_id")
 def joi_14(spark, sf_dir):
-    return _next_candles(spark, sf_dir, "event_id % 100 = 0")
-
-
-@query("joi_14_all", "select e.event_id, first(t.value order by t.ts, t.event_id) as o, max(t.value) as h, min(t.value) as l, last(t.value order by t.ts, t.event_id) as c, count(*) as n from events e join events t on t.event_type = e.event_type and t.ts > e.ts and t.ts <= e.ts + interval '1 hour' group by e.event_id")
-def joi_14_all(spark, sf_dir):
-    return _next_candles(spark, sf_dir)
-
-
-def _next_candles(spark, sf_dir, of: str = "true") -> DataFrame:
-    """The candle of the hour after each signal (those that `of` holds for), assembled from its ticks through hour buckets."""
+    """The candle of the hour after each signal, assembled from its ticks through hour buckets."""
     e = sources.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
     hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000)
-    s = e.filter(of).select(F.col("event_id").alias("signal"), "event_type", F.col("ts").alias("at")).withColumn("b", F.explode(F.array(hour("at"), hour("at") + 1)))
+    s = e.select(F.col("event_id").alias("signal"), "event_type", F.col("ts").alias("at")).withColumn("b", F.explode(F.array(hour("at"), hour("at") + 1)))
     met = s.join(e.withColumn("b", hour("ts")), ["event_type", "b"]).filter("ts > at and ts <= at + interval 1 hour")
     place = F.struct("ts", "event_id")
     return met.groupBy(F.col("signal").alias("event_id")).agg(F.min_by("value", place).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", place).alias("c"), F.count("*").alias("n"))
 
 
-statement("joi_15", "select e.event_id, b.c from {events} e join {bars} b on b.sym = e.event_type and b.ts = date_trunc('hour', e.ts) where e.event_id < 500")
-statement("joi_15_all", "select e.event_id, b.c from {events} e join {bars} b on b.sym = e.event_type and b.ts = date_trunc('hour', e.ts)")
+statement("joi_15", "select e.event_id, b.c from {events} e join {bars} b on b.sym = e.event_type and b.ts = date_trunc('hour', e.ts)")
 
 
 @query("joi_16", "select w.position, o.o_orderkey, o.o_totalprice from (values (0::bigint, 30), (1, 10), (2, 20)) as w(position, k) join orders o on o.o_orderkey = w.k")
@@ -419,8 +408,38 @@ def agg_08(spark, sf_dir):
     return _rounded(metrics.of_trades(_trades(spark, sf_dir)))
 
 
-for _id in ("met_01", "met_07", "met_08", "met_09"):
-    QUERIES[_id], ORACLES[_id] = QUERIES["agg_08"], ORACLES["agg_08"]
+#: Groups with and without losses, with few trades and with many, and trades without an initial risk.
+_GROUPED = "o_orderkey as trade_id, case when o_orderpriority = '5-LOW' then abs(o_totalprice - 250000) else o_totalprice - 250000 end as net, case when o_orderkey % 10 = 0 then 0e0 else 10000e0 end as r0, o_orderpriority, o_custkey % 600 as book"
+
+
+def _grouped(spark, sf_dir):
+    return sources.table(spark, sf_dir, "orders").selectExpr(*_split(_GROUPED))
+
+
+@query("met_01", f"select o_orderpriority, round(win_rate, 6) as win_rate, lost is null as unbounded, round(won / lost, 6) as pf, round(mean_won / mean_lost, 6) as payoff from (select o_orderpriority, avg((net > 0)::int) as win_rate, sum(net) filter (net > 0) as won, sum(-net) filter (net < 0) as lost, avg(net) filter (net > 0) as mean_won, avg(-net) filter (net < 0) as mean_lost from (select {_GROUPED} from orders) group by 1)")
+def met_01(spark, sf_dir):
+    """Profit factor and payoff; without a loss they are unbounded."""
+    m = metrics.of_trades(_grouped(spark, sf_dir), "o_orderpriority")
+    finite = lambda c: F.round(F.when(F.abs(c) != float("inf"), F.col(c)), 6).alias(c)
+    return m.select("o_orderpriority", F.round("win_rate", 6).alias("win_rate"), (F.col("pf") == float("inf")).alias("unbounded"), finite("pf"), finite("payoff"))
+
+
+@query("met_07", f"select trade_id, case when r0 > 0 then round(net / r0, 9) end as r from (select {_GROUPED} from orders)")
+def met_07(spark, sf_dir):
+    return metrics.r_multiples(_grouped(spark, sf_dir)).select("trade_id", F.round("r", 9).alias("r"))
+
+
+@query("met_08", f"select book, case when n >= 30 then round(sqrt(least(n, 100)) * m / sd, 6) end as sqn from (select book, count(r) as n, avg(r) as m, stddev_samp(r) as sd from (select book, case when r0 > 0 then net / r0 end as r from (select {_GROUPED} from orders)) group by book)")
+def met_08(spark, sf_dir):
+    """System quality of books of some 25 trades; none below 30."""
+    return metrics.of_trades(_grouped(spark, sf_dir), "book").select("book", F.round("sqn", 6).alias("sqn"))
+
+
+@query("met_09", f"select book, case when lost > 0 and won > 0 then round(w - (1 - w) / (won / lost), 6) when lost > 0 then null else round(w, 6) end as kelly from (select book, avg((net > 0)::int) as w, coalesce(avg(net) filter (net > 0), 0) as won, coalesce(avg(-net) filter (net < 0), 0) as lost from (select {_GROUPED} from orders) group by book)")
+def met_09(spark, sf_dir):
+    return metrics.of_trades(_grouped(spark, sf_dir), "book").select("book", F.round("kelly", 6).alias("kelly"))
+
+
 _DAILY = f"select ts::date as day, last(equity order by ts, seq) as equity from ({_EQUITY}) group by 1"
 _RETURNS = f"select day, equity / lag(equity) over (order by day) - 1 as r from ({_DAILY}) qualify r is not null"
 
@@ -467,7 +486,12 @@ def met_02(spark, sf_dir):
     return _rounded(metrics.of_returns(metrics.daily_returns(_equity(spark, sf_dir), ("ts", "seq"))))
 
 
-QUERIES["met_03"], ORACLES["met_03"] = QUERIES["met_02"], ORACLES["met_02"]
+@query("met_03", f"select round(sqrt(365) * (avg(r) - 0.0001) / sqrt(avg(power(least(r - 0.0001, 0), 2))), 6) as sortino from ({_RETURNS})")
+def met_03(spark, sf_dir):
+    """Sortino against a target of one ten-thousandth a day."""
+    return _rounded(metrics.of_returns(metrics.daily_returns(_equity(spark, sf_dir), ("ts", "seq")), 0.0001).select("sortino"))
+
+
 _DRAWN = "select *, equity / max(equity) over (order by ts, seq rows unbounded preceding) - 1 as d from ({0})"
 _OF_D = "select round(mdd, 9) as mdd, round(ulcer, 6) as ulcer, round(cagr, 9) as cagr, round(cagr / abs(mdd), 6) as mar from (select min(d) as mdd, sqrt(avg(power(100 * d, 2))) as ulcer, power(last(equity order by ts, seq) / first(equity order by ts, seq), 1 / ((epoch(max(ts)) - epoch(min(ts))) / 31536000)) - 1 as cagr from ({0}))"
 
@@ -478,7 +502,13 @@ def met_04(spark, sf_dir):
     return d.select(F.round("mdd", 9).alias("mdd"), F.round("ulcer", 6).alias("ulcer"), F.round("cagr", 9).alias("cagr"), F.round("mar", 6).alias("mar"))
 
 
-QUERIES["met_05"], ORACLES["met_05"] = QUERIES["met_04"], ORACLES["met_04"]
+@query("met_05", f"select part, case when t1 > t0 then round(power(b / a, 1 / ((epoch(t1) - epoch(t0)) / 31536000)) - 1, 9) end as cagr from (select date_trunc('year', ts)::timestamp as part, first(equity order by ts, seq) as a, last(equity order by ts, seq) as b, min(ts) as t0, max(ts) as t1 from ({_EQUITY}) group by 1)")
+def met_05(spark, sf_dir):
+    """Growth of every year."""
+    g = metrics.growth(_equity(spark, sf_dir), ("ts", "seq"))
+    return g.select(F.col("part").cast("timestamp_ntz").alias("part"), F.round("cagr", 9).alias("cagr"))
+
+
 _LATE = f"select * from ({_EQUITY}) where ts >= (select max(o_orderdate) - interval '3 years' from orders)"
 
 
@@ -495,7 +525,8 @@ def _multiples(trades: DataFrame, run) -> DataFrame:
 
 @query("met_10")
 def met_10(spark, sf_dir):
-    return metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run")), stop_early=True).select("run_id", "ruin")
+    """Risk of ruin: paths end where they are ruined."""
+    return metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run"))).select("run_id", "ruin")
 
 
 @query("val_03")
@@ -585,49 +616,159 @@ def _signals(spark, sf_dir):
     return bars.join(ema, ["sym", "ts"]).selectExpr("sym", "ts", "o", "h", "l", "c", "case when s is null then null when f > s then 1 when f < s then -1 else 0 end as signal")
 
 
-def _simulated(spark, sf_dir):
-    return simulate.simulate(_signals(spark, sf_dir), {"base": simulate.Rules(), "wide": simulate.Rules(stop_share=0.05), "levered": simulate.Rules(leverage=5)})
+#: Stops near and far, leverage that the isolated margin bounds, and a risk above the limit.
+_RUNS = {"base": simulate.Rules(), "wide": simulate.Rules(distance=0.05, reward=None), "levered": simulate.Rules(distance=0.004, leverage=5), "reckless": simulate.Rules(risk=0.02)}
+_EMAS = Plan(["f", "s"]).scan(indicators.ema("f", "c", 9), indicators.ema("s", "c", 21))
+_SIGNAL = "case when s is null then null when f > s then 1 when f < s then -1 else 0 end"
+#: Measured funding rates of two thirds of the funding times.
+_RATE = "((k % 5) - 1) / 10000e0"
+
+
+def _journal(spark, sf_dir):
+    bars = _signals(spark, sf_dir)
+    times = bars.selectExpr("sym", "unix_seconds(cast(ts as timestamp)) + 3600 as t").filter("t % 28800 = 0").selectExpr("sym", "t div 28800 as k", "cast(timestamp_seconds(t) as timestamp_ntz) as at")
+    rates = times.filter("k % 3 <> 0").selectExpr("sym", "at", "((k % 5) - 1) / 10000D as rate")
+    return simulate.journal(simulate.with_rates(bars, rates, 3600), _RUNS)
+
+
+_SOURCE = f"select sym, ts, o, h, l, c, {_SIGNAL} as signal, case when k % 3 <> 0 then {_RATE} end as rate from (select *, ((epoch(ts) + 3600) / 28800)::bigint as k from ({BARS}) join ({as_sql(_EMAS, BARS)}) using (sym, ts))"
+_REPLAY = replay.steps(_SOURCE, _RUNS)
+_AT = "make_timestamp((round({0}, 3) * 1000000)::bigint) as {1}"
+_TRADE_COLUMNS = {"entry_ts": _AT.format("entry_t", "entry_ts"), "exit_ts": _AT.format("exit_t", "exit_ts"), "quantity": "round(quantity, 5) as quantity", "r0": "round(r0, 2) as r0"} | {c: f"round({c}, 4) as {c}" for c in ("entry_price", "exit_price", "entry_reference", "exit_reference")} | {c: f"round({c}, 2) + 0 as {c}" for c in ("gross", "fees", "slippage", "funding", "net")}
+
+
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns as the SQL shows them: money to cents, prices to 4 places, quantities to 5."""
+    digits = {"quantity": 5} | {c: 4 for c in ("entry_price", "exit_price", "entry_reference", "exit_reference", "reference", "price")}
+    return df.select(*((F.round(c, digits.get(c, 2)) + 0.0).alias(c) if dict(df.dtypes)[c] == "double" else F.col(c) for c in columns))
 
 
 def _of_trades(name: str, *columns: str, where: str = "true") -> None:
-    """A view of the simulated trades of three runs."""
-    QUERIES[name] = lambda spark, sf_dir: _simulated(spark, sf_dir).filter(where).select("run_id", "sym", "trade_id", *columns)
-
-
-QUERIES["sim_01"] = QUERIES["val_08"] = _simulated
-_of_trades("sim_02", "side", "entry_ts", "entry_price")
-_of_trades("sim_08", "quantity", "entry_price", where="run_id = 'levered'")
-_of_trades("sim_09", "quantity", "entry_price", "r0")
-_of_trades("sim_10", "side", "exit_ts", "exit_price", "exit_reason", where="exit_reason in ('STOP_LOSS', 'TAKE_PROFIT')")
-_of_trades("sim_11", "side", "quantity", "entry_price")
-_of_trades("sim_12", "entry_ts", "exit_ts", "funding")
-_of_trades("sim_13", "exit_ts", "exit_price", "exit_reason", "funding", where="run_id = 'levered'")
-_of_trades("sim_14", "exit_ts", "exit_price", "exit_reason", where="exit_reason in ('DATA_GAP', 'END_OF_DATA')")
+    """A view of the simulated trades of all runs."""
+    shown = ", ".join(_TRADE_COLUMNS.get(c, c) for c in columns)
+
+    @query(name, f"{_REPLAY} select run_id, sym, trade_id, {shown} from trade where {where}")
+    def view(spark, sf_dir):
+        return _shown(simulate.trades(_journal(spark, sf_dir)).filter(where), "run_id", "sym", "trade_id", *columns)
+
+
+_of_trades("sim_01", "side", "entry_ts", "entry_price", "quantity", "exit_ts", "exit_price", "exit_reason", "net")
+_of_trades("sim_09", "quantity", "entry_price", "entry_reference", "r0")
+_of_trades("sim_10", "side", "exit_ts", "exit_price", "exit_reason", where="exit_reason in ('STOP_LOSS', 'TAKE_PROFIT', 'LIQUIDATION')")
+_of_trades("sim_14", "exit_ts", "exit_reference", "exit_price", "exit_reason", where="exit_reason in ('DATA_GAP', 'END_OF_DATA')")
 _of_trades("sim_19", "gross", "fees", "slippage", "funding", "net", "r0")
-_of_trades("sim_20", "mae", "mfe")
-_EMAS = Plan(["f", "s"]).scan(indicators.ema("f", "c", 9), indicators.ema("s", "c", 21))
+_FILLS = "select run_id, sym, trade_id, 'entry' as action, null as reason, entry_t as \"at\", entry_reference as reference, entry_price as price, quantity, fee_in as fee, slip_in as slippage, false as gap, dts_in as dts, i from entry union all select g.run_id, g.sym, g.trade_id, 'exit', why, \"at\", ref, g.price, e.quantity, fee, slip, gap, dts, g.i from gone g join entry e using (run_id, sym, trade_id)"
+
 
+@query("sim_02", f"{_REPLAY} select run_id, sym, trade_id, action, {_AT.format('"at"', 'ts')}, round(reference, 4) as reference, round(price, 4) as price, gap from ({_FILLS}) where (action = 'entry' or reason in ('SIGNAL', 'REVERSAL'))")
+def sim_02(spark, sf_dir):
+    """What happens at the open: orders of the close before, exits before entries."""
+    fills = _journal(spark, sf_dir).filter("kind = 'fill' and (action = 'entry' or reason in ('SIGNAL', 'REVERSAL'))")
+    return _shown(fills, "run_id", "sym", "trade_id", "action", "ts", "reference", "price", "gap")
 
-@query("sim_03", f"select sym, ts, case when s is null then null when f > s then 1 when f < s then -1 else 0 end as signal from ({as_sql(_EMAS, BARS)})")
+
+@query("sim_03", f"{_REPLAY} select run_id, sym, {_AT.format('t + 3600', 'ts')}, act as action, signal as side from st where act in ('enter', 'reverse') union all select run_id, sym, {_AT.format('t + 3600', 'ts')}, act, x2side from st where act = 'exit'")
 def sim_03(spark, sf_dir):
-    """Decisions at each close, by the regime of two averages."""
-    return _signals(spark, sf_dir).select("sym", "ts", "signal")
+    """What is decided at the close."""
+    return _journal(spark, sf_dir).filter("kind = 'decision' and action <> 'skip'").select("run_id", "sym", "ts", "action", "side")
+
 
+_LEVELS = "event_id, value as price, case when event_id % 4 = 0 then null when event_id % 2 = 0 then value - 1 else value + 1 end as stop, case when event_id % 8 = 0 then null when event_id % 4 = 0 then value + 2 - event_id % 3 * 2 + 0.5 end as target, cast(event_id % 3 - 1 as int) as held"
 
-QUERIES["sim_28"], ORACLES["sim_28"] = QUERIES["sim_03"], ORACLES["sim_03"]
 
+@query("sim_04", f"select event_id, case when stop is null and target is null then 'exit' when held <> 0 and held <> wanted then 'reverse' else 'enter' end as action, case when stop is null and target is null then null else wanted end as side from (select *, case when stop is not null then case when stop < price then 1 else -1 end else case when target > price then 1 else -1 end end as wanted from (select {_LEVELS} from events))")
+def sim_04(spark, sf_dir):
+    e = sources.table(spark, sf_dir, "events").selectExpr(*_split(_LEVELS))
+    return e.select("event_id", simulate.intent(F.col("price"), F.col("stop"), F.col("target"), F.col("held")).alias("i")).select("event_id", "i.action", "i.side")
 
-@query("sim_05")
+
+@query("sim_05", f"{_REPLAY} select run_id, sym, act as action, coalesce(why, '') as reason, count(*) as n from (select run_id, sym, act, why from st where act is not null union all select run_id, sym, 'skip', 'available_margin' from st where refused) group by all")
 def sim_05(spark, sf_dir):
-    """How the trades of each run ended."""
-    return _simulated(spark, sf_dir).groupBy("run_id", "exit_reason").agg(F.count("*").alias("n"))
+    """Decisions by what came of them; skips by their reasons."""
+    return _journal(spark, sf_dir).filter("kind = 'decision'").groupBy("run_id", "sym", "action", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+_ORDERS = "event_id as order_id, event_type as sym, ts, case event_id % 4 when 0 then 'market' when 1 then 'limit' when 2 then 'stop' else 'take_profit' end as kind, cast(1 - event_id % 2 * 2 as int) as side, floor(value * (0.9e0 + event_id % 5 * 0.05e0) * 100) / 100 as level, 1 + event_id % 9 as quantity"
+_TRIGGER = "case when kind = 'market' then o when kind in ('limit', 'take_profit') and side > 0 and l <= level then least(o, level) when kind in ('limit', 'take_profit') and side < 0 and h >= level then greatest(o, level) when kind = 'stop' and side > 0 and h >= level then greatest(o, level) when kind = 'stop' and side < 0 and l <= level then least(o, level) end"
 
 
-@query("sim_06")
+@query("sim_06", f"select order_id, bar_ts, reference, coalesce(gap, false) and reference is not null as gap, price, round(price * quantity * 0.0005::double, 3) as fee from (select *, round_even(reference * (1 + side * case when gap then 0.001::double else 0.0005::double end), 8) as price from (select *, kind in ('limit', 'stop') and reference <> level as gap from (select *, {_TRIGGER} as reference from (select q.*, b.ts as bar_ts, b.o, b.h, b.l from (select {_ORDERS} from events) q asof left join ({BARS}) b on q.sym = b.sym and q.ts < b.ts))))")
 def sim_06(spark, sf_dir):
-    """Entries beside the open of the bar they filled on."""
-    bars = sources.hourly(spark, sf_dir).select("sym", F.col("ts").alias("entry_ts"), "o")
-    return _simulated(spark, sf_dir).join(bars, ["sym", "entry_ts"]).select("run_id", "sym", "trade_id", "side", "entry_price", "o")
+    """Resting orders of every kind against the bar after them."""
+    orders = sources.table(spark, sf_dir, "events").selectExpr(*_split(_ORDERS))
+    m = simulate.matched(orders, sources.hourly(spark, sf_dir))
+    return m.select("order_id", "bar_ts", "reference", "gap", "price", F.round("fee", 3).alias("fee"))
+
+
+@query("sim_08", f"{_REPLAY} select run_id, sym, trade_id, round(quantity, 5) as quantity, quantity < round(asked, 8) as truncated from (select e.*, pq_ as asked from entry e join (select run_id, sym, i, lag(pq) over (partition by run_id, sym order by i) as pq_ from st) using (run_id, sym, i))")
+def sim_08(spark, sf_dir):
+    """Entries whose quantity risk or margin bounds."""
+    return _shown(_journal(spark, sf_dir).filter("kind = 'fill' and action = 'entry'"), "run_id", "sym", "trade_id", "quantity", "truncated")
+
+
+@query("sim_12", f"{_REPLAY} select run_id, sym, trade_id, {_AT.format('"at"', 'ts')}, round(price, 4) as price, round(rate, 6) as rate, round(paid, 4) + 0 as amount, case when measured then 'measured' else 'fallback' end as source from (select *, (\"at\" / 28800)::bigint % 3 <> 0 as measured from paid)")
+def sim_12(spark, sf_dir):
+    """Funding at every funding time of an open position."""
+    f = _journal(spark, sf_dir).filter("kind = 'funding'")
+    return f.select("run_id", "sym", "trade_id", "ts", F.round("reference", 4).alias("price"), F.round("rate", 6).alias("rate"), (F.round("amount", 4) + 0.0).alias("amount"), F.col("reason").alias("source"))
+
+
+@query("sim_13", f"{_REPLAY} select run_id, sym, {_AT.format('t + 3600', 'ts')}, round(margin2, 2) as margin, round(due, 4) + 0 as due, round(paid, 4) + 0 as paid from (select st.run_id, st.sym, st.t, st.x2margin as margin2, fdue as due, fpaid as paid from st where fon and not x2on)")
+def sim_13(spark, sf_dir):
+    """What funding leaves of the isolated margin, of positions that outlast the bar."""
+    kept = _journal(spark, sf_dir)
+    marks = kept.filter("kind = 'equity' and side <> 0").select("run_id", "sym", "ts", "margin")
+    f = kept.filter("kind = 'funding'").select("run_id", "sym", "ts", (F.round("theoretical", 4) + 0.0).alias("due"), (F.round("amount", 4) + 0.0).alias("paid"))
+    return marks.join(f, ["run_id", "sym", "ts"]).select("run_id", "sym", "ts", F.round("margin", 2).alias("margin"), "due", "paid")
+
+
+_BAD = "direction * (case when direction > 0 then l else h end - entry_reference) * quantity"
+_GOOD = "direction * (case when direction > 0 then h else l end - entry_reference) * quantity"
+
+
+@query("sim_20", f"{_REPLAY} select run_id, sym, trade_id, round(min(bad), 2) as mae, round(max(good), 2) as mfe from (select t.*, {_BAD} as bad, {_GOOD} as good from trade t join b on b.sym = t.sym and b.t > t.entry_t and b.t < t.exit_t - 0.0015) group by all")
+def sim_20(spark, sf_dir):
+    done = simulate.trades(_journal(spark, sf_dir))
+    return simulate.excursions(done, sources.hourly(spark, sf_dir)).select("run_id", "sym", "trade_id", F.round("mae", 2).alias("mae"), F.round("mfe", 2).alias("mfe"))
+
+
+_MARKS = "select run_id, sym, i, 0 as late, t + 3600 as at, x2cash as cash, x2margin + upl as position, equity from st where i > 0 union all select run_id, sym, i, 1, t + 3600.001, cash, 0, cash from st where x3on and x3why = 'END_OF_DATA'"
+
+
+@query("sim_21", f"{_REPLAY} select run_id, sym, {_AT.format('"at"', 'ts')}, round(equity, 2) as equity, round(peak, 2) as peak, round(equity / peak - 1, 6) as drawdown from (select *, max(equity) over (partition by run_id, sym order by i, late rows unbounded preceding) as peak from ({_MARKS}))")
+def sim_21(spark, sf_dir):
+    e = simulate.equity_curve(_journal(spark, sf_dir))
+    return e.select("run_id", "sym", "ts", F.round("equity", 2).alias("equity"), F.round("peak", 2).alias("peak"), F.round("drawdown", 6).alias("drawdown"))
+
+
+@query("sim_22", f"{_REPLAY} select run_id, sym, count(*) as marks, count(*) filter (abs(cash + position - equity) > 1e-6) as broken from ({_MARKS}) group by all")
+def sim_22(spark, sf_dir):
+    """Cash and position make the equity, at every mark of every run."""
+    e = simulate.equity_curve(_journal(spark, sf_dir))
+    bad = audit.unequal(e.withColumn("key", F.concat_ws("/", "run_id", "sym", "seq")), "key", F.col("cash") + F.col("position"), F.col("equity"), "accounting", 1e-7).select(F.split("ref", "/").alias("k")).select(F.col("k")[0].alias("run_id"), F.col("k")[1].alias("sym"))
+    n = bad.groupBy("run_id", "sym").agg(F.count("*").alias("broken"))
+    return e.groupBy("run_id", "sym").agg(F.count("*").alias("marks")).join(n, ["run_id", "sym"], "left").select("run_id", "sym", "marks", F.coalesce("broken", F.lit(0)).cast("bigint").alias("broken"))
+
+
+@query("sim_28", f"select sym, ts, {_SIGNAL} as signal from ({as_sql(_EMAS, BARS)})")
+def sim_28(spark, sf_dir):
+    """The reference strategy: the regime of two averages."""
+    return _signals(spark, sf_dir).select("sym", "ts", "signal")
+
+
+def _swept(spark, sf_dir):
+    cells = {f"{c['distance']}/{c['reward']}": simulate.Rules(**c) for c in simulate.grid_of(distance=[0.01, 0.02, 0.04], reward=[1.0, 2.0])}
+    return simulate.trades(simulate.journal(_signals(spark, sf_dir), cells, runs_a_task=2))
+
+
+_CELL_RUNS = {f"{d}/{r}": simulate.Rules(distance=d, reward=r) for d in (0.01, 0.02, 0.04) for r in (1.0, 2.0)}
+_BARE = f"select sym, ts, o, h, l, c, {_SIGNAL} as signal, null::double as rate from ({BARS}) join ({as_sql(_EMAS, BARS)}) using (sym, ts)"
+
+
+@query("val_08", f"{replay.steps(_BARE, _CELL_RUNS)} select run_id, count(*) as n, round(sum(net), 2) as net from trade group by all")
+def val_08(spark, sf_dir):
+    """Every cell of a grid of rules, in one pass over the bars."""
+    return _swept(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("net"), 2).alias("net"))
 
 
 @query("sim_29")
@@ -642,14 +783,6 @@ def sim_29(spark, sf_dir):
     return _streamed(spark, sf_dir, fills, ["wallet", "signal_id", "side"])
 
 
-@query("sim_21")
-def sim_21(spark, sf_dir):
-    return _rounded(simulate.equity_grid(_simulated(spark, sf_dir), simulate.Rules().capital))
-
-
-statement("sim_04", "select event_id, case when value < 1 then 'exit' when value % 2 < 1 then 'long' else 'short' end as intent from {events}")
-
-
 @query("sim_07", "select event_id, case when event_type = 'view' then case when low <= 50 then least(50, value) end when event_type = 'click' then case when value + 5 >= 50 then greatest(50, value) end else value end as price from (select *, value - 5 as low from events)")
 def sim_07(spark, sf_dir):
     e = sources.table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "value as o", "value + 5 as h", "value - 5 as l")
@@ -673,13 +806,8 @@ def sim_17(spark, sf_dir):
     return sources.table(spark, sf_dir, "orders").select("o_orderkey", F.round(simulate.liquidation_price(F.col("o_totalprice"), F.lit(5), 0.004, F.col("o_orderstatus") == "F"), 6).alias("liquidation"))
 
 
-@query("sim_18", "select event_id, (unnest(generate_series(floor(epoch(ts) / 28800)::bigint + 1, floor(epoch(ts + interval '20 hours') / 28800)::bigint)) * 28800)::double as at from events where event_id < 1000")
+@query("sim_18", "select event_id, (unnest(generate_series(floor(epoch(ts) / 28800)::bigint + 1, floor(epoch(ts + interval '20 hours') / 28800)::bigint)) * 28800)::double as at from events")
 def sim_18(spark, sf_dir):
-    return _boundaries(sources.table(spark, sf_dir, "events").filter("event_id < 1000"))
-
-
-@query("sim_18_all", "select event_id, (unnest(generate_series(floor(epoch(ts) / 28800)::bigint + 1, floor(epoch(ts + interval '20 hours') / 28800)::bigint)) * 28800)::double as at from events")
-def sim_18_all(spark, sf_dir):
     return _boundaries(sources.table(spark, sf_dir, "events"))
 
 
@@ -688,20 +816,77 @@ def _boundaries(events: DataFrame) -> DataFrame:
     return simulate.funding_boundaries(e).select("event_id", F.unix_seconds("boundary").cast("double").alias("at"))
 
 
-statement("sim_22", "select count(*) as n from {orders} where cast(round(o_totalprice * 100) as bigint) - 100 + 100 <> cast(round(o_totalprice * 100) as bigint)")
-statement("sim_23", "select o_orderkey, round(least(0.005e0, 0.01e0) * 100000 / (o_totalprice * 0.02e0), 8) as size from {orders}")
-statement("sim_24", "select o_orderkey, round(greatest(0e0, 0.55e0 - 0.45e0 / (o_totalprice / 250000)) * 0.5e0, 8) as share from {orders} where o_totalprice > 0")
-statement("sim_25", "select o_custkey, sum(cast(round(o_totalprice * 100) as bigint)) <= 100000000 as within_limit from {orders} group by o_custkey")
-statement("sim_26", "select sym, ts, round(c * 0.98e0, 6) as stop, round(c + 2 * c * 0.02e0, 6) as target from {bars}")
-statement("sim_27", "select * from (values ('taker', 0.0005), ('maintenance', 0.004), ('entry_slip', 0.0005), ('exit_slip', 0.0001), ('gap', 2.0)) as t(name, value)", "select * from values ('taker', 0.0005BD), ('maintenance', 0.0040BD), ('entry_slip', 0.0005BD), ('exit_slip', 0.0001BD), ('gap', 2.0000BD) as t(name, value)")
-ORACLES["sim_27"] = "select name, value::double as value from (values ('taker', 0.0005), ('maintenance', 0.004), ('entry_slip', 0.0005), ('exit_slip', 0.0001), ('gap', 2.0)) as t(name, value)"
-QUERIES["sim_27"] = lambda spark, sf_dir: spark.sql("select * from values ('taker', 0.0005D), ('maintenance', 0.004D), ('entry_slip', 0.0005D), ('exit_slip', 0.0001D), ('gap', 2.0D) as t(name, value)")
+_STAKES = "o_orderkey, o_totalprice as equity, o_orderkey % 12 / 1000e0 as risk, 1e0 + o_custkey % 7 as distance, 0.3e0 + o_custkey % 60 / 100e0 as p, o_totalprice / 250000e0 - 0.02e0 as payoff"
+
+
+@query("sim_23", f"select o_orderkey, case when risk > 0 and risk <= 0.01 and equity > 0 then round(risk * equity / distance, 9) end as size from (select {_STAKES} from orders)")
+def sim_23(spark, sf_dir):
+    o = sources.table(spark, sf_dir, "orders").selectExpr(*_split(_STAKES.replace("e0", "D")))
+    return o.select("o_orderkey", F.round(money.risk_size(F.col("risk"), F.col("equity"), F.col("distance")), 9).alias("size"))
+
+
+@query("sim_24", f"select o_orderkey, round(equity * 0.2, 6) as allotted, case when risk > 0 and risk <= 0.01 then round(risk * equity / distance, 9) end as unit, round(equity + distance * 1.5, 6) as last_unit, case when payoff > 0 then round(p - (1 - p) / payoff, 6) end as kelly, case when payoff > 0 then round(greatest(0, p - (1 - p) / payoff) * 0.5, 6) else 0 end as half from (select {_STAKES} from orders)")
+def sim_24(spark, sf_dir):
+    o = sources.table(spark, sf_dir, "orders").selectExpr(*_split(_STAKES.replace("e0", "D")))
+    own, n, full = F.col("equity"), F.col("distance"), money.kelly(F.col("p"), F.col("payoff"))
+    steps = money.ladder(own, n, F.lit(1))
+    return o.select("o_orderkey", F.round(money.wallet_share(own), 6).alias("allotted"), F.round(money.unit(F.col("risk"), own, n), 9).alias("unit"), F.round(steps[3], 6).alias("last_unit"), F.round(full, 6).alias("kelly"), F.round(money.capped(full), 6).alias("half"))
+
+
+_LIMITS = {"market": 0.02, "group": 120.0, "direction": 300.0}
+_RISKS = "o_custkey as market, o_orderpriority as grp, case when o_orderkey % 2 = 0 then 'LONG' else 'SHORT' end as direction, cast(o_totalprice / 1e7 as decimal(28, 12)) as risk"
+
+
+@query("sim_25", f"select scope, name, round(total, 9) as total, total <= most as allowed from (select scope, name, sum(risk)::double as total, case scope when 'market' then 0.02 when 'group' then 120 else 300 end * (1 + power(2e0, -52)) as most from (select unnest(['market', 'group', 'direction']) as scope, unnest([market::varchar, grp, direction]) as name, risk from (select {_RISKS} from orders)) group by all)")
+def sim_25(spark, sf_dir):
+    e = money.exposure(sources.table(spark, sf_dir, "orders").selectExpr(*_split(_RISKS)), _LIMITS)
+    return e.select("scope", "name", F.round("total", 9).alias("total"), "allowed")
+
+
+_DAYS = f"select sym, time_bucket(interval '1 day', ts, timestamp '1970-01-01') as ts, first(o order by ts) as o, max(h) as h, min(l) as l, last(c order by ts) as c, sum(v) as v from ({BARS}) group by 1, 2"
+_VOLATILE = f"select p.*, a.value as atr, n.value as n from (select sym, ts, c, case when extract(hour from ts) % 2 = 0 then 1 else -1 end as side, 4000e0 + 1000 * extract(hour from ts) as cash from ({BARS})) p join ({as_sql(indicators.REGISTRY['atr'](14), BARS)}) a using (sym, ts) asof left join (select sym, ts + interval '23 hours' as ts, value from ({as_sql(indicators.REGISTRY['atr'](20), _DAYS)})) n on p.sym = n.sym and p.ts >= n.ts"
+
+
+def _planned_sql(policy: str) -> str:
+    if policy == "turtle":
+        inner = "select *, c - side * 2 * n as stop, null::double as target, 1000 / (2 * n) as quantity, greatest(1, ceil(c * 1000 / (2 * n) / cash)) as leverage, 2 * n as distance from v"
+        why = "case when not coalesce(distance > 0, false) then 'no_distance' when stop <= 0 then 'price_not_positive' when leverage > 5 then 'leverage' when side * (c * (1 - side * (1 / leverage - 0.004)) - stop) >= 0 then 'liquidation_before_stop' end"
+    else:
+        quantity = "1000 / (2 * atr)" if policy == "manual" else "cash * 0.2 / c"
+        inner = f"select *, c - side * 2 * atr as stop, c + side * 4 * atr as target, {quantity} as quantity, 1 as leverage, 2 * atr as distance from v"
+        why = "case when not coalesce(distance > 0, false) then 'no_distance' when stop <= 0 or target <= 0 then 'price_not_positive' end"
+    return f"select sym, ts, '{policy}' as policy, case when why is null then round(stop, 5) end as stop, case when why is null then round(target, 5) end as target, case when why is null then round(quantity, 5) end as quantity, case when why is null then leverage::int end as leverage, why as refusal from (select *, {why} as why from ({inner}))"
+
+
+@query("sim_26", f"with v as ({_VOLATILE}) " + " union all ".join(map(_planned_sql, ("manual", "turtle", "wallet_share"))))
+def sim_26(spark, sf_dir):
+    """Entry plans of every policy on every bar; the turtle's N is that of the last whole day."""
+    bars = sources.hourly(spark, sf_dir)
+    daily = resample.rolled_up(bars, "1d").drop("n").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    n = on_spark(indicators.REGISTRY["atr"](20), daily).selectExpr("sym", "ts + interval 23 hours as ts", "value as n")
+    points = bars.join(on_spark(indicators.REGISTRY["atr"](14), bars), ["sym", "ts"]).selectExpr("sym", "ts", "c", "value as atr", "case when hour(ts) % 2 = 0 then 1 else -1 end as side", "4000D + 1000 * hour(ts) as cash")
+    v = align.as_of(points, n, "n")
+    made = [F.struct(F.lit(p.name).alias("policy"), p.plan(F.col("side"), F.col("c"), F.col("n" if p.needs[2] == "1d" else "atr"), F.lit(100_000.0), F.col("cash")).alias("p")) for p in (money.Manual(), money.Turtle(), money.WalletShare())]
+    plans = v.select("sym", "ts", F.explode(F.array(*made)).alias("x"))
+    return plans.select("sym", "ts", "x.policy", F.round("x.p.stop", 5).alias("stop"), F.round("x.p.target", 5).alias("target"), F.round("x.p.quantity", 5).alias("quantity"), "x.p.leverage", "x.p.refusal")
+
+
+@query("sim_27", "select o_orderkey, round_even(o_totalprice * case when o_orderpriority = '1-URGENT' then 0.0002::double else 0.0005::double end, 6) as fee, round_even(o_totalprice * 0.0005::double * case when o_orderstatus = 'F' then 2 else 1 end, 6) as entry_slip, round_even(o_totalprice * 0.0001::double, 6) as exit_slip, round(o_totalprice * 0.004::double, 6) as maintenance from orders")
+def sim_27(spark, sf_dir):
+    """Costs by the defaults, a venue's own rate where it has one."""
+    o = sources.table(spark, sf_dir, "orders")
+    costs = simulate.costed(o.select("o_orderkey", F.col("o_totalprice").alias("notional"), F.when(F.col("o_orderpriority") == "1-URGENT", 0.0002).alias("fee_rate"), (F.col("o_orderstatus") == "F").alias("gap")))
+    return costs.select("o_orderkey", *(F.round(c, 6).alias(c) for c in ("fee", "entry_slip", "exit_slip", "maintenance")))
+
+
+_ASKED = "event_id, case when event_id % 50 = 0 then lower(event_type) else upper(event_type) end as sym, case when event_id % 40 = 0 then 'live' else 'paper' end as mode, event_id % 3 = 0 as spot, cast(1 - event_id % 2 * 2 as int) as side, user_id * 1e0 as quantity, value as price, case when event_id % 30 = 0 then null else value * 0.98 end as stop, 50000e0 as equity, event_id % 11 / 1000e0 as market_risk, event_id % 5 / 100e0 as total_risk, event_id % 7 / 200e0 as direction_risk"
 
 
-@query("sim_30", "select event_id, case when event_type not in ('view', 'click', 'signup') then 'symbol_not_allowed' when user_id > 400 then 'size_limit' when user_id * value > 5000 then 'notional_limit' end as reason from events")
+@query("sim_30", f"select event_id, case when mode <> 'paper' then 'paper_only' when sym <> upper(sym) then 'symbol_not_canonical' when sym not in ('VIEW', 'CLICK', 'SIGNUP') then 'symbol_not_allowed' when spot and side < 0 then 'spot_short_not_supported' when quantity > 400 then 'max_order_quantity' when quantity * price > 20000 then 'max_order_notional' when stop is null then 'protective_stop_required' when abs(price - stop) * quantity > 50000 * 0.01 * (1 + 1e-9) then 'one_r_limit' when market_risk + 0.005e0 > 0.012e0 * (1 + power(2e0, -52)) or total_risk + 0.005e0 > 0.04e0 * (1 + power(2e0, -52)) or direction_risk + 0.005e0 > 0.03e0 * (1 + power(2e0, -52)) then 'exposure_limit' end as reason from (select {_ASKED} from events)")
 def sim_30(spark, sf_dir):
-    e = sources.table(spark, sf_dir, "events").selectExpr("event_id", "event_type as sym", "user_id as quantity", "value as price")
-    return simulate.risk_reasons(e, ["view", "click", "signup"], 5000, 400).select("event_id", "reason")
+    e = sources.table(spark, sf_dir, "events").selectExpr(*_split(_ASKED.replace("e0", "D")))
+    guard = simulate.Guard(allowed=("VIEW", "CLICK", "SIGNUP"), most_quantity=400, most_notional=20_000, risk=0.005, market_limit=0.012, group_limit=0.04, direction_limit=0.03)
+    return guard.judged(e).select("event_id", "reason")
 
 
 # ---- audits and derivations

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from tallow.operators import metrics
@@ -15,7 +16,7 @@ def test_joins_cover_every_row(spark, sf):
     firsts = sorted({o.o_orderdate for o in orders if o.o_orderdate.day == 1})
     day = dt.timedelta(days=1)
     want = sorted((o.o_orderkey, i) for o in orders for i, d in enumerate(firsts, 1) if o.o_orderdate <= d + 10 * day and o.o_orderdate + 2 * day >= d)
-    assert sorted((r.o_orderkey, r.episode) for r in QUERIES["joi_10_all"](spark, sf).collect()) == want
+    assert sorted((r.o_orderkey, r.episode) for r in QUERIES["joi_10"](spark, sf).collect()) == want
 
     events = spark.read.parquet(f"{sf}/events.parquet").collect()
     by: dict[str, list] = {}
@@ -26,14 +27,14 @@ def test_joins_cover_every_row(spark, sf):
         after = [t.value for t in by[e.event_type] if e.ts < t.ts <= e.ts + dt.timedelta(hours=1)]
         if after:
             candles[e.event_id] = (after[0], max(after), min(after), after[-1], len(after))
-    assert {r.event_id: (r.o, r.h, r.l, r.c, r.n) for r in QUERIES["joi_14_all"](spark, sf).collect()} == candles
+    assert {r.event_id: (r.o, r.h, r.l, r.c, r.n) for r in QUERIES["joi_14"](spark, sf).collect()} == candles
 
     opens: dict[tuple, float] = {}
     for kind, rows in by.items():
         for e in rows:
             opens.setdefault((kind, e.ts.replace(minute=0, second=0, microsecond=0)), e.value)
     nexts = {e.event_id: min(((ts, o) for (kind, ts), o in opens.items() if kind == e.event_type and ts > e.ts), default=(None, None)) for e in events}
-    assert {r.event_id: (r.next_ts, r.next_o) for r in QUERIES["joi_13_all"](spark, sf).collect()} == nexts
+    assert {r.event_id: (r.next_ts, r.next_o) for r in QUERIES["joi_13"](spark, sf).collect()} == nexts
 
 
 def test_no_query_stops_at_an_id(spark, sf):
@@ -41,8 +42,8 @@ def test_no_query_stops_at_an_id(spark, sf):
     epoch = dt.datetime(1970, 1, 1)
     eighths = lambda t: (t - epoch) // dt.timedelta(hours=8)
     want = sorted((e.event_id, b * 28800.0) for e in events for b in range(eighths(e.ts) + 1, eighths(e.ts + dt.timedelta(hours=20)) + 1))
-    assert sorted((r.event_id, r.at) for r in QUERIES["sim_18_all"](spark, sf).collect()) == want
-    assert sorted(r.event_id for r in QUERIES["joi_15_all"](spark, sf).collect()) == [e.event_id for e in events]
+    assert sorted((r.event_id, r.at) for r in QUERIES["sim_18"](spark, sf).collect()) == want
+    assert sorted(r.event_id for r in QUERIES["joi_15"](spark, sf).collect()) == [e.event_id for e in events]
 
 
 def test_wallets_consume_every_event(spark, sf):
@@ -70,30 +71,23 @@ def test_wallets_consume_every_event(spark, sf):
     assert [g[4:] for g in got] == [pytest.approx(x[4:], rel=1e-9) for x in sorted(want, key=lambda x: (x[0], x[1], x[3]))]
 
 
-def plain_paths(rs: list[float], paths: int, stop_early: bool) -> list[tuple[float, bool]]:
-    rng, out = random.Random(0), []
-    for _ in range(paths):
-        equity = peak = 1.0
-        total, ruined = 0.0, False
-        for _ in rs:
-            x = rng.choice(rs)
-            total += x
-            equity *= max(0.0, 1.0 + x * 0.01)
-            peak = max(peak, equity)
-            if equity <= peak * (1.0 - 0.6):
-                ruined = True
-                if stop_early:
-                    break
-        out.append((total, ruined))
-    return out
-
-
-@pytest.mark.parametrize("n", [1, 2, 128, 1000, 70_000])
-@pytest.mark.parametrize("early", [True, False])
-def test_paths_in_blocks_are_those_of_a_plain_loop(n, early):
-    rs = [random.Random(n + i).uniform(-6, 7) for i in range(n)]
-    paths = 3 if n > 10_000 else 40
-    assert metrics.simulated(rs, paths, stop_early=early) == plain_paths(rs, paths, early)
+def walked(rs: np.ndarray, draws: np.ndarray) -> tuple[list[float], list[bool]]:
+    """Ends of given draws (a row a path), by the whole history of each path at once."""
+    history = np.cumprod(1 + rs[draws] / 100, axis=1)
+    highs = np.maximum.accumulate(np.column_stack([np.ones(len(draws)), history]), axis=1)[:, 1:]
+    return rs[draws].sum(axis=1).tolist(), (history / highs <= 0.4).any(axis=1).tolist()
+
+
+@pytest.mark.parametrize("n", [1, 50, 1000])
+def test_paths_in_blocks_are_those_of_their_draws(n):
+    rs = np.array([random.Random(n + i).uniform(-6, 7) for i in range(n)])
+    total, ruined = metrics.resampled_paths(rs, 40, np.random.default_rng(7), step=n)
+    want = walked(rs, np.random.default_rng(7).integers(0, n, (40, n)))
+    assert total.tolist() == pytest.approx(want[0]) and ruined.tolist() == want[1]
+    rng = np.random.default_rng(7)
+    draws = np.concatenate([rng.integers(0, n, (40, min(7, n - i))) for i in range(0, n, 7)], axis=1)
+    total, ruined = metrics.resampled_paths(rs, 40, np.random.default_rng(7), step=7)
+    assert total.tolist() == pytest.approx(walked(rs, draws)[0]) and ruined.tolist() == walked(rs, draws)[1]
 
 
 def test_monte_carlo_takes_all_multiples_and_paths(spark, sf):
@@ -101,18 +95,19 @@ def test_monte_carlo_takes_all_multiples_and_paths(spark, sf):
     rs: dict[str, list[float]] = {}
     for o in orders:
         rs.setdefault(str(o.o_orderdate.year), []).append((o.o_totalprice - 250000) / 10000)
-    assert max(map(len, rs.values())) > 100
     got = {r.run_id: r for r in QUERIES["val_03"](spark, sf).collect()}
-    assert set(got) == set(rs)
-    year = min(rs)
-    ends = plain_paths(rs[year], 10_000, False)
-    totals = sorted(t for t, _ in ends)
-    low, high = 0.05 * 9999, 0.95 * 9999
-    at = lambda q: totals[int(q)] * (1 - q % 1) + totals[int(q) + 1] * (q % 1)
-    assert (got[year].p05, got[year].p95) == pytest.approx((at(low), at(high)), rel=1e-12)
-    assert got[year].ruin == sum(r for _, r in ends) / 10_000
-    every = [(o.o_totalprice - 250000) / 10000 for o in orders]
-    assert QUERIES["met_10"](spark, sf).first().ruin == sum(r for _, r in plain_paths(every, 10_000, True)) / 10_000
+    assert set(got) == set(rs) and {r.run_id: r for r in QUERIES["val_03"](spark, sf).collect()} == got
+    for year, values in rs.items():
+        values = np.array(values)
+        blocks = [np.random.default_rng([0, k, *year.encode()]).integers(0, len(values), (250, len(values))) for k in range(40)]
+        ends = [walked(values, b) for b in blocks]
+        totals, ruined = np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
+        assert (got[year].p05, got[year].p95) == pytest.approx(tuple(np.quantile(totals, [0.05, 0.95]))) and got[year].ruin == pytest.approx(ruined.mean())
+        # and as the theory has it: a sum of n draws is about normal
+        spread = 1.645 * values.std() * len(values) ** 0.5
+        assert got[year].p95 - got[year].p05 == pytest.approx(2 * spread, rel=0.06)
+    none = metrics.monte_carlo(spark.createDataFrame([("a", [])], "run_id string, rs array<double>"), paths=600).first()
+    assert tuple(none) == ("a", 0.0, 0.0, 0.0)
 
 
 @pytest.mark.parametrize("kind", ["touched", "update"])
@@ -142,9 +137,5 @@ def test_late_ticks_correct_stored_bars(spark, tmp_path, kind):
 
 
 def test_the_overfit_bundle_has_its_monte_carlo(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderkey").collect()
-    ends = metrics.simulated([(o.o_totalprice - 250000) / 10000 for o in orders], 10_000, stop_early=False)
-    totals = sorted(t for t, _ in ends)
-    got = QUERIES["val_06"](spark, sf).collect()
-    assert len(got) == 1 and got[0].folds and got[0].psr is not None and got[0].ruin == sum(r for _, r in ends) / 10_000
-    assert totals[499] <= got[0].p05 <= totals[500] and totals[9499] <= got[0].p95 <= totals[9500]
+    got, alone = QUERIES["val_06"](spark, sf).collect(), QUERIES["met_10"](spark, sf).first()
+    assert len(got) == 1 and got[0].folds and got[0].psr is not None and got[0].ruin == alone.ruin and got[0].p05 < got[0].p95
