@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import leaves
+
 
 def matching(df: DataFrame, equal: Mapping[str, object] = {}, at_least: Mapping[str, object] = {}, at_most: Mapping[str, object] = {}, deleted: str = "any", deleted_column: str = "deleted_at") -> DataFrame:
     """Rows that meet all given predicates; a None value does not restrict. deleted: any, only or none."""
@@ -66,3 +68,49 @@ def varied(df: DataFrame, key: str, json: str) -> DataFrame:
     """name, values: parameters (of a flat JSON object) with more than one value across rows."""
     pairs = df.select(F.explode(F.from_json(json, "map<string,string>")).alias("name", "value"))
     return pairs.groupBy("name").agg(F.count_distinct("value").alias("values")).filter("values > 1")
+
+
+def patched(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table with those columns replaced that rows (one a key) have and where they are not null; new keys are added."""
+    own = [c for c in rows.columns if c not in keys]
+    both = table.join(rows.select(*keys, *(F.col(c).alias(f"__{c}") for c in own)), list(keys), "full")
+    return both.select(*(F.coalesce(f"__{c}", c).alias(c) if c in own else F.col(c) for c in table.columns))
+
+
+def soft_deleted(table: DataFrame, gone: DataFrame, key: str, at: Column, column: str = "deleted_at") -> DataFrame:
+    """The table with `column` set to `at` for the keys of gone that are not deleted yet."""
+    marks = gone.select(key).distinct().withColumn("__gone", F.lit(True))
+    return table.join(marks, key, "left").withColumn(column, F.coalesce(column, F.when(F.col("__gone"), at))).drop("__gone")
+
+
+def retained(table: DataFrame, ts: str, now: Column, drop_days: int, compress_days: int) -> DataFrame:
+    """Rows younger than drop_days, with storage: compressed from compress_days on. Both are of whole days, so that a table in
+    partitions of days loses or rewrites whole partitions."""
+    age = F.date_diff(now, F.to_date(ts))
+    return table.filter(age < drop_days).withColumn("storage", F.when(age >= compress_days, "compressed").otherwise("plain"))
+
+
+def registered(catalog: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
+    """new rows as runs that begin: run_seq after the catalog's last one, in the given order, run_id from it, status RUNNING.
+    One request registers few rows, which are numbered in one task."""
+    last = catalog.agg(F.coalesce(F.max("run_seq"), F.lit(0)).alias("last"))
+    numbered = new.withColumn("k", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(last))
+    seq = (F.col("last") + F.col("k")).cast("bigint")
+    return numbered.withColumn("run_seq", seq).withColumn("run_id", F.format_string("run-%06d", "run_seq")).withColumn("status", F.lit("RUNNING")).drop("k", "last")
+
+
+def probes(**asked: tuple[DataFrame, str]) -> DataFrame:
+    """name, n, there of each probe (a frame and a condition): a count, and whether there is a row at all."""
+    one = lambda name, df, test: df.filter(test).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", (F.col("n") > 0).alias("there"))
+    return reduce(DataFrame.unionByName, (one(name, df, test) for name, (df, test) in asked.items()))
+
+
+def settings(runs: DataFrame, key: str, json: str) -> DataFrame:
+    """key, name, value of every leaf of nested JSON settings, names joined by dots."""
+    return runs.select(key, F.explode(leaves(F.col(json))).alias("x")).select(key, "x.name", "x.value")
+
+
+def differing(rows: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
+    """name, values (all of them, sorted) of the settings that are not the same in all rows."""
+    g = rows.groupBy(name).agg(F.array_join(F.array_sort(F.collect_set(value)), ",").alias("values"), F.count_distinct(value).alias("n"))
+    return g.filter("n > 1").select(name, "values")

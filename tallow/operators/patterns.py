@@ -121,6 +121,15 @@ _HIKKAKE = {
 NAMES = (*CONDITIONS, *_HIKKAKE)
 
 
+def pattern(name: str, before: int, value: str) -> Plan:
+    """Adds a pattern of one's own: rows before its first result, and its value as SQL over the names that the built-in ones use."""
+    if name in NAMES:
+        raise ValueError(f"there is a pattern {name}")
+    CONDITIONS[name] = (before, value)
+    return plan((name,))
+
+
+
 def _values(conditions: list[str]) -> list[dict[str, str]]:
     """Layers that make the values which the conditions name."""
     used = sorted({(k, int(n)) for c in conditions for k, n in re.findall(r"\b([a-z]{1,2})([0-4])\b", c)})

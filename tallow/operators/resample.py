@@ -33,11 +33,21 @@ def bars_from_ticks(ticks: DataFrame, width: str) -> DataFrame:
 
 
 def confirmed(bars: DataFrame, source: str, target: str, boundary: str | None = None, optional: tuple[str, ...] = ()) -> DataFrame:
-    """Coarser bars whose every source bar is there and which close by `boundary` (a timestamp literal).
+    """Coarser bars of exactly their expected source bars, which close by `boundary` (a timestamp literal).
 
     Prices by time, sums in decimals; a sum over an optional column is null if any of its values is. A
-    duplicate source bar raises.
+    duplicate source bar raises; a bar off the source's grid makes its bucket incomplete. `dropped` counts these.
     """
+    return _buckets(bars, source, target, boundary, optional).filter("whole").drop("whole")
+
+
+def dropped(bars: DataFrame, source: str, target: str, boundary: str | None = None) -> DataFrame:
+    """sym, kept, dropped: how many buckets `confirmed` keeps, and how many it leaves out as incomplete."""
+    whole = F.col("whole").cast("bigint")
+    return _buckets(bars, source, target, boundary, ()).groupBy("sym").agg(F.sum(whole).alias("kept"), F.sum(1 - whole).alias("dropped"))
+
+
+def _buckets(bars: DataFrame, source: str, target: str, boundary: str | None, optional: tuple[str, ...]) -> DataFrame:
     fine, wide = timeframe_seconds(source), timeframe_seconds(target)
     if wide % fine:
         raise ValueError(f"{target} is not made of {source}")
@@ -46,9 +56,10 @@ def confirmed(bars: DataFrame, source: str, target: str, boundary: str | None =
         b = b.filter(F.col("bucket") + F.make_dt_interval(secs=F.lit(wide)) <= F.lit(boundary).cast("timestamp"))
     sums = [F.sum(F.col("v").cast("decimal(28,8)")).cast("double").alias("v")]
     sums += [F.when(F.count(c) == F.count("*"), F.sum(c)).alias(c) for c in optional]
-    g = b.groupBy("sym", "bucket").agg(F.min_by("o", "ts").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "ts").alias("c"), *sums, F.count("*").alias("n"), F.count_distinct("ts").alias("d"))
+    g = b.groupBy("sym", "bucket").agg(F.min_by("o", "ts").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "ts").alias("c"), *sums, F.count("*").alias("n"), F.count_distinct("ts").alias("d"), F.count_if(F.unix_micros(F.col("ts").cast("timestamp")) % (fine * 1_000_000) == 0).alias("on_grid"))
     g = g.withColumn("n", F.when(F.col("n") == F.col("d"), F.col("n")).otherwise(F.raise_error(F.lit("duplicate source bar")).cast("bigint")))
-    return g.filter(F.col("n") == wide // fine).select("sym", F.col("bucket").alias("ts"), "o", "h", "l", "c", "v", *optional)
+    whole = (F.col("n") == wide // fine) & (F.col("on_grid") == F.col("n"))
+    return g.select("sym", F.col("bucket").alias("ts"), "o", "h", "l", "c", "v", *optional, whole.alias("whole"))
 
 
 def rolled_up(bars: DataFrame, target: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import indicators, patterns
+from ..operators import align, indicators, patterns, resample
 from .layers import Affine, Average, Machine, Plan, on_spark
 
 Parameters = Mapping[str, object]
@@ -111,3 +111,50 @@ def finite(value: Column, rn: Column, warm_up: int, name: str) -> Column:
     """value, or an error where it is missing or infinite after the warm-up."""
     bad = (rn >= warm_up) & (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")))
     return F.when(bad, F.raise_error(F.lit(f"{name} is not finite")).cast("double")).otherwise(value)
+
+
+# ---- series of several timeframes
+
+
+def specified(text: str) -> tuple[str, dict, str | None]:
+    """name, parameters, timeframe of a key such as `ema:n=9@4h`."""
+    m = re.fullmatch(r"([^:@]+)(?::([^@]*))?(?:@(\w+))?", text)
+    if not m:
+        raise ValueError(f"not a series: {text!r}")
+    pairs = [p.split("=", 1) for p in (m[2] or "").split(",") if p]
+    given = {k: float(v) if "." in v else int(v) for k, v in pairs}
+    return *found(m[1], given), m[3]
+
+
+def resolved_series(mode: str, declared: Iterable[str], explicit: Iterable[str], execution_timeframe: str) -> dict[str, tuple[str, dict, str]]:
+    """key -> (name, parameters, timeframe), each series once: `strategy` or no timeframe is that of the execution, and any
+    other must be made of it."""
+    chosen = {"auto": declared, "explicit": explicit}.get(mode)
+    chosen = resolved(mode) if chosen is None else chosen
+    out = {}
+    for text in chosen:
+        name, own, timeframe = specified(text)
+        timeframe = execution_timeframe if timeframe in (None, "strategy") else timeframe
+        if resample.timeframe_seconds(timeframe) % resample.timeframe_seconds(execution_timeframe):
+            raise ValueError(f"{timeframe} is not made of {execution_timeframe}")
+        out[series_key(name, own, timeframe)] = (name, own, timeframe)
+    return out
+
+
+def compute_series(bars: DataFrame, series: Mapping[str, tuple[str, dict, str]], execution_timeframe: str) -> DataFrame:
+    """sym, ts and a struct column a key, on the bars of the execution's timeframe: values of wider bars from their close on."""
+    step = resample.timeframe_seconds(execution_timeframe)
+    out = bars.select("sym", "ts")
+    for timeframe in dict.fromkeys(t for _, _, t in series.values()):
+        own = {k: v for k, v in series.items() if v[2] == timeframe}
+        plans = {f"s{i}": plan_of(n, p) for i, (n, p, _) in enumerate(own.values())}
+        wide = bars if timeframe == execution_timeframe else resample.confirmed(bars, execution_timeframe, timeframe).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        values = on_spark(merged(plans), wide)
+        named = [F.struct(*(F.col(f"{p}__{o}").alias(o) for o in plans[p].outputs)).alias(k) for p, k in zip(plans, own)]
+        if timeframe == execution_timeframe:
+            out = out.join(values.select("sym", "ts", *named), ["sym", "ts"])
+        else:
+            # a wide bar closes with the last of its own bars
+            late = F.col("ts") + F.make_dt_interval(secs=F.lit(resample.timeframe_seconds(timeframe) - step))
+            out = align.as_of(out, values.select("sym", late.alias("ts"), F.struct(*named).alias("__all")), "__all").select(*out.columns, "__all.*")
+    return out

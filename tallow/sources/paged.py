@@ -76,6 +76,48 @@ def paged_bars(spark: SparkSession, provider: str, symbols: list[str], since: in
     return spark.read.format("paged_bars").options(**options).load()
 
 
+class _RateReader(_Reader):
+    def read(self, partition):
+        module, _, name = self.options["provider"].partition(":")
+        fetch = getattr(importlib.import_module(module), name)
+        for ts, rate, mark in pages(fetch, partition.symbol, partition.since, partition.until, int(self.options.get("page", PAGE))):
+            yield (partition.symbol, dt.datetime.fromtimestamp(ts, dt.UTC).replace(tzinfo=None), rate, mark)
+
+
+class PagedRates(DataSource):
+    """Funding rates; rate and mark price stay the decimal texts that the provider gave."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_rates"
+
+    def schema(self) -> str:
+        return "sym string, at timestamp_ntz, rate string, mark string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RateReader(dict(self.options))
+
+
+def paged_rates(spark: SparkSession, provider: str, symbols: list[str], since: int, until: int, parts: int = 4, page: int = PAGE) -> DataFrame:
+    from ..session import ship
+
+    ship(spark)
+    spark.dataSource.register(PagedRates)
+    options = {"provider": provider, "symbols": ",".join(symbols), "since": str(since), "until": str(until), "parts": str(parts), "page": str(page)}
+    return spark.read.format("paged_rates").options(**options).load()
+
+
+def eighths(symbol: str, since: int, until: int, limit: int) -> list[tuple]:
+    """A provider for tests: rates at every eighth hour but each seventh, whose texts end in zeros; every third has no mark."""
+    step, out = 8 * 3600, []
+    for k in range(-(-since // step), -(-until // step)):
+        if k % 7:
+            out.append((k * step, f"0.000{k % 9}0{len(symbol)}00", None if k % 3 == 0 else f"{100 + k % 40}.50000000"))
+        if len(out) == limit:
+            break
+    return out
+
+
 def arithmetic(symbol: str, since: int, until: int, limit: int) -> list[tuple]:
     """A provider for tests: minute bars whose prices follow from the minute alone; every 97th minute is missing."""
     first, out = -(-since // 60), []

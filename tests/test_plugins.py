@@ -5,6 +5,8 @@ import pytest
 from tallow.operators import plugins
 from tallow.sources import paged
 from tallow.streaming.wallet import wallet_fills
+from tallow.session import ship
+from tallow.streaming.bars import keyed_state
 
 
 def test_parameters():
@@ -40,8 +42,10 @@ def test_wallets_count_each_signal_once(spark, tmp_path):
     spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     spark.createDataFrame([*first, ("w", 4, "a", -1, 110.0), ("w", 5, "a", 0, 100.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = wallet_fills(s, fee=0.0, slip=0.0, allowed=("a",)).writeStream.format("memory").queryName("fills").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    ship(spark)
+    with keyed_state(spark):
+        q = wallet_fills(s, fee=0.0, slip=0.0, allowed=("a",)).writeStream.format("memory").queryName("fills").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
     got = spark.sql("select signal_id, side, reason, cash, position from fills").collect()
     assert sorted((r.signal_id, r.side, r.reason) for r in got) == [(1, 1, "opened"), (3, 1, "symbol_not_allowed"), (4, -1, "opened"), (4, 0, "closed"), (5, 0, "closed")]
     assert {r.position for r in got if r.signal_id == 5} == {0.0} and [r.cash for r in got if r.signal_id == 5][0] == pytest.approx(102_000 + 0.2 * 102_000 / 11)

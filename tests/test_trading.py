@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallow.operators import audit, catalog, gaps, metrics, resample, simulate
+from tallow.session import ship
 from tallow.streaming import bars as streaming
 
 T0 = dt.datetime(2024, 1, 1)
@@ -177,9 +178,9 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     df.filter("seq >= 150").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = str(tmp_path / "bars")
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = streaming.streamed_bars(s).writeStream.foreachBatch(streaming.append_once(out, ["sym", "ts"])).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q = streaming.streamed_bars(s).writeStream.foreachBatch(streaming.append_once(out, ["sym", "ts"], "ts")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {r.ts: (r.o, r.h, r.l, r.c, r.v) for r in spark.read.parquet(out).collect()}
+    got = {r.ts: (r.o, r.h, r.l, r.c, r.v) for r in streaming.kept_once(spark, out).collect()}
     want = {r.ts: (r.o, r.h, r.l, r.c, r.v) for r in resample.bars_from_ticks(df, "1 hour").collect()}
     assert len(got) >= len(want) - 2 and all(want[k] == v for k, v in got.items())
 
@@ -187,8 +188,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     b.filter("ts < timestamp '2024-01-01 12:00:00'").coalesce(1).write.parquet(str(tmp_path / "b"))
     b.filter("ts >= timestamp '2024-01-01 12:00:00'").coalesce(1).write.mode("append").parquet(str(tmp_path / "b"))
     bars = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "b"))
-    q = streaming.streamed_average(bars, 5).writeStream.format("memory").queryName("averages").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    ship(spark)
+    with streaming.keyed_state(spark):
+        q = streaming.streamed_average(bars, 5).writeStream.format("memory").queryName("averages").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        q.awaitTermination()
     from tallow.plans.layers import run_average
 
     close = b.orderBy("ts").toPandas()["c"].to_numpy()
