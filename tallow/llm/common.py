@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark only (any store that Spark knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Where that setting is absent, a local session takes a temporary folder of this machine; a cluster can't.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    found = getattr(spark, "_tallow_shared", None)
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="tallow-")
-        spark._tallow_shared = found
-    return found
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tallow-{name}-{uuid.uuid4().hex[:12]}"

@@ -59,7 +59,8 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.with_edits(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return spotsigs.with_classes(spotsigs.with_edits(docs), docs)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

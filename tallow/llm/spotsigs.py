@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import release, ship
-from . import wordhash
+from . import jaccard_join, wordhash
+from .common import small, stored
 from .ranges import Parts, even_parts, id_key
 from .wordhash import NOT_ALNUM, mixed
 
@@ -253,6 +254,50 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return in_order(docs, key, text).mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' sets as 64-bit tokens, sorted and distinct."""
+    sigs, bounds = signatures(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    return wordhash.per_text(mixed(sigs.astype(np.uint64) + _C), owner, len(texts))
+
+
+def length_range(n: int, percent: int) -> int:
+    """Number of the range of lengths that n lies in; ranges grow by 100 / percent, so that partners are in the same or
+    neighbouring ones."""
+    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9))
+
+
+def range_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, its tokens given rare first, with their places: the tokens of the prefix that a partner must
+    share one of, in the set's own range and in that of its shortest partner."""
+    n = len(tokens)
+    need = jaccard_join.most_missing(n, percent) + 1
+    ranges = {length_range(n, percent), length_range((percent * n + 99) // 100, percent)}
+    keys = [mixed(tokens[:need] * _A + np.uint64(r)) for r in sorted(ranges)]
+    return np.concatenate(keys), np.tile(np.arange(need), len(ranges))
+
+
+class Matches(jaccard_join.Join):
+    """Near duplicates among fingerprints: sets are partitioned by length ranges and indexed by their rarest signatures;
+    bounds by lengths, places in the index and bitmaps leave out most pairs, whole sets decide on the rest."""
+
+    @staticmethod
+    def _methods(k: int, percent: int):
+        return _sets, (lambda tokens, frequent: range_keys(tokens, percent))
+
+    def linked(self) -> DataFrame:
+        """doc_id, class_id of documents whose class has a smaller id than theirs; of an id with several texts the smallest."""
+        rows = self.members().filter("leader is not null and doc_id is not null and leader.doc_id < doc_id")
+        return stored(rows.groupBy("doc_id").agg(F.min("leader.doc_id").alias("class_id")), "linked")
+
+
+def with_classes(prints: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """prints (with doc_id) and class_id: the smallest id of the documents that are joined by fingerprints alike in percent
+    of their signatures; its own id for a document without such, and for one without words."""
+    own = Matches(docs, key, text, percent=percent).linked()
+    return prints.join(small(own, own.count(), 32), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
 def near_duplicates(prints: DataFrame, key: str = "doc_id", fingerprint: str = "fingerprint", threshold: float = 0.8) -> DataFrame:
     """Pairs (a, b, similarity) of distinct fingerprints' representatives (smallest id) at or above the threshold.
 
