@@ -12,7 +12,7 @@ from math import exp, log10, sqrt
 import numpy as np
 
 from ..functions.fragments import HL2, TP, frame, held, highest, lag, linreg, lowest, num, ratio, rolling_sum, running, sma, stdev, true_range, weighted, wma
-from ..plans.layers import Affine, Machine, Plan, ema, rma
+from ..plans.layers import Affine, Difference, Machine, Plan, ema, rma
 from . import cycle
 
 REGISTRY: dict[str, Callable[..., Plan]] = {}
@@ -206,8 +206,8 @@ def stochastic_slow(n: int = 14, m: int = 3) -> Plan:
 
 @indicator
 def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> Plan:
-    p = Plan(["macd", "signal", "histogram"]).scan(ema("f", "c", fast), ema("s", "c", slow)).add(macd="f - s")
-    return p.scan(ema("signal", "macd", signal)).add(histogram="macd - signal")
+    p = Plan(["macd", "signal", "histogram"]).scan(ema("f", "c", fast), ema("s", "c", slow), Difference("macd", "f", "s"), ema("signal", "macd", signal))
+    return p.add(histogram="macd - signal")
 
 
 @indicator
@@ -299,14 +299,15 @@ def coppock_curve(long: int = 14, short: int = 11, smooth: int = 10) -> Plan:
 @indicator
 def connors_rsi(n: int = 3, m: int = 2, k: int = 100) -> Plan:
     p = Plan(["value"]).add(s=f"coalesce(sign(c - {lag('c')}), 0)")
-    p.add(new=f"case when s <> coalesce({lag('s')}, 0) or s = 0 then 1 else 0 end").add(island=running("sum", "new"))
-    p.add(streak="s * row_number() over (partition by sym, island order by ts)")
+    p.add(new=f"case when s <> coalesce({lag('s')}, 0) or s = 0 then 1 else 0 end")
+    p.add(streak=f"s * (rn + 1 - {running('max', 'case when new = 1 then rn end')})")
     p.add(d=f"c - {lag('c')}", e=f"streak - {lag('streak')}", roc=f"100 * {ratio(f'c - {lag(chr(99))}', lag('c'), 'null')}")
     pos = lambda x: f"case when {x} is not null then greatest({x}, 0) end"
     p.add(u1=pos("d"), w1=pos("-d"), u2=pos("e"), w2=pos("-e"))
-    p.scan(rma("g1", "u1", n), rma("f1", "w1", n), rma("g2", "u2", m), rma("f2", "w2", m))
     below = " + ".join(f"case when {lag('roc', i)} < roc then 1 when {lag('roc', i)} is not null and roc is not null then 0 end" for i in range(1, k + 1))
-    return p.add(rank=f"100e0 * ({below}) / {k}").add(value=f"(({_rsi('g1', 'f1')}) + ({_rsi('g2', 'f2')}) + rank) / 3")
+    p.add(rank=f"100e0 * ({below}) / {k}")
+    p.scan(rma("g1", "u1", n), rma("f1", "w1", n), rma("g2", "u2", m), rma("f2", "w2", m))
+    return p.add(value=f"(({_rsi('g1', 'f1')}) + ({_rsi('g2', 'f2')}) + rank) / 3")
 
 
 @indicator

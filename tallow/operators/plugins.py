@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 import pkgutil
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
@@ -86,21 +86,31 @@ def discovered(package: str) -> dict[str, Strategy]:
     return out
 
 
+_DECIDED = pa.schema([("sym", pa.string()), ("ts", pa.timestamp("us")), ("action", pa.string()), ("signal", pa.int32())])
+
+
 def decided(bars: DataFrame, strategy: Strategy, parameters: Mapping[str, object] = {}) -> DataFrame:
-    """sym, ts, action, signal of every bar, judged in order, the side following the strategy's own entries and exits."""
+    """sym, ts, action, signal of every bar, judged in order, the side following the strategy's own entries and exits. Bars
+    stream through in order of time; no task holds a series."""
     ship(bars.sparkSession)
     own = strategy.schema.resolved(parameters)
 
-    def run(table: pa.Table) -> pa.Table:
-        side, out = 0, []
-        for bar in sorted(table.to_pylist(), key=lambda b: b["ts"]):
-            action = strategy.analyze(bar, side, own)
-            signal = ACTIONS[action]
-            side = side if signal is None else signal
-            out.append({"sym": bar["sym"], "ts": bar["ts"], "action": action, "signal": side})
-        return pa.Table.from_pylist(out, pa.schema([("sym", pa.string()), ("ts", pa.timestamp("us")), ("action", pa.string()), ("signal", pa.int32())]))
-
-    return bars.groupBy("sym").applyInArrow(run, "sym string, ts timestamp_ntz, action string, signal int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sym, side = None, 0
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            actions, sides = [], []
+            for values in zip(*columns.values()):
+                bar = dict(zip(columns, values))
+                if bar["sym"] != sym:
+                    sym, side = bar["sym"], 0
+                actions.append(strategy.analyze(bar, side, own))
+                signal = ACTIONS[actions[-1]]
+                side = side if signal is None else signal
+                sides.append(side)
+            yield pa.RecordBatch.from_arrays([batch.column("sym"), batch.column("ts").cast(pa.timestamp("us")), pa.array(actions, pa.string()), pa.array(sides, pa.int32())], schema=_DECIDED)
+
+    return bars.repartition("sym").sortWithinPartitions("sym", "ts").mapInArrow(run, "sym string, ts timestamp_ntz, action string, signal int")
 
 
 def reconciled(registered: DataFrame, deployed: DataFrame) -> DataFrame:

@@ -39,6 +39,15 @@ class Affine:
     start: str
 
 
+@dataclass(frozen=True)
+class Difference:
+    """a - b of columns of the same pass, so that a later scan of the pass can read it."""
+
+    out: str
+    a: str
+    b: str
+
+
 @dataclass(frozen=True)
 class Machine:
     """Several states a row. kernel: arrays of `reads` to arrays of `outs`; first and step: the same as SQL over the
@@ -79,7 +88,7 @@ class Plan:
         self.steps.append(columns)
         return self
 
-    def scan(self, *scans: Average | Affine) -> Plan:
+    def scan(self, *scans: Average | Affine | Difference | Machine) -> Plan:
         self.steps.append(scans)
         return self
 
@@ -126,7 +135,7 @@ def _floats(column: pa.ChunkedArray) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False) if not isinstance(column, pa.ChunkedArray) else column.cast(pa.float64()).to_pandas().to_numpy(dtype=float)
 
 
-def scanned(df: DataFrame, scans: Sequence[Average | Affine]) -> DataFrame:
+def scanned(df: DataFrame, scans: Sequence[Average | Affine | Difference | Machine]) -> DataFrame:
     """df with the scans' columns; a later scan may read an earlier one."""
     ship(df.sparkSession)
     outs = [o for s in scans for o in (s.outs if isinstance(s, Machine) else [s.out])]
@@ -146,6 +155,9 @@ def scanned(df: DataFrame, scans: Sequence[Average | Affine]) -> DataFrame:
             if isinstance(s, Machine):
                 have.update(zip(s.outs, s.kernel(*map(column, s.reads))))
                 continue
+            if isinstance(s, Difference):
+                have[s.out] = column(s.a) - column(s.b)
+                continue
             have[s.out] = run_average(column(s.x), s.n, s.alpha) if isinstance(s, Average) else run_affine(column(s.a), column(s.b), column(s.start))
         for o in outs:
             table = table.append_column(o, pa.array(have[o], pa.float64(), from_pandas=True))
@@ -178,6 +190,9 @@ def as_sql(plan: Plan, bars_sql: str) -> str:
             continue
         for s in step:
             t = f"t{n}"
+            if isinstance(s, Difference):
+                put(f"select *, {s.a} - {s.b} as {s.out} from {t}")
+                continue
             if isinstance(s, Machine):
                 columns = ", ".join(s.outs)
                 ctes.append(f"s_{s.out} as materialized (select sym, rn, {', '.join((*s.reads, *s.also))} from {t})")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import align, indicators, patterns, resample
-from .layers import Affine, Average, Machine, Plan, on_spark
+from .layers import Affine, Average, Difference, Machine, Plan, on_spark
 
 Parameters = Mapping[str, object]
 
@@ -76,6 +76,7 @@ def _renamed(plan: Plan, prefix: str) -> Plan:
             continue
         out.scan(*(
             Average(name(s.out), name(s.x), s.n, s.alpha) if isinstance(s, Average)
+            else Difference(name(s.out), name(s.a), name(s.b)) if isinstance(s, Difference)
             else Affine(name(s.out), name(s.a), name(s.b), name(s.start)) if isinstance(s, Affine)
             else Machine([name(o) for o in s.outs], [name(r) for r in s.reads], None, None, None, s.kernel)
             for s in step
