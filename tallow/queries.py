@@ -965,4 +965,4 @@ def udf_08(spark, sf_dir):
     p = sources.table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_name || p_partkey as name", "p_size as version")
     return plugins.reconciled(p.filter("k % 3 <> 0"), p.filter("k % 2 = 0").selectExpr("name", "case when k % 5 = 0 then 0 else version end as version"))
 
-from . import queries_evidence, queries_streams  # noqa: E402, F401
+from . import queries_evidence, queries_service, queries_streams  # noqa: E402, F401

@@ -177,6 +177,11 @@ class Workspace:
             e = audit.episodes(points.withColumn("sym", F.lit("all")), kind).withColumn("kind", F.lit(kind))
             both = e if both is None else both.unionByName(e)
         put(both.selectExpr("row_number() over (order by kind, first) as episode_id", "kind", "first as start_seq", "last as end_seq", "recovery as recovery_seq", "depth as depth_pct"), "drawdown_episode")
+        lost = of("decision").filter("reason in ('available_margin', 'next_candle_gap', 'end_of_data', 'exposure_limit')")
+        put(lost.selectExpr("seq as miss_id", "ts", "sym as symbol", "'ema_regime' as source_rule", "reason as missing_reason"), "missed_opportunity")
+        won = F.avg((F.col("net_pnl") > 0).cast("int"))
+        by = done.groupBy("side").agg(F.count("*").alias("n"), won.alias("w"), F.avg("r_multiple").alias("e"))
+        put(by.selectExpr("row_number() over (order by side) as ce_id", "concat('side=', side) as signature_key", "n as sample_count", "w as win_rate", "e as expectancy_r", "int(n >= 30) as is_significant"), "conditional_expectancy")
         phases = audit.phases(trades, simulate.excursions(trades, bars, rules.bar_seconds))
         put(phases.selectExpr("row_number() over (order by trade_id, phase) as tfs_id", "trade_id", "phase", "ts", "to_json(struct(r)) as features_json"), "trade_feature")
         faults = audit.checks(journal, trades, rules.bar_seconds)
@@ -309,6 +314,15 @@ class Workspace:
     def tag_facets(self) -> DataFrame:
         return self.tags.groupBy("tag_type", "tag_value").agg(F.count("*").alias("n")).orderBy("tag_type", F.desc("n"), "tag_value")
 
+    def add_finding(self, run_id: str, claim: str, confidence: str = "low") -> None:
+        """Adds a claim to the findings of a run; one process writes those of a run."""
+        if confidence not in ("low", "medium", "high"):
+            raise ValueError(f"not a confidence: {confidence}")
+        held = evidence.opened(self.spark, self.root, run_id, "finding").collect()  # a person's notes on a run
+        row = {"finding_id": len(held) + 1, "claim": claim, "confidence": confidence, "created_at": datetime.now()}
+        rows = self.spark.createDataFrame([*(r.asDict() for r in held), row], "finding_id bigint, claim string, confidence string, created_at timestamp")
+        evidence.record(rows, self.root, run_id, "finding")
+
     def strategies(self) -> DataFrame:
         return self.spark.createDataFrame([(k, json.dumps(v)) for k, v in STRATEGIES.items()], "name string, declaration string")
 
