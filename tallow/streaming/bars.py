@@ -59,7 +59,8 @@ class _Averages(StatefulProcessor):
             if seen >= self.n:
                 out.append((now, value))
         self.state.update((seen, value, total, last))
-        yield pd.DataFrame({"sym": [key[0]] * len(out), "ts": pd.to_datetime([t for t, _ in out], unit="us"), "value": [v for _, v in out]}).astype({"value": float})
+        if out:
+            yield pd.DataFrame({"sym": [key[0]] * len(out), "ts": pd.to_datetime([t for t, _ in out], unit="us"), "value": [v for _, v in out]}).astype({"sym": object, "value": float})
 
     def close(self) -> None:
         pass
@@ -96,7 +97,7 @@ class _Consumed(StatefulProcessor):
         new = [i for i in ids if i > last]
         if new:
             self.last.update((int(new[-1]),))
-        yield pd.DataFrame({"wallet": [key[0]] * len(new), "signal_id": new}).astype({"wallet": object, "signal_id": "int64"})
+            yield pd.DataFrame({"wallet": [key[0]] * len(new), "signal_id": new}).astype({"wallet": object, "signal_id": "int64"})
 
     def close(self) -> None:
         pass

@@ -40,8 +40,10 @@ class _Wallet(StatefulProcessor):
                 cash -= position * price + quantity * price * self.fee
                 out.append((key[0], last, int(s.side), price, quantity, cash, position, "opened"))
         self.state.update((float(cash), float(position), last))
+        if not out:
+            return
         frame = pd.DataFrame(out, columns=["wallet", "signal_id", "side", "price", "quantity", "cash", "position", "reason"])
-        yield frame.astype({"signal_id": "int64", "side": "int32", "price": float, "quantity": float, "cash": float, "position": float})
+        yield frame.astype({"wallet": object, "reason": object, "signal_id": "int64", "side": "int32", "price": float, "quantity": float, "cash": float, "position": float})
 
     def close(self) -> None:
         pass
