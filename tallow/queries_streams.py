@@ -46,7 +46,7 @@ def _once(spark: SparkSession, base: str, stream: DataFrame, keys: list[str], da
     return _ntz(streaming.kept_once(spark, f"{base}/out"))
 
 
-@query("str_01", "select event_id, to_timestamp((floor((epoch_us(ts) - 2000000) / 60000000)::bigint + 1) * 60 + 2)::timestamp as poll from events")
+@query("str_01", "select event_id, make_timestamp(((floor((epoch_us(ts) - 2000000) / 60000000)::bigint + 1) * 60 + 2) * 1000000) as poll from events")
 def str_01(spark, sf_dir):
     """When to look next: two seconds past the minute. A query's own trigger is that of its processing time."""
     e = sources.table(spark, sf_dir, "events")
