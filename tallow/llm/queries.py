@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over the input tables, each a thin use of its operator, and SQL where SQL can express one."""
+"""The queries op1 to op13 over the input tables, each a thin use of its operator, and SQL where SQL can express one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, licenses, media, mixing, packing, quality, secrets, spotsigs, warc
+from . import jaccard_join, language_id, licenses, media, mixing, packing, quality, repair, secrets, spotsigs, warc
 from ..session import small_batches
 from .common import id_crc, new_dir, read_table
 
@@ -76,6 +76,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.Join(read_table(spark, sf_dir, "documents")).classes()
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return repair.report(conversations, repair.damaged(conversations))
+
+
 def _frugal(f):
     """The query in a session that has opted in to small batches: long texts, little memory."""
 
@@ -99,6 +104,7 @@ QUERIES = {
         op8_jaccard_join,
         op9_fingerprints,
         op10_secret_scan,
+        op11_conversation_repair,
     )
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op4_license_scan": licenses.oracle()}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op4_license_scan": licenses.oracle(), "op11_conversation_repair": repair.ORACLE}
