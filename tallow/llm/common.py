@@ -62,3 +62,12 @@ def id_crc(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a scratch column that none of df's columns has or begins with, whatever the case."""
+    taken = [c.lower() for c in df.columns]
+    name = f"__{name}"
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name

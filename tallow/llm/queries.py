@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, licenses, media, mixing, packing, quality, repair, secrets, spotsigs, warc
+from . import jaccard_join, language_id, licenses, media, mixing, packing, periodic, quality, repair, secrets, spotsigs, warc
 from ..session import small_batches
 from .common import id_crc, new_dir, read_table
 
@@ -81,6 +81,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(conversations, repair.damaged(conversations))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.tiled(read_table(spark, sf_dir, "documents")))
+
+
 def _frugal(f):
     """The query in a session that has opted in to small batches: long texts, little memory."""
 
@@ -105,6 +109,7 @@ QUERIES = {
         op9_fingerprints,
         op10_secret_scan,
         op11_conversation_repair,
+        op12_periodic_runs,
     )
 }
 ORACLES = {"op3_mixing": mixing.ORACLE, "op4_license_scan": licenses.oracle(), "op11_conversation_repair": repair.ORACLE}
