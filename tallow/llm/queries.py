@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, licenses, media, mixing, packing, periodic, quality, repair, secrets, spotsigs, warc
+from . import jaccard_join, language_id, licenses, media, mixing, packing, periodic, quality, repair, secrets, spotsigs, toxicity, warc
 from ..session import small_batches
 from .common import id_crc, new_dir, read_table
 
@@ -85,6 +85,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.tiled(read_table(spark, sf_dir, "documents")))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = id_crc() % 4 == 2
+    model = toxicity.fit(docs, labels, where=~held_out)
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), model)
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), F.size("toxicity.spans").alias("n_spans"), F.col("toxicity.spans").alias("spans"))
+
+
 def _frugal(f):
     """The query in a session that has opted in to small batches: long texts, little memory."""
 
@@ -110,6 +119,7 @@ QUERIES = {
         op10_secret_scan,
         op11_conversation_repair,
         op12_periodic_runs,
+        op13_toxicity,
     )
 }
 ORACLES = {"op3_mixing": mixing.ORACLE, "op4_license_scan": licenses.oracle(), "op11_conversation_repair": repair.ORACLE}

@@ -41,22 +41,28 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield begin, texts[begin:]
 
 
-def words(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and bounds: words of text i are at bounds[i]:bounds[i + 1]."""
+def placed(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, bounds (words of text i are at bounds[i]:bounds[i + 1]), and where the words begin and
+    end in the bytes of all texts, which also are returned (each text ends with a line feed)."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     inside = ~separators[data]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     first, after = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), first, after, data
     lengths = after - first
     at = np.cumsum(lengths) - lengths
     place = np.arange(at[-1] + lengths[-1]) - np.repeat(at, lengths)
     longest = int(lengths.max())
     powers = _POWERS if longest <= len(_POWERS) else np.cumprod(np.full(longest, _RADIX, np.uint64), dtype=np.uint64)
     hashes = mixed(np.add.reduceat(_VALUES[data[inside]] * powers[place], at))
-    return hashes, np.concatenate([[0], np.searchsorted(first, ends)])
+    return hashes, np.concatenate([[0], np.searchsorted(first, ends)]), first, after, data
+
+
+def words(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and bounds as in placed()."""
+    return placed(texts, separators)[:2]
 
 
 def word(text: str) -> int:
