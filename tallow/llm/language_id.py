@@ -9,10 +9,12 @@ languages are flattened into one hash table per order whose values are vectors o
 entry a language. The language with the shortest code for the whole text wins.
 
 Fitting: a bounded sample of labelled rows (``docs_per_language`` rows and ``bytes_per_language`` bytes
-a language, whole texts, chosen by a hash of id and text). Everything else covers every row and byte.
+a language, whole texts, chosen by a hash of id, language and text, one at least a language). Everything else covers every row
+and byte.
 
 Cases: null text, empty text or text without a letter: ``und`` with score 0. Ties: the language first in
-code-point order. Repeated rows get equal results. No labelled row at all: every text is ``und``.
+code-point order. Repeated rows get equal results. No labelled row at all: every text is ``und``. Ids that are null or shared by
+many rows do not narrow the sample. Other columns are kept, whatever their names but that of the result.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import release, ship
+from .common import discard, stored
 
 UNDETERMINED = "und"
 #: A multiplier for hashing 64-bit keys (2**64 divided by the golden ratio, odd).
@@ -213,17 +216,31 @@ def has_letter(text: str) -> bool:
 
 
 def training_rows(
-    docs: DataFrame, text: str, lang: str, key: str, where: Column | None, docs_per_language: int, most_languages: int = 256
+    docs: DataFrame, text: str, lang: str, key: str, where: Column | None, docs_per_language: int, most_languages: int = 256, bytes_per_language: int = 1_500_000
 ) -> DataFrame:
-    """About docs_per_language labelled rows of each of the most_languages languages with the most rows, chosen by hash, in
-    one narrow and one wide pass."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(lang)).alias("h"), (where if where is not None else F.lit(True)).alias("ok"))
-    rows = rows.filter("ok and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    counts = counts.orderBy(F.col("n").desc(), "lang").limit(most_languages)  # so the join side, the trees and the sample are bounded
-    kept = rows.filter("length(text) > 0").join(F.broadcast(counts), "lang")
-    share = F.least(F.lit(1.0), F.lit(1.5 * docs_per_language) / F.col("n"))
-    return kept.filter(F.pmod(F.col("h"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text", "h")
+    """lang, text, h of at most docs_per_language labelled rows of each of the most_languages languages with the most rows, until they
+    fill bytes_per_language; one at least of each language that has a text. Rows come by a hash h of id, language and text; copies
+    of a row share it, so they stay in order of their texts and are cut like others.
+
+    A row's level is the magnitude of its hash: each level has half the rows of the next. Rows are counted by level, the lowest
+    levels that hold enough rows pass, and of these the least by hash are taken; each task passes on that many at most.
+    """
+    t, language = F.col(text).alias("text"), F.col(lang).alias("lang")
+    h = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), lang, text), 1).alias("h")
+    rows = docs.select(t, language, h, (where if where is not None else F.lit(True)).alias("ok")).filter("ok and lang is not null and length(text) > 0")
+    rows = rows.select("text", "lang", "h", F.floor(F.log2(F.col("h").cast("double") + 1)).cast("int").alias("level"))
+    counts = rows.groupBy("lang", "level").agg(F.count("*").alias("n"))
+    counts = stored(counts, "levels")
+    most = counts.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most_languages)
+    upto = counts.join(F.broadcast(most), "lang").withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)))
+    highest = upto.filter(F.coalesce(F.col("before"), F.lit(0)) < docs_per_language).groupBy("lang").agg(F.max("level").alias("highest"))
+    kept = rows.join(F.broadcast(highest), "lang").filter("level <= highest")
+    by_hash = Window.partitionBy("lang").orderBy("h", "text")
+    least = kept.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= docs_per_language)
+    size = F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = stored(least.withColumn("size", size).filter(F.coalesce(F.col("size"), F.lit(0)) < bytes_per_language).select("lang", "text", "h"), "sample")
+    discard(counts)
+    return chosen
 
 
 def fit(
@@ -237,14 +254,12 @@ def fit(
     bytes_per_language: int = 1_500_000,
     most_languages: int = 256,
 ) -> ContextTrees:
-    """Trees from a bounded sample of the labelled rows for which `where` holds. Whole texts; at least one a language."""
+    """Trees from a bounded sample of the labelled rows for which `where` holds (see training_rows)."""
+    sample = training_rows(docs, text, lang, key, where, docs_per_language, most_languages, bytes_per_language)
     samples: dict[str, list[bytes]] = {}
-    size: dict[str, int] = {}
-    for row in training_rows(docs, text, lang, key, where, docs_per_language, most_languages).orderBy("lang", "h", "text").toLocalIterator():
-        coded = row.text.encode("utf-8", "replace")
-        if size.get(row.lang, 0) < bytes_per_language and len(samples.get(row.lang, ())) < docs_per_language:
-            samples.setdefault(row.lang, []).append(coded)
-            size[row.lang] = size.get(row.lang, 0) + len(coded)
+    for row in sample.orderBy("lang", "h", "text").toLocalIterator():
+        samples.setdefault(row.lang, []).append(row.text.encode("utf-8", "replace"))
+    discard(sample)
     return ContextTrees(samples, order)
 
 
