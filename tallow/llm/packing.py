@@ -5,8 +5,8 @@ pieces by best-fit decreasing and computes a lower bound on its number of bins f
 functions. Where the two agree the partition is certified optimal by itself, and where the sum of bins meets the bound
 over all pieces, everything is. While that gap is open, partitions exchange documents: the emptiest bins of all of them,
 at first a few times the gap, are given up, dealt out anew, a bin whole, and packed again by best-fit decreasing; a
-round that gains nothing is followed by one of four times as many bins, until the bound is met or all bins
-with room have been given up and nothing was gained. Only what is given up is moved, and no round can lose bins.
+round is followed by one of four times as many bins, until the bound is met or several different deals of all bins
+with room have gained nothing. Only what is given up is moved, and no round can lose bins.
 
 Cases: null or empty text is one piece (the separator alone). Repeated rows are packed once each. An
 empty table gives an empty result. Columns other than id and text are ignored.
@@ -156,8 +156,13 @@ def best_fit(sizes: Iterable[int], capacity: int) -> tuple[np.ndarray, np.ndarra
 _PACKED = "doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, room int"
 
 
-def _packer(capacity: int, round_no: int):
-    """The packing of one partition, with the room left in each bin. A re-packing that needs as many bins as it was given
+#: Numbers that a task may give to its bins.
+_WIDTH = 1 << 27
+
+
+def _packer(capacity: int, base: int | None):
+    """The packing of one partition, with the room left in each bin. Its new bins are numbered from base + task * _WIDTH on; base None: from
+    task * _WIDTH, and nothing is packed yet. A re-packing that needs as many bins as it was given
     keeps what it was given, and so does a partition whose bins meet its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +173,15 @@ def _packer(capacity: int, round_no: int):
         table = table.take(pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
         sizes = table["length"].to_numpy()
         keep = False
-        if round_no:
+        if base is not None:
             given, index = np.unique(table["sequence_id"].to_numpy(), return_inverse=True)
             keep = len(given) == lower_bound(np.bincount(sizes, minlength=capacity + 1))
         if not keep:
             where, offset, left = best_fit(sizes, capacity)
-            number = ((round_no << 24 | TaskContext.get().partitionId()) << 32) + where
-            keep = bool(round_no) and len(given) <= len(left)
+            if len(left) > _WIDTH:
+                raise ValueError(f"more than {_WIDTH} sequences in one task: lower rows_a_partition")
+            number = (base or 0) + TaskContext.get().partitionId() * _WIDTH + where
+            keep = base is not None and len(given) <= len(left)
         if keep:
             number, where, offset = given[index], index, table["offset"].to_numpy()
             left = (capacity - np.bincount(index, weights=sizes)).astype(int).tolist()
@@ -186,30 +193,34 @@ def _packer(capacity: int, round_no: int):
     return run
 
 
-def _rooms(packed: DataFrame, capacity: int) -> np.ndarray:
-    """How many bins have each room: of a bin, the row at offset 0 counts. At most capacity + 1 rows reach the driver."""
-    out = np.zeros(capacity + 1, np.int64)
-    for r in packed.filter("offset = 0").groupBy("room").count().collect():
-        out[r["room"]] = r["count"]
-    return out
+def _rooms(packed: DataFrame, capacity: int) -> tuple[np.ndarray, int]:
+    """How many bins have each room (of a bin, the row at offset 0 counts), and a number above those of all bins. At most
+    capacity + 1 rows reach the driver."""
+    out, above = np.zeros(capacity + 1, np.int64), 0
+    for r in packed.filter("offset = 0").groupBy("room").agg(F.count("*").alias("n"), F.max("sequence_id").alias("last")).collect():
+        out[r["room"]], above = r["n"], max(above, r["last"] + 1)
+    return out, above
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 65_536) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 65_536, deals: int = 3) -> DataFrame:
     """The pieces with sequence_id and offset, and, the same in every row, bins (sequences in all) and bound (no packing
-    has fewer). rows_a_partition bounds what one task holds."""
+    has fewer). rows_a_partition bounds what one task holds; bins stop moving after `deals` different deals of all bins with room in a
+    row have gained nothing."""
+    ship(cut_pieces.sparkSession)
     held = stored(cut_pieces, "pieces")
     schema = _PACKED.format(key=held.schema["doc_id"].dataType.simpleString())
     counts = np.zeros(capacity + 1, np.int64)
     for r in held.groupBy("length").count().collect():  # at most capacity rows
         counts[r["length"]] = r["count"]
     total, bound = int(counts.sum()), lower_bound(counts)
-    first = stored(held.repartition(max(1, -(-total // rows_a_partition))).mapInArrow(_packer(capacity, 0), schema), "packed")
+    first = stored(held.repartition(max(1, -(-total // rows_a_partition))).mapInArrow(_packer(capacity, None), schema), "packed")
     discard(held)
     # still: rows of `first` with less room than `least`; moved: the last round's result, with all rows that it took from there
-    still, least, moved, round_no = _rooms(first, capacity), capacity + 1, None, 0
+    still, base = _rooms(first, capacity)
+    least, moved = capacity + 1, None
     rooms = np.zeros(capacity + 1, np.int64)
-    wanted = 0
-    while (gap := int(still.sum() + rooms.sum()) - bound) > 0:
+    wanted = idle = round_no = 0
+    while (gap := int(still.sum() + rooms.sum()) - bound) > 0 and idle < deals:
         wanted = max(64, 8 * gap, 4 * wanted)
         # the least room of bins to give up, so that they are about as many as wanted; full bins stay
         enough = np.flatnonzero(np.cumsum((still + rooms)[::-1])[::-1][1:] >= wanted)
@@ -220,11 +231,14 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 65
         taken = int(still[now:].sum() + rooms.sum())
         still[now:] = 0
         n, round_no = pool.count(), round_no + 1
-        was, moved = moved, stored(pool.drop("room").repartition(max(1, -(-n // rows_a_partition)), "sequence_id", F.lit(round_no)).mapInArrow(_packer(capacity, round_no), schema), "packed")
+        parts = max(1, -(-n // rows_a_partition))
+        was, moved = moved, stored(pool.drop("room").repartition(parts, "sequence_id", F.lit(round_no)).mapInArrow(_packer(capacity, base), schema), "packed")
         discard(was)
-        rooms, everything, least = _rooms(moved, capacity), now == 1, now
-        if everything and int(rooms.sum()) == taken:
-            break
+        (rooms, above), least = _rooms(moved, capacity), now
+        base = max(base, above)
+        idle = idle + 1 if now == 1 and int(rooms.sum()) == taken else 0
+        if parts == 1 and idle:
+            break  # one task had all bins with room: another deal is the same
     out = first.filter(F.col("room") < least)
     if moved is not None:
         out = out.unionByName(moved)
