@@ -5,11 +5,12 @@ Each candidate is described by its length, character classes and transitions bet
 it dictionary words cover, path marks, and the words before and after it. A random forest, grown on
 the driver from labelled findings and written out as SQL conditions, scores it; candidates at or above
 the threshold are secrets. Everything happens within a row: no shuffle, no Python on the executors. A candidate has no
-greatest length, nor has the white space around a mark of assignment; neighbouring words are those in the BEFORE
-characters before it and the AFTER characters behind it.
+greatest length, nor has the white space around a mark of assignment, and an assigned value no least one; a token without an
+assignment or a well-known form is a candidate from 20 characters with a digit among them. Neighbouring words are those in
+the BEFORE characters before a candidate and the AFTER characters behind it.
 
 Cases: null text has no candidates and stays null when redacted; equal rows get equal results; an empty
-table gives an empty result; other columns are kept by `redacted` and ignored by `scan`.
+table gives an empty result; other columns are kept by `redacted`, whatever their names, and ignored by `scan`.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 _START = r"(?<![A-Za-z0-9+/_=-])"
 _KEY = r"[A-Z ]*?PRIVATE KEY(?: BLOCK)?-----"
 #: A value in quotes up to the quote that closes it (on its line, escaped quotes within), or else up to white space.
 #: All repetitions are possessive or of single characters, so that none of them needs a stack or looks back, however long.
 _QUOTED = (
-    r"\x22(?=(?:[^\x22\\\r\n]|\\[^\r\n]){8})[^\x22\\\r\n]*+(?:\\[^\r\n][^\x22\\\r\n]*+)*+\x22"
-    r"|\x27(?=(?:[^\x27\\\r\n]|\\[^\r\n]){8})[^\x27\\\r\n]*+(?:\\[^\r\n][^\x27\\\r\n]*+)*+\x27"
+    r"\x22(?=[^\x22\r\n])[^\x22\\\r\n]*+(?:\\[^\r\n][^\x22\\\r\n]*+)*+\x22"
+    r"|\x27(?=[^\x27\r\n])[^\x27\\\r\n]*+(?:\\[^\r\n][^\x27\\\r\n]*+)*+\x27"
 )
-_VALUE = rf"(?:{_QUOTED}|\x22[^\s\x22]{{8,}}+|\x27[^\s\x27]{{8,}}+|[^\s\x22\x27]\S{{7,}}+)"
+_VALUE = rf"(?:{_QUOTED}|\x22[^\s\x22]++|\x27[^\s\x27]++|[^\s\x22\x27]\S*+)"
 #: A key through its END line, or where that lacks, with the lines of its body.
 _PEM = rf"-----BEGIN {_KEY}(?:[^-]*+(?:-{{1,4}}(?!-)[^-]*+)*+-----END {_KEY}|(?:\s*+[A-Za-z0-9+/=]{{20,}}+)*+(?:\s*+[A-Za-z0-9+/]{{0,19}}={{1,2}})?)"
 #: Names whose assignment is telling, and forms of well-known tokens.
@@ -122,6 +125,12 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
         word = part().translate(str.maketrans("aos", rng.choice(["@os", "a0s", "ao$", "@0$"])))
         return case(word[0]) + word[1:] + rng.choice("!@#%&*?") + part() + str(rng.randrange(10, 2030))
 
+    def short() -> str:
+        """A password under nine characters: letters, a digit, and more often than not a mark."""
+        value = list(draw(alnum, rng.randrange(2, 6)) + draw("0123456789", 1) + draw("!@#%&*?$", rng.choice([0, 1, 1])))
+        rng.shuffle(value)
+        return "".join(value)
+
     def called() -> str:
         """A value that a program gets from somewhere else."""
         what = rng.choice(DICTIONARY)
@@ -141,6 +150,7 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
         lambda: marked(rng.choice(["p@ss!", "&", "#", "%", "!", "@"]), rng.randrange(6, 16)),
         lambda: marked(draw("!@#%&*?;,()", 2), rng.randrange(6, 24)),
         lambda: assigned(remembered(), rng.choice(["password", "passwd", "pwd"])),
+        lambda: assigned(short(), rng.choice(["password", "passwd", "pwd", "secret", "db_password"])),
     ]
     false = [
         lambda: rng.choice(["commit ", "sha1: ", "revision ", "blob ", "tree "]) + draw(hexa, 40),
@@ -156,6 +166,8 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
         lambda: rng.choice(["", "order ", "tracking ", "invoice "]) + draw("0123456789", rng.randrange(20, 30)),
         lambda: "data:image/png;base64," + "iVBORw0KGgo" + draw(alnum, 30) + "AAAA" + draw(alnum, 20),
         lambda: assigned(identifier("_", 3)),
+        lambda: assigned(rng.choice(["yes", "no", "none", "null", "true", "false", "abc", "xxx", "on", "off", "here", "...", "****", "string", "required", "is", "the", "a", "my", rng.choice(DICTIONARY), str(rng.randrange(4000))])),
+        lambda: rng.choice(names) + rng.choice([": ", " = "]) + rng.choice(DICTIONARY) + rng.choice([",", ".", ";", ")", ""]),
         lambda: rng.choice(names) + rng.choice([" = ", "=", ": "]) + called(),
         lambda: rng.choice(names) + rng.choice([": ", " = "]) + '"' + " ".join(rng.choice(DICTIONARY) for _ in range(rng.randrange(3, 9))) + rng.choice([".", "", "!"]) + '"',
         lambda: rng.choice(["secret", "password", "token"]) + rng.choice([": ", ":"]) + rng.choice(["everything", "something,", "forgotten.", "required,", "(optional)", "mandatory!", "incorrect;", "résumé-naïve", "contraseña"]),
@@ -220,17 +232,18 @@ class Forest:
         return "(" + " + ".join(map(one, self.trees)) + f") / {len(self.trees)}D"
 
 
-def _described(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __parts (texts between candidates), __cands and __found (an array of structs of features)."""
-    t = F.col(text)
+def _described(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """docs with scratch columns, and the prefix of their names: _parts (texts between candidates), _cands and _found (an array of
+    structs of features)."""
+    t, own = F.col(text), fresh(docs, "scan")
     # an array type for every branch, so that texts without a candidate cost one look of the pattern
-    docs = docs.withColumn("__cands", F.when(t.rlike(PATTERN), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
-    docs = docs.withColumn("__parts", F.when(F.size("__cands") > 0, F.split(t, PATTERN, -1)))
+    docs = docs.withColumn(f"{own}_cands", F.when(t.rlike(PATTERN), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
+    docs = docs.withColumn(f"{own}_parts", F.when(F.size(f"{own}_cands") > 0, F.split(t, PATTERN, -1)))
     lead = rf"regexp_extract(c, r'{ASSIGNED}', 0)"
     value = rf"regexp_replace(substring(c, length({lead}) + 1), r'[\x22\x27]$', '')"
-    near = f"transform(__cands, (c, i) -> struct(c, {value} as v, concat(right(__parts[i], {BEFORE}), {lead}) as l, left(__parts[i + 1], {AFTER}) as r))"
+    near = f"transform({own}_cands, (c, i) -> struct(c, {value} as v, concat(right({own}_parts[i], {BEFORE}), {lead}) as l, left({own}_parts[i + 1], {AFTER}) as r))"
     described = ", ".join(f"{sql} as {name}" for name, sql in FEATURES.items())
-    return docs.withColumn("__found", F.expr(f"transform({near}, x -> struct(x.c as c, x.v as v, {described}))"))
+    return docs.withColumn(f"{own}_found", F.expr(f"transform({near}, x -> struct(x.c as c, x.v as v, {described}))")), own
 
 
 _grown: dict[tuple, Forest] = {}
@@ -242,43 +255,46 @@ def forest(spark: SparkSession, findings: list[tuple[str, int]] | None = None, t
     if known and (trees, depth) in _grown:
         return _grown[trees, depth]
     labelled = spark.createDataFrame(labelled_findings() if known else findings, "text string, label int")
-    rows = _described(labelled, "text").filter("size(__found) = 1").select("__found", "label").collect()
-    x = np.array([[r["__found"][0][n] for n in FEATURES] for r in rows], float)
+    found, own = _described(labelled, "text")
+    rows = found.filter(f"size({own}_found) = 1").select(F.col(f"{own}_found")[0].alias("found"), "label").collect()
+    x = np.array([[r["found"][n] for n in FEATURES] for r in rows], float)
     grown = Forest(x, np.array([r["label"] for r in rows], float), trees, depth)
     if known:
         _grown[trees, depth] = grown
     return grown
 
 
-def _scored(docs: DataFrame, text: str, model: Forest) -> DataFrame:
-    names = list(FEATURES)
-    return _described(docs, text).withColumn("__scores", F.expr(f"transform(__found, x -> {model.sql(names, 'x')})"))
+def _scored(docs: DataFrame, text: str, model: Forest) -> tuple[DataFrame, str]:
+    found, own = _described(docs, text)
+    return found.withColumn(f"{own}_scores", F.expr(f"transform({own}_found, x -> {model.sql(list(FEATURES), 'x')})")), own
 
 
 def scan(docs: DataFrame, model: Forest, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per row: key, n_candidates, n_secrets, the secrets' SHA-256 in order of place, the highest score, and the
     SHA-256 of the redacted text."""
-    scored = _scored(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", model)
-    secret = f"filter(arrays_zip(__found, __scores), x -> x.__scores >= {threshold}D)"
+    scored, own = _scored(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", model)
+    secret = f"filter(zip_with({own}_found, {own}_scores, (f, s) -> struct(f.v as v, s)), x -> x.s >= {threshold}D)"
     return scored.select(
         "doc_id",
-        F.greatest(F.coalesce(F.size("__cands"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_candidates"),
+        F.greatest(F.coalesce(F.size(f"{own}_cands"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_candidates"),
         F.expr(f"cast(greatest(coalesce(size({secret}), 0), 0) as bigint)").alias("n_secrets"),
-        F.expr(f"coalesce(array_join(transform({secret}, x -> sha2(x.__found.v, 256)), ','), '')").alias("secrets_sha256"),
-        F.coalesce(F.array_max("__scores"), F.lit(0.0)).alias("score"),
-        F.sha2(_clean("text", threshold), 256).alias("redacted_sha256"),
+        F.expr(f"coalesce(array_join(transform({secret}, x -> sha2(x.v, 256)), ','), '')").alias("secrets_sha256"),
+        F.coalesce(F.array_max(f"{own}_scores"), F.lit(0.0)).alias("score"),
+        F.sha2(_clean("text", own, threshold), 256).alias("redacted_sha256"),
     )
 
 
-def _clean(text: str, threshold: float) -> Column:
-    swapped = f"transform(arrays_zip(__cands, __found, __scores), x -> if(x.__scores >= {threshold}D, replace(x.__cands, x.__found.v, '[SECRET]'), x.__cands))"
-    return F.when(F.size("__cands") > 0, F.expr(f"array_join(flatten(zip_with(__parts, {swapped}, (p, c) -> array(p, coalesce(c, '')))), '')")).otherwise(F.col(text))
+def _clean(text: str, own: str, threshold: float) -> Column:
+    judged = f"zip_with({own}_found, {own}_scores, (f, s) -> struct(f.v as v, s as s))"
+    swapped = f"zip_with({own}_cands, {judged}, (c, x) -> if(x.s >= {threshold}D, replace(c, x.v, '[SECRET]'), c))"
+    return F.when(F.size(f"{own}_cands") > 0, F.expr(f"array_join(flatten(zip_with({own}_parts, {swapped}, (p, c) -> array(p, coalesce(c, '')))), '')")).otherwise(F.col(text))
 
 
 def redacted(docs: DataFrame, model: Forest, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with every secret in the text replaced by [SECRET]; n_chars, where there is one, follows the text."""
-    out = _scored(docs, text, model).withColumn(text, _clean(text, threshold))
+    out, own = _scored(docs, text, model)
+    out = out.withColumn(text, _clean(text, own, threshold))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("__cands") > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(f"{own}_cands") > 0, F.length(text).cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

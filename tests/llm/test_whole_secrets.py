@@ -79,7 +79,8 @@ def test_op10_agrees_with_a_plain_scan_of_all_documents(spark):
     sf, model = "/root/testdata/sf0.01", secrets.forest(spark)
     pattern, assigned = re.compile(secrets.PATTERN, re.ASCII), re.compile(secrets.ASSIGNED, re.ASCII)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    features = {r.doc_id: r["__found"] or [] for r in secrets._described(docs, "text").select("doc_id", "__found").collect()}
+    found, own = secrets._described(docs, "text")
+    features = {r.doc_id: r[1] or [] for r in found.select("doc_id", f"{own}_found").collect()}
     got = {r.doc_id: r for r in queries.QUERIES["op10_secret_scan"](spark, sf).collect()}
     for r in docs.collect():
         text, out, last, n, hashes = r.text, [], 0, 0, []
