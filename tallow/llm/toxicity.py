@@ -126,6 +126,18 @@ def marginals(x: np.ndarray, begins: np.ndarray, a: np.ndarray, s: np.ndarray) -
     return out.T.reshape(-1)[:n]
 
 
+def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts of about _BLOCK bytes together; a longer one is alone."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > _BLOCK:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def offending_words(hashes: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Hashes of the words that tell the documents labelled 1: surely more frequent there, and in more of them than of others."""
     n = len(hashes)
@@ -165,16 +177,28 @@ class ToxicTagger:
         self.prior = float(y.mean()) if len(y) else 0.5
         if len(y) == 0 or y.min() == y.max():
             return self
-        features, bounds, hashes, *_ = tokens(texts)
-        tag = np.isin(hashes, offending_words(hashes, bounds, y)) & np.repeat(y > 0, np.diff(bounds))
+        parts = [placed(b, NOT_ALNUM)[:2] for b in _blocks(texts)]
+        hashes = np.concatenate([h for h, _ in parts])
+        sizes = np.concatenate([np.diff(b) for _, b in parts])
+        del parts
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        tag = np.isin(hashes, offending_words(hashes, bounds, y)) & np.repeat(y > 0, sizes)
         self.weights, self.edges, self.starts = np.zeros(1 << _BITS), np.zeros((2, 2)), np.zeros(2)
-        self._field(*self._windows(features, bounds, tag, most_windows, seed), epochs, seed)
-        self._calibrated(self._evidence(features, bounds)[1], y)
+        places = self._windows(bounds, tag, most_windows, seed)
+        features = np.zeros((*places.shape, N_FEATURES), np.int32)
+        first = 0
+        for block in _blocks(texts):  # features of the windows' words alone are held
+            own = tokens(block)[0]
+            here = (places >= first) & (places < first + len(own))
+            features[here] = own[places[here] - first]
+            first += len(own)
+        self._field(features, places >= 0, np.where(places >= 0, np.append(tag, False)[places], False), epochs, seed)
+        self._calibrated(np.concatenate([self._evidence(*tokens(b)[:2])[1] for b in _blocks(texts)]), y)
         return self
 
     @staticmethod
-    def _windows(features: np.ndarray, bounds: np.ndarray, tag: np.ndarray, most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of words (-1 beyond a text's end), tags and features of windows: those with toxic words first, then others by chance."""
+    def _windows(bounds: np.ndarray, tag: np.ndarray, most: int, seed: int) -> np.ndarray:
+        """Places of words (-1 beyond a text's end) of windows: those with toxic words first, then others by chance."""
         first = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(bounds, bounds[1:])]) if len(tag) else np.zeros(0, np.int64)
         end = np.minimum(first + WINDOW, bounds[np.searchsorted(bounds, first, side="right")])
         sums = np.concatenate([[0], np.cumsum(tag)])
@@ -183,17 +207,16 @@ class ToxicTagger:
         some, none = rng.permutation(np.flatnonzero(has))[: most // 2], rng.permutation(np.flatnonzero(~has))
         use = rng.permutation(np.append(some, none[: most - len(some)]))
         places = first[use][:, None] + np.arange(WINDOW)
-        places = np.where(places < end[use][:, None], places, -1)
-        return places, np.where(places >= 0, np.append(tag, False)[places], False), features
+        return np.where(places < end[use][:, None], places, -1)
 
-    def _field(self, places: np.ndarray, tags: np.ndarray, features: np.ndarray, epochs: int, seed: int, batch: int = 96, rate: float = 0.3, decay: float = 1e-5) -> None:
+    def _field(self, features: np.ndarray, there: np.ndarray, tags: np.ndarray, epochs: int, seed: int, batch: int = 96, rate: float = 0.3, decay: float = 1e-5) -> None:
         rng = np.random.default_rng(seed)
         squares = [np.full_like(p, 1e-8) for p in (self.weights, self.edges, self.starts)]
         for _ in range(epochs):
-            order = rng.permutation(len(places))
+            order = rng.permutation(len(features))
             for i in range(0, len(order), batch):
                 rows = order[i : i + batch]
-                steps = self.gradients(features[places[rows]], places[rows] >= 0, tags[rows])
+                steps = self.gradients(features[rows], there[rows], tags[rows])
                 for p, g, s in zip((self.weights, self.edges, self.starts), steps, squares):
                     g = g - decay * p
                     s += g * g
@@ -322,12 +345,9 @@ def with_scores(docs: DataFrame, model: ToxicTagger, text: str = "text", out: st
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         name = lambda s: dict(zip(("begin", "end", "probability"), s))
         for batch in batches:
-            texts, rows, begin, size = [b or b"" for b in batch.to_pylist()], [], 0, 0
-            for i, t in enumerate([*texts, None]):
-                if t is None or (i > begin and size + len(t) > _BLOCK):
-                    rows += [{"score": float(p), "spans": [name(s) for s in spans]} for p, spans in zip(*shared.value.score(texts[begin:i]))]
-                    begin, size = i, 0
-                size += len(t or b"")
+            rows = []
+            for texts in _blocks([b or b"" for b in batch.to_pylist()]):
+                rows += [{"score": float(p), "spans": [name(s) for s in spans]} for p, spans in zip(*shared.value.score(texts))]
             yield pa.array(rows, _SCORED_KIND)
         release()
 
