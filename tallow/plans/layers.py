@@ -2,8 +2,8 @@
 
 A window layer adds columns by SQL fragments over the columns below it; all layers share one window, so
 Spark shuffles and sorts once for any number of them. A scan layer adds recursive columns (a value that
-depends on the value before): SMA-seeded averages and affine recurrences v = a * v + b, any number in one
-grouped Arrow pass.
+depends on the value before): SMA-seeded averages and affine recurrences v = a * v + b, over parts of series (see parts.py) or,
+beside states of other kinds and windows without a bound, any number in one Arrow pass over whole series.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def run_affine(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _floats(column: pa.ChunkedArray) -> np.ndarray:
+def floats(column: pa.ChunkedArray) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False) if not isinstance(column, pa.ChunkedArray) else column.cast(pa.float64()).to_pandas().to_numpy(dtype=float)
 
 
@@ -148,7 +148,7 @@ def scanned(df: DataFrame, scans: Sequence[Average | Affine | Difference | Machi
 
         def column(name: str) -> np.ndarray:
             if name not in have:
-                have[name] = _floats(table.column(name))
+                have[name] = floats(table.column(name))
             return have[name]
 
         for s in scans:
@@ -166,8 +166,13 @@ def scanned(df: DataFrame, scans: Sequence[Average | Affine | Difference | Machi
     return df.groupBy("sym").applyInArrow(series, schema)
 
 
-def on_spark(plan: Plan, bars: DataFrame) -> DataFrame:
-    """sym, ts and the plan's outputs."""
+def on_spark(plan: Plan, bars: DataFrame, rows_a_part: int | None = None) -> DataFrame:
+    """sym, ts and the plan's outputs. Plans with affine scans and bounded windows go over parts of series (see parts); so do
+    plans of bounded windows alone where rows_a_part is given."""
+    from . import parts
+
+    if parts.partable(plan) and (rows_a_part or not all(isinstance(s, dict) for s in plan.steps)):
+        return parts.on_parts(plan, bars, rows_a_part or parts.ROWS_A_PART)
     df = bars.selectExpr("*", "row_number() over (partition by sym order by ts) as rn")
     for step in plan.steps:
         df = df.selectExpr("*", *(f"{e.replace(' §', ', true')} as {c}" for c, e in step.items())) if isinstance(step, dict) else scanned(df, step)
