@@ -49,22 +49,31 @@ def chart_rows(equity: DataFrame) -> DataFrame:
     return equity.select("seq", "ts", two.alias("x")).select((F.col("seq") * 2 - F.col("x.k")).alias("seq"), F.col("x.s").alias("series_name"), "ts", F.col("x.v").alias("value"))
 
 
-def episodes(equity: DataFrame, kind: str = "drawdown", by: str = "sym", order: str = "seq") -> DataFrame:
+def episodes(equity: DataFrame, kind: str = "drawdown", by: str = "sym", order: str = "seq", rows_a_part: int = 1 << 16) -> DataFrame:
     """by, anchor, first, last, recovery (orders; null while open), depth of runs below the running peak (or above the running trough).
 
-    Anchor: first row of the plateau before the run; recovery: the first row back at the anchor's level.
+    Anchor: first row of the plateau before the run; recovery: the first row back at the anchor's level. A series is cut into
+    parts of rows_a_part numbers of `order`; a part starts with the peak, the last value, the plateau and the run
+    that the parts before it leave, a row a part each, so that no window is longer than a part.
     """
     sign = 1 if kind == "drawdown" else -1
-    v = F.col("equity") * sign
-    w = Window.partitionBy(by).orderBy(order)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = equity.withColumn("v", v).withColumn("peak", F.max("v").over(past)).withColumn("under", (F.col("v") < F.col("peak")).cast("int"))
-    e = e.withColumn("was_under", F.coalesce(F.lag("under").over(w), F.lit(0)))
+    at = Window.partitionBy(by, "part").orderBy(order)
+    past, parts = at.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by).orderBy("part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    e = equity.withColumn("v", F.col("equity") * sign).withColumn("part", F.floor(F.col(order) / rows_a_part))
+    edges = e.groupBy(by, "part").agg(F.max("v").alias("top"), F.max_by("v", order).alias("end"), F.min(order).alias("start"))
+    edges = edges.select(by, "part", F.max("top").over(before).alias("peak_in"), F.lag("end").over(parts).alias("v_in"), F.lead("start").over(parts).alias("start_out"))
+    e = e.join(edges, [by, "part"]).withColumn("peak", F.greatest(F.max("v").over(past), F.col("peak_in")))
+    e = e.withColumn("under", (F.col("v") < F.col("peak")).cast("int"))
+    e = e.withColumn("peak_was", F.coalesce(F.lag("peak").over(at), F.col("peak_in")))
+    e = e.withColumn("was_under", F.coalesce(F.lag("under").over(at), (F.col("v_in") < F.col("peak_in")).cast("int"), F.lit(0)))
     # a plateau begins at a row at the peak that the row before is not on, or that ends a run
-    fresh = (F.col("under") == 0) & ((F.col("was_under") == 1) | F.lag("peak").over(w).isNull() | (F.col("peak") > F.lag("peak").over(w)))
-    e = e.withColumn("anchor", F.last(F.when(fresh, F.col(order)), ignorenulls=True).over(past))
-    e = e.withColumn("run", F.sum(((F.col("under") == 1) & (F.col("was_under") == 0)).cast("int")).over(past))
-    e = e.withColumn("next", F.lead(order).over(w))
+    fresh = (F.col("under") == 0) & ((F.col("was_under") == 1) | F.col("peak_was").isNull() | (F.col("peak") > F.col("peak_was")))
+    e = e.withColumn("fresh", F.when(fresh, F.col(order))).withColumn("begun", F.when((F.col("under") == 1) & (F.col("was_under") == 0), F.col(order)))
+    left = e.groupBy(by, "part").agg(F.max("fresh").alias("fresh"), F.max("begun").alias("begun"))
+    left = left.select(by, "part", F.max("fresh").over(before).alias("anchor_in"), F.max("begun").over(before).alias("run_in"))
+    e = e.join(left, [by, "part"]).withColumn("anchor", F.coalesce(F.max("fresh").over(past), F.col("anchor_in"))).withColumn("run", F.coalesce(F.max("begun").over(past), F.col("run_in")))
+    e = e.withColumn("next", F.coalesce(F.lead(order).over(at), F.col("start_out")))
     g = e.filter("under = 1").groupBy(by, "run").agg(F.min("anchor").alias("anchor"), F.min(order).alias("first"), F.max(order).alias("last"), F.max_by("next", order).alias("recovery"), F.first("peak").alias("level"), F.min("v").alias("low"), F.min_by(order, F.struct("v", order)).alias("extreme"))
     return g.withColumn("depth", F.round(F.try_divide(F.abs(F.col("low") - F.col("level")), F.abs("level")), 9)).select(by, "anchor", "first", "extreme", "last", "recovery", "depth")
 

@@ -330,13 +330,10 @@ def joi_13(spark, sf_dir):
 
 @query("joi_14", "select e.event_id, first(t.value order by t.ts, t.event_id) as o, max(t.value) as h, min(t.value) as l, last(t.value order by t.ts, t.event_id) as c, count(*) as n from events e join events t on t.event_type = e.event_type and t.ts > e.ts and t.ts <= e.ts + interval '1 hour' group by e.event_id")
 def joi_14(spark, sf_dir):
-    """The candle of the hour after each signal, assembled from its ticks through hour buckets."""
-    e = sources.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000)
-    s = e.select(F.col("event_id").alias("signal"), "event_type", F.col("ts").alias("at")).withColumn("b", F.explode(F.array(hour("at"), hour("at") + 1)))
-    met = s.join(e.withColumn("b", hour("ts")), ["event_type", "b"]).filter("ts > at and ts <= at + interval 1 hour")
-    place = F.struct("ts", "event_id")
-    return met.groupBy(F.col("signal").alias("event_id")).agg(F.min_by("value", place).alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", place).alias("c"), F.count("*").alias("n"))
+    """The candle of the hour after each signal."""
+    e = sources.table(spark, sf_dir, "events")
+    signals = e.select("event_id", "event_type", "ts")
+    return align.following(signals, e, 3600, "value", "event_id", by="event_type").select("event_id", "o", "h", "l", "c", "n")
 
 
 statement("joi_15", "select e.event_id, b.c from {events} e join {bars} b on b.sym = e.event_type and b.ts = date_trunc('hour', e.ts)")
