@@ -14,7 +14,7 @@ from .queries_evidence import _FILLED, _FILLED_FOUR, _filled
 from .session import shared_dir, ship
 from .sources import bars as sources
 from .streaming import bars as streaming
-from .streaming import wallet
+from .streaming import alignment, store, wallet
 
 _CLOSED = f"select * from ({BARS}) where ts + interval '1 hour' <= (select max(ts) - interval '1 minute' from events)"
 
@@ -79,10 +79,24 @@ def _late(spark, sf_dir, base: str) -> DataFrame:
 
 @query("str_04", f"select * from ({BARS})")
 def str_04(spark, sf_dir):
-    """Late ticks correct stored bars: every batch makes the buckets that it touches anew."""
+    """Late ticks correct stored bars: every batch makes the days that it touches anew, and reads and writes no others."""
     base = _base(spark)
-    _run(_late(spark, sf_dir, base).writeStream.foreachBatch(streaming.refreshed(f"{base}/ticks", f"{base}/bars")), base)
-    return _ntz(streaming.stored_bars(spark, f"{base}/bars"))
+    held = store.DayStore(spark, base + "/store")
+    _run(_late(spark, sf_dir, base).writeStream.foreachBatch(held.write), base)
+    return _ntz(held.bars().drop("day"))
+
+
+@query("snk_08_refresh", f"select sym, time_bucket(interval '4 hours', ts, timestamp '1970-01-01') as ts, first(o order by ts) as o, max(h) as h, min(l) as l, last(c order by ts) as c, sum(v) as v from ({BARS}) group by 1, 2 having time_bucket(interval '4 hours', min(ts), timestamp '1970-01-01')::date between (select max(ts)::date - 6 from events) and (select max(ts)::date from events)")
+def snk_08_refresh(spark, sf_dir):
+    """Four-hour bars of the last seven days, made anew from stored bars after late ticks and a compaction."""
+    base = _base(spark)
+    held = store.DayStore(spark, base + "/store")
+    _run(_late(spark, sf_dir, base).writeStream.foreachBatch(held.write), base)
+    until = held.bars().agg(F.max("day")).first()[0]
+    held.compact([until])
+    held.write(held.ticks([until]).drop("day", "batch"), 9)  # the day again: nothing changes
+    held.refresh("4h", until, 7)
+    return _ntz(held.bars(name="4h").drop("day"))
 
 
 @query("str_12", f"select * from ({BARS})")
@@ -191,3 +205,39 @@ def sim_29(spark, sf_dir):
     return _once(spark, base, fills, ["wallet", "signal_id", "side"], None)
 
 
+
+
+@query("joi_14_stream", f"select e.event_id, b.ts as bar_ts, b.o, b.h, b.l, b.c, b.v from events e left join ({BARS}) b on b.sym = e.event_type and b.ts = time_bucket(interval '1 hour', e.ts, timestamp '1970-01-01') + interval '1 hour' where b.ts is not null or e.ts + interval '1 hour' < (select least(max(e.ts), max(b.ts)) - interval '1 minute' from events e, ({BARS}) b)")
+def joi_14_stream(spark, sf_dir):
+    """Signals and the candle after each, both streams: a join by interval whose state the watermarks bound."""
+    base = _base(spark)
+    e = sources.table(spark, sf_dir, "events").selectExpr("event_id", "event_type as sym", "cast(ts as timestamp) as ts")
+    cut = "timestamp '2024-01-15 00:00:00'"
+    signals = _in_turn(spark, base + "/signals", e.filter(f"ts < {cut}"), e.filter(f"ts >= {cut}"))
+    bars = _in_turn(spark, base + "/bars", *_halves(sources.hourly(spark, sf_dir)))
+    return _once(spark, base, alignment.next_candles(signals, bars), ["event_id"], None).drop("sym", "ts")
+
+
+@query("gap_08_silent", "select sym, since from (select event_type as sym, ts as since, lead(ts) over (partition by event_type order by ts) as n from events) where n - since > interval '2 hours' or (n is null and since + interval '2 hours' < (select max(ts) - interval '1 minute' from events))")
+def gap_08_silent(spark, sf_dir):
+    """Series that fall silent for two hours, told by timers; one that stops for good, without a further row of it."""
+    base = _base(spark)
+    e = sources.table(spark, sf_dir, "events").selectExpr("event_type as sym", "cast(ts as timestamp) as ts")
+    cut = "timestamp '2024-01-15 00:00:00'"
+    stream = _in_turn(spark, base, e.filter(f"ts < {cut}"), e.filter(f"ts >= {cut}"))
+    return _once(spark, base, alignment.silences(stream, 7200), ["sym", "since"], None)
+
+
+@query("src_04_stream", "select event_id, event_type, value from events")
+def src_04_stream(spark, sf_dir):
+    """Events by a source with offsets: a run up to the middle, then one from its checkpoint on."""
+    ship(spark)
+    base, path = _base(spark), f"{sf_dir}/events.parquet"
+    spark.dataSource.register(alignment.EventSource)
+    events = sources.table(spark, sf_dir, "events")
+    middle = events.agg(F.expr("cast(max(event_id) div 2 as bigint)")).first()[0]
+    schema = events.select("event_id", "event_type", "value").schema
+    for options in ({"upto": str(middle)}, {}):
+        stream = spark.readStream.format("tallow_events").schema(schema).options(path=path, ids_a_partition="4000", **options).load()
+        _run(stream.writeStream.foreachBatch(streaming.put(f"{base}/out")), base)
+    return streaming.read_batches(spark, f"{base}/out")
