@@ -30,15 +30,6 @@ def difference(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataF
     return missing.unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("surplus")))
 
 
-def ordered_hash(df: DataFrame, columns: list[str], group: str, digits: int = 2) -> DataFrame:
-    """SHA-256 of each group's rows in the order of their hashes: of the hashes of its parts, a part being the row hashes
-    that begin alike (of 16 ** digits parts a group, each a task's work at most), in order."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    joined = lambda c: F.sha2(F.concat_ws("\x1e", F.array_sort(F.collect_list(c))), 256)
-    parts = df.select(group, row.alias("h")).groupBy(group, F.substring("h", 1, digits).alias("part")).agg(joined("h").alias("own"))
-    return parts.groupBy(group).agg(F.sha2(F.concat_ws("\x1e", F.transform(F.array_sort(F.collect_list(F.struct("part", "own"))), lambda x: x["own"])), 256).alias("content_hash"))
-
-
 def outcome(gross: Column, net: Column, r: Column) -> Column:
     return F.when((gross > 0) & (net <= 0), "cost_churn").when(r >= 2, "top_winner").when(net > 0, "normal_winner").when(r <= -1, "tail_loser").otherwise("small_loser")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import replay
-from .operators import align, audit, catalog, gaps, indicators, metrics, money, patterns, resample, simulate
+from .operators import align, audit, catalog, gaps, hashtree, indicators, metrics, money, patterns, quantiles, resample, simulate
 from .plans.layers import Average, Plan, as_sql, on_spark
 from .sources import bars as sources
 
@@ -431,7 +431,11 @@ def agg_09(spark, sf_dir):
     return metrics.daily(_equity(spark, sf_dir), ("ts", "seq"))
 
 
-statement("agg_10", "select o_orderstatus, quantile_cont(o_totalprice, 0.05) as p05, quantile_cont(o_totalprice, 0.95) as p95 from {orders} group by o_orderstatus", "select o_orderstatus, percentile(o_totalprice, 0.05) as p05, percentile(o_totalprice, 0.95) as p95 from {orders} group by o_orderstatus")
+@query("agg_10", "select o_orderstatus, quantile_cont(o_totalprice, 0.05) as p05, quantile_cont(o_totalprice, 0.95) as p95 from orders group by o_orderstatus")
+def agg_10(spark, sf_dir):
+    return quantiles.exact_quantiles(sources.table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice", {"p05": 0.05, "p95": 0.95}, few=512)
+
+
 _BIN = "case when x < 0 or x > 500000 then -1 when x = 500000 then 9 else cast(floor(x / 50000) as int) end"
 statement("agg_11", f"select {_BIN} as bin, count(*) as n from (select o_totalprice as x from {{orders}}) t group by 1")
 statement("agg_12", "select o_orderpriority, count(*) as n from {orders} group by o_orderpriority")
@@ -448,14 +452,31 @@ statement("agg_16", "select event_type, min_by(event_id, value * 1000000 + event
 statement("agg_17", "select event_type, date_trunc('second', ts) as ts, max_by(value, event_id) as value from {events} group by event_type, date_trunc('second', ts)")
 
 
-@query("agg_18", "select o_orderstatus, sha256(string_agg(own, chr(30) order by part)) as content_hash from (select o_orderstatus, h[1:2] as part, sha256(string_agg(h, chr(30) order by h)) as own from (select o_orderstatus, sha256(o_orderkey::varchar || chr(31) || o_custkey::varchar || chr(31) || o_orderpriority) as h from orders) group by 1, 2) group by 1")
+_ORDER_ROW, _EVENT_ROW = ["o_orderkey", "o_custkey", "o_orderpriority"], ["event_id", "user_id", "props"]
+
+
+def _text(columns: list[str]) -> str:
+    return " || chr(31) || ".join(f"coalesce({c}::varchar, '')" for c in columns)
+
+
+@query("agg_18", hashtree.as_sql("orders", _text(_ORDER_ROW), "o_orderstatus", 64))
 def agg_18(spark, sf_dir):
-    return audit.ordered_hash(sources.table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"], "o_orderstatus")
+    return hashtree.content_hash(sources.table(spark, sf_dir, "orders"), _ORDER_ROW, "o_orderstatus", 64)
 
 
-@query("agg_19", "select event_type, sha256(string_agg(own, chr(30) order by part)) as content_hash from (select event_type, h[1:2] as part, sha256(string_agg(h, chr(30) order by h)) as own from (select event_type, sha256(event_id::varchar || chr(31) || user_id::varchar || chr(31) || props) as h from events) group by 1, 2) group by 1")
+@query("agg_19", hashtree.as_sql("events", _text(_EVENT_ROW), "event_type", 64))
 def agg_19(spark, sf_dir):
-    return audit.ordered_hash(sources.table(spark, sf_dir, "events"), ["event_id", "user_id", "props"], "event_type")
+    return hashtree.content_hash(sources.table(spark, sf_dir, "events"), _EVENT_ROW, "event_type", 64)
+
+
+@query("aud_14_difference", "select event_type, event_id, user_id, case event_id % 3 when 0 then 1 when 1 then -1 else 2 end::bigint as surplus from events where event_id % 1999 = 7 and event_id % 3 < 2 union all select event_type, event_id, user_id + 1, -1 from events where event_id % 1999 = 7 and event_id % 3 = 2 union all select event_type, event_id, user_id, 1 from events where event_id % 1999 = 7 and event_id % 3 = 2")
+def aud_14_difference(spark, sf_dir):
+    """Two tables of events that differ in rows left out, repeated or changed here and there: found by their trees."""
+    a = sources.table(spark, sf_dir, "events").select("event_type", "event_id", "user_id")
+    odd = "event_id % 1999 = 7"
+    changed = a.filter(f"{odd} and event_id % 3 = 2").withColumn("user_id", F.col("user_id") + 1)
+    b = a.filter(f"not ({odd} and event_id % 3 <> 1)").unionByName(changed).unionByName(a.filter(f"{odd} and event_id % 3 = 1"))
+    return hashtree.difference(a, b, ["event_type", "event_id", "user_id"], "event_type", 64)
 
 
 statement("agg_20", "select o_orderstatus, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') as priorities from {orders} group by o_orderstatus", "select o_orderstatus, array_join(sort_array(collect_set(o_orderpriority)), ',') as priorities from {orders} group by o_orderstatus")

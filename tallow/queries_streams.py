@@ -14,7 +14,7 @@ from .queries_evidence import _FILLED, _FILLED_FOUR, _filled
 from .session import shared_dir, ship
 from .sources import bars as sources
 from .streaming import bars as streaming
-from .streaming import alignment, store, wallet
+from .streaming import alignment, inventory, store, wallet
 
 _CLOSED = f"select * from ({BARS}) where ts + interval '1 hour' <= (select max(ts) - interval '1 minute' from events)"
 
@@ -207,6 +207,18 @@ def sim_29(spark, sf_dir):
 
 
 
+@query("snk_09_deletes", f"select sym, min(ts) as available_from, max(ts) as available_to, count(*) as row_count from ({BARS}) where extract(day from ts) not in (1, 2, 31) and extract(hour from ts) <> 5 group by sym")
+def snk_09_deletes(spark, sf_dir):
+    """The inventory of bars under inserts and deletes: some deletes come before their inserts, some take the first and last rows."""
+    base, bars = _base(spark), sources.hourly(spark, sf_dir).select("sym", "ts")
+    change = lambda where, op: bars.filter(where).selectExpr("sym", "ts", f"'{op}' as op")
+    half = "ts < timestamp_ntz '2024-01-15 00:00:00'"
+    batches = (change("hour(ts) = 5", "delete"), change(half, "insert"), change(f"day(ts) in (1, 2) and hour(ts) <> 5 and {half}", "delete"), change(f"not ({half})", "insert"), change(f"(day(ts) = 31 or day(ts) in (1, 2) and not ({half})) and hour(ts) <> 5", "delete"))
+    held = inventory.Inventory(spark, base + "/held", parts=4)
+    _run(_in_turn(spark, base, *batches).writeStream.foreachBatch(held.write), base)
+    return _ntz(held.rows())
+
+
 @query("joi_14_stream", f"select e.event_id, b.ts as bar_ts, b.o, b.h, b.l, b.c, b.v from events e left join ({BARS}) b on b.sym = e.event_type and b.ts = time_bucket(interval '1 hour', e.ts, timestamp '1970-01-01') + interval '1 hour' where b.ts is not null or e.ts + interval '1 hour' < (select least(max(e.ts), max(b.ts)) - interval '1 minute' from events e, ({BARS}) b)")
 def joi_14_stream(spark, sf_dir):
     """Signals and the candle after each, both streams: a join by interval whose state the watermarks bound."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallow.functions import texts
-from tallow.operators import audit, catalog, money, patterns, resample, simulate
+from tallow.operators import audit, hashtree, catalog, money, patterns, resample, simulate
 from tallow.plans import registry
 from tallow.session import shared_dir
 
@@ -78,9 +78,9 @@ def test_catalog_writes(spark):
 
 def test_group_hashes_do_not_depend_on_the_rows_order(spark):
     df = spark.range(3000).selectExpr("id % 3 as g", "id as a", "cast(id * 7 as string) as b")
-    one = {r.g: r.content_hash for r in audit.ordered_hash(df, ["a", "b"], "g").collect()}
-    assert one == {r.g: r.content_hash for r in audit.ordered_hash(df.orderBy(F.desc("id")).repartition(5), ["a", "b"], "g").collect()} and len(set(one.values())) == 3
-    assert one != {r.g: r.content_hash for r in audit.ordered_hash(df.filter("id <> 9"), ["a", "b"], "g").collect()}
+    one = {r.g: r.content_hash for r in hashtree.content_hash(df, ["a", "b"], "g", 4).collect()}
+    assert one == {r.g: r.content_hash for r in hashtree.content_hash(df.orderBy(F.desc("id")).repartition(5), ["a", "b"], "g", 4).collect()} and len(set(one.values())) == 3
+    assert one != {r.g: r.content_hash for r in hashtree.content_hash(df.filter("id <> 9"), ["a", "b"], "g", 4).collect()}
 
 
 def test_series_of_timeframes():
