@@ -252,6 +252,11 @@ class Join:
         emitters = max(8, -(-total // (8 << self.bucket_bits)))
         self.profile = stored(self.docs.coalesce(emitters).mapInArrow(_profiler(self.sets, self.bucket_bits), "doc_id bigint, n bigint, digest binary, bits binary, cell bigint, counts binary"), "profile")
         self.reps = stored(self._representatives(), "representatives")
+        discard(self.repeated)
+
+    def close(self) -> None:
+        """Removes the tables of the join. What members() or classes() gave reads them: write that first."""
+        discard(self.profile, self.reps)
 
     @staticmethod
     def _methods(k: int, percent: int):
@@ -270,7 +275,7 @@ class Join:
         """rep, digest, head, n, bits, copies, odd of every distinct set that is not empty: a number, the smallest id, and
         whether other rows than one have that id and set (or none has an id)."""
         rows = self.profile.filter("cell is null and n > 0")
-        repeated = stored(rows.filter("doc_id is not null").groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("head"), "digest", F.lit(True).alias("again")), "repeated")
+        self.repeated = repeated = stored(rows.filter("doc_id is not null").groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("head"), "digest", F.lit(True).alias("again")), "repeated")
         sets = rows.groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
         sets = sets.join(small(repeated, repeated.count(), _ROW), ["head", "digest"], "left")
         # the number is fixed once the table is written

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import release, ship
 from . import jaccard_join, wordhash
-from .common import small, stored
+from .common import discard, small, stored
 from .ranges import Parts, even_parts, id_key
 from .wordhash import NOT_ALNUM, mixed
 
@@ -254,11 +254,25 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return in_order(docs, key, text).mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' sets as 64-bit tokens, sorted and distinct."""
-    sigs, bounds = signatures(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    return wordhash.per_text(mixed(sigs.astype(np.uint64) + _C), owner, len(texts))
+def _tokens(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets kept as bytes (little-endian 32-bit signatures, sorted and distinct) as 64-bit tokens, sorted and distinct."""
+    sigs = np.frombuffer(b"".join(sets), "<u4")
+    return wordhash.per_text(mixed(sigs.astype(np.uint64) + _C), np.repeat(np.arange(len(sets)), [len(s) // 4 for s in sets]), len(sets))
+
+
+def kept_signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and signatures (bytes) of every text, stored: texts are read and cut once, whatever is done with their sets."""
+
+    @F.arrow_udf("binary")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sigs, bounds = signatures([b or b"" for b in batch.to_pylist()])
+            raw, at = sigs.astype("<u4").tobytes(), (bounds * 4).tolist()
+            yield pa.array([raw[s:e] for s, e in zip(at, at[1:])], pa.binary())
+        release()
+
+    ship(docs.sparkSession)
+    return stored(docs.select(F.col(key).alias("doc_id"), cut.asNondeterministic()(F.col(text).cast("binary")).alias("signatures")), "signatures")
 
 
 def length_range(n: int, percent: int) -> int:
@@ -278,12 +292,12 @@ def range_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
 
 
 class Matches(jaccard_join.Join):
-    """Near duplicates among fingerprints: sets are partitioned by length ranges and indexed by their rarest signatures;
+    """Near duplicates among fingerprints (doc_id, signatures): sets are partitioned by length ranges and indexed by their rarest signatures;
     bounds by lengths, places in the index and bitmaps leave out most pairs, whole sets decide on the rest."""
 
     @staticmethod
     def _methods(k: int, percent: int):
-        return _sets, (lambda tokens, frequent: range_keys(tokens, percent))
+        return _tokens, (lambda tokens, frequent: range_keys(tokens, percent))
 
     def linked(self) -> DataFrame:
         """doc_id, class_id of documents whose class has a smaller id than theirs; of an id with several texts the smallest."""
@@ -294,30 +308,9 @@ class Matches(jaccard_join.Join):
 def with_classes(prints: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """prints (with doc_id) and class_id: the smallest id of the documents that are joined by fingerprints alike in percent
     of their signatures; its own id for a document without such, and for one without words."""
-    own = Matches(docs, key, text, percent=percent).linked()
+    kept = kept_signatures(docs, key, text)
+    matches = Matches(kept, "doc_id", "signatures", percent=percent)
+    own = matches.linked()
+    matches.close()
+    discard(kept)
     return prints.join(small(own, own.count(), 32), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-
-
-def near_duplicates(prints: DataFrame, key: str = "doc_id", fingerprint: str = "fingerprint", threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, similarity) of distinct fingerprints' representatives (smallest id) at or above the threshold.
-
-    Natively on the fingerprints: length ranges grow by 1 / threshold, so that partners lie in the same or
-    the next range; of n signatures the n - ceil(threshold * n) + 1 rarest are indexed.
-    """
-    sets = prints.filter(F.length(fingerprint) > 0).groupBy(F.col(fingerprint).alias("f")).agg(F.min(key).alias("id"))
-    sets = sets.select("id", F.expr("regexp_extract_all(hex(unbase64(f)), '[0-9A-F]{8}', 0)").alias("s"))
-    sets = sets.withColumn("n", F.size("s")).withColumn("range", F.floor(F.log(F.col("n").cast("double")) / -np.log(threshold)))
-    each = sets.select("id", "n", "range", F.explode("s").alias("sig"))
-    rarity = each.groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "sig").groupBy("id", "n", "range").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("o"))
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    index = ranked.select("id", "n", "range", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).filter("x.df > 1").select("id", "n", "range", F.col("x.sig").alias("sig"))
-    probes = index.withColumn("at", F.explode(F.array(F.col("range"), F.col("range") + 1)))
-    l, r = probes.alias("l"), index.alias("r")
-    meets = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.at") == F.col("r.range"))
-    ordered = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") < F.col("r.id")))
-    pairs = l.join(r, meets).filter(ordered & (F.col("r.n") * threshold <= F.col("l.n") + 1e-9)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    texts = sets.select("id", "s")
-    both = pairs.join(texts.toDF("a", "sa"), "a").join(texts.toDF("b", "sb"), "b")
-    scored = both.select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold - 1e-9)

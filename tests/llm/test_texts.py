@@ -142,19 +142,19 @@ def test_fingerprints_agree_with_sets(spark, monkeypatch):
     assert spotsigs.with_edits(docs.unionByName(docs).withColumn("doc_id", F.when(F.col("doc_id") > 6, F.col("doc_id")))).count() == 2 * len(rows)
 
 
-def test_near_duplicates_agree_with_all_pairs(spark):
+def test_classes_join_all_pairs_alike(spark):
     rng = random.Random(5)
     base = " ".join(rng.choice(["the", "of", "and"]) + f" w{i} v{i}" for i in range(60))
     texts = variants(rng, base, 30, 8) + [" ".join(f"the a{rng.randrange(999)} b{rng.randrange(999)}" for _ in range(40)) for _ in range(20)] + [base, base]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    prints = spotsigs.fingerprints(docs)
-    got = {tuple(sorted((r.a, r.b))) for r in spotsigs.near_duplicates(prints).collect()}
-    first = {}
-    for r in prints.orderBy("doc_id").collect():
-        first.setdefault(r.fingerprint, r.doc_id)
-    reps = sorted(first.values())
-    want = {(x, y) for i, x in enumerate(reps) for y in reps[i + 1 :] if likeness(texts[x], texts[y]) >= 0.8}
-    assert got == want and want
+    got = {r.doc_id: r.class_id for r in spotsigs.with_classes(spotsigs.fingerprints(docs), docs).collect()}
+    up = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if likeness(texts[x], texts[y]) >= 0.8:
+                a, b = up[x], up[y]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    assert got == dict(enumerate(up)) and len(set(up)) < len(up)
 
 
 def test_quality_gradients_are_right():
