@@ -24,9 +24,26 @@ def new_dir(spark: SparkSession, name: str) -> str:
 MOST_BROADCAST = 32 << 20
 
 
+#: Paths of stored tables that have not been discarded.
+_kept: list[str] = []
+
+
+def tables() -> list[str]:
+    """The paths of all stored tables that have not been discarded."""
+    return list(_kept)
+
+
+def sweep(spark: SparkSession, *needed: DataFrame, others: list[str] = ()) -> None:
+    """Discards all stored tables but the needed ones and others: for a program that knows what it still reads."""
+    still = {p for t in needed for p in getattr(t, "_tallow_paths", [])} | set(others)
+    for path in [p for p in _kept if p not in still]:
+        remove(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = new_dir(df.sparkSession, name)
+    _kept.append(path)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tallow_paths = [path]
@@ -51,6 +68,8 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path in _kept:
+        _kept.remove(path)
 
 
 def small(side: DataFrame, rows: int, row_bytes: int) -> DataFrame:

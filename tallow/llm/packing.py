@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import release, ship
-from .common import discard, stored
+from .common import discard, holding, stored
 
 #: A byte-level vocabulary writes bytes as these code points: printable Latin-1 as itself, the rest from 256 up.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -86,8 +86,9 @@ def cut(ids: np.ndarray, length: int, separator: int) -> list[tuple[int, int, in
     return [(s, e - s, zlib.crc32(ids[s:e].tobytes())) for s, e in zip([0, *ends], ends)]
 
 
-def pieces(docs: DataFrame, path: str, length: int = 2048, separator: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, piece, start, length, ids_crc32 of every piece of every document."""
+def pieces(docs: DataFrame, path: str, length: int = 2048, separator: int = 0, key: str = "doc_id", text: str = "text", numbered: bool = False) -> DataFrame:
+    """key, piece, start, length, ids_crc32 of every piece of every document; if numbered, also document, a number of its row, so that
+    document and piece tell pieces apart where several rows share an id."""
 
     @F.arrow_udf("array<struct<start:bigint,length:bigint,ids_crc32:bigint>>")
     def tokenised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -101,7 +102,9 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, separator: int = 0, k
 
     ship(docs.sparkSession)
     whole = docs.select(F.col(key).alias("doc_id"), tokenised.asNondeterministic()(F.col(text)).alias("p"))
-    return whole.select("doc_id", F.posexplode("p").alias("piece", "p")).select("doc_id", "piece", "p.start", "p.length", "p.ids_crc32")
+    number = [F.monotonically_increasing_id().alias("document")] if numbered else []
+    cut_up = whole.select("doc_id", *number, "p").select("doc_id", *(["document"] if numbered else []), F.posexplode("p").alias("piece", "p"))
+    return cut_up.select("doc_id", "piece", "p.start", "p.length", "p.ids_crc32", *(["document"] if numbered else []))
 
 
 def lower_bound(counts: np.ndarray, most_k: int = 40) -> int:
@@ -153,7 +156,8 @@ def best_fit(sizes: Iterable[int], capacity: int) -> tuple[np.ndarray, np.ndarra
     return where, offset, left
 
 
-_PACKED = "doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, room int"
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_PLACE = "sequence_id bigint, offset bigint, room int"
 
 
 #: Numbers that a task may give to its bins.
@@ -185,7 +189,7 @@ def _packer(capacity: int, base: int | None):
         if keep:
             number, where, offset = given[index], index, table["offset"].to_numpy()
             left = (capacity - np.bincount(index, weights=sizes)).astype(int).tolist()
-        table = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        table = table.drop_columns([c for c in ("sequence_id", "offset") if c in table.column_names])
         for name, values in (("sequence_id", number), ("offset", offset), ("room", np.array(left, np.int32)[where])):
             table = table.append_column(name, pa.array(values))
         yield from table.to_batches(max_chunksize=50_000)
@@ -203,12 +207,14 @@ def _rooms(packed: DataFrame, capacity: int) -> tuple[np.ndarray, int]:
 
 
 def pack(cut_pieces: DataFrame, capacity: int = 2048, rows_a_partition: int = 65_536, deals: int = 3) -> DataFrame:
-    """The pieces with sequence_id and offset, and, the same in every row, bins (sequences in all) and bound (no packing
+    """The pieces, whatever columns they have, with sequence_id and offset, and, the same in every row, bins (sequences in all) and bound (no packing
     has fewer). rows_a_partition bounds what one task holds; bins stop moving after `deals` different deals of all bins with room in a
     row have gained nothing."""
     ship(cut_pieces.sparkSession)
     held = stored(cut_pieces, "pieces")
-    schema = _PACKED.format(key=held.schema["doc_id"].dataType.simpleString())
+    carried = [*_PIECE, *(c for c in held.columns if c not in _PIECE)]
+    held = holding(held.select(*carried), held)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields), _PLACE])
     counts = np.zeros(capacity + 1, np.int64)
     for r in held.groupBy("length").count().collect():  # at most capacity rows
         counts[r["length"]] = r["count"]
