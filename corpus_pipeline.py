@@ -5,7 +5,8 @@
    (a component may join texts that are not alike themselves through others that are).
 3. secrets: secrets in the texts become [SECRET]; every document stays.
 4. mixing: sources by target weights; a document comes as often as its source's budget takes it.
-5. packing: the tokens of what is left, packed into sequences of 2048.
+5. packing: the tokens of what is left, packed into sequences of 2048; `document` numbers the rows of the mix, so that the pieces of
+   a document that it takes twice are told apart.
 
 Cases: near_duplicates decides by id and text, so that an id that several texts share loses only those
 that others stand for; rows without an id come last in a component and are told apart by their texts; of rows with
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallow.llm import jaccard_join, language_id, mixing, packing, secrets
-from tallow.llm.common import discard, read_table, small, stored
+from tallow.llm.common import fresh, read_table, small, stored, sweep, tables
 from tallow.session import small_batches
 
 #: Below this posterior a language counts as not told; a few words can fit several languages and still be clean.
@@ -30,8 +31,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     trees = language_id.fit(docs)
     if not trees.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, trees, out="__language")
-    kept = found.filter((F.col("__language.lang_pred") != language_id.UNDETERMINED) & (F.col("__language.score") >= LEAST_SCORE))
+    own = fresh(docs, "language")
+    found = language_id.identify(docs, trees, out=own)
+    kept = found.filter((F.col(f"{own}.lang_pred") != language_id.UNDETERMINED) & (F.col(f"{own}.score") >= LEAST_SCORE))
     return kept.select(*docs.columns)
 
 
@@ -70,7 +72,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), numbered=True))
 
 
 def _frugal(stage):
@@ -100,9 +102,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        was, docs = docs, stored(stage(spark, docs, sf_dir), name)
-        discard(was)
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    discard(docs)  # packing has written its pieces
-    return out
+    others = tables()
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+        sweep(spark, docs, others=others)
+    return docs
