@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallow.functions import texts
-from tallow.operators import audit, hashtree, catalog, money, patterns, resample, simulate
+from tallow.operators import catalog, hashtree, money, patterns, resample, simulate
 from tallow.plans import registry
 from tallow.session import shared_dir
 
