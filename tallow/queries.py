@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import replay
-from .operators import align, audit, catalog, gaps, hashtree, indicators, metrics, money, patterns, quantiles, resample, simulate
+from .operators import align, audit, catalog, gaps, hashtree, indicators, metrics, money, patterns, quantiles, resample, resampling, simulate
 from .plans.layers import Average, Plan, as_sql, on_spark
 from .sources import bars as sources
 
@@ -151,11 +151,17 @@ def gap_03(spark, sf_dir):
 
 @query("gap_04", _RANGES)
 def gap_04(spark, sf_dir):
-    return gaps.ranges(gaps.absent(sources.hourly(spark, sf_dir), 3600), 3600)
+    return gaps.missing_ranges(sources.hourly(spark, sf_dir), 3600)
 
 
-@query("gap_05", f"select sym, bars, expected, longest_gap, greatest(expected - bars, 0) as missing, coverage, coverage >= 0.95 and longest_gap <= 86400 as acceptable from (select sym, bars, expected, coalesce(longest_gap, 0)::bigint as longest_gap, least(1.0::double, round(bars / expected, 6)) as coverage from (select sym, count(*) as bars, ((epoch(max(ts)) - epoch(min(ts))) / 3600 + 1)::bigint as expected from ({BARS}) group by sym) left join (select sym, max(steps) * 3600 as longest_gap from ({_RANGES}) group by sym) using (sym))")
+_LONGEST = f"select sym, max(steps) * 3600 as longest_gap from ({_RANGES}) group by sym"
+_UNSEEN = f"select a.sym, count(*) as funding_missing, count(b.ts) as funding_unobservable from ({_ABSENT}) a left join ({_ABSENT}) b on a.sym = b.sym and b.ts = a.ts + interval '1 hour' where (epoch(a.ts)::bigint + 3600) % 28800 = 0 group by a.sym"
+_SPAN = f"select sym, count(*) as bars, ((epoch(max(ts)) - epoch(min(ts))) / 3600 + 1)::bigint as expected, ((epoch(max(ts))::bigint + 3600) // 28800 - epoch(min(ts))::bigint // 28800)::bigint as funding_boundaries from ({BARS}) group by sym"
+
+
+@query("gap_05", f"select sym, bars, expected, coalesce(longest_gap, 0)::bigint as longest_gap, greatest(expected - bars, 0) as missing, coverage, coverage >= 0.95 and coalesce(longest_gap, 0) <= 86400 as acceptable, funding_boundaries, coalesce(funding_missing, 0)::bigint as funding_missing, coalesce(funding_unobservable, 0)::bigint as funding_unobservable from (select *, least(1.0::double, round(bars / expected, 6)) as coverage from ({_SPAN})) left join ({_LONGEST}) using (sym) left join ({_UNSEEN}) using (sym)")
 def gap_05(spark, sf_dir):
+    """Coverage of each series, and the funding times whose price no bar tells."""
     return gaps.coverage(sources.hourly(spark, sf_dir), 3600)
 
 
@@ -521,20 +527,19 @@ def met_06(spark, sf_dir):
 
 
 def _multiples(trades: DataFrame, run) -> DataFrame:
-    """run_id, rs: all R multiples of each run in order of trades."""
-    r = F.struct("trade_id", (F.col("net") / F.col("r0")).alias("r"))
-    return trades.groupBy(run.alias("run_id")).agg(F.transform(F.array_sort(F.collect_list(r)), lambda x: x["r"]).alias("rs"))
+    """run_id, trade_id, r: the R multiples of each run."""
+    return trades.select(run.alias("run_id"), "trade_id", (F.col("net") / F.col("r0")).alias("r"))
 
 
 @query("met_10")
 def met_10(spark, sf_dir):
     """Risk of ruin: paths end where they are ruined."""
-    return metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run"))).select("run_id", "ruin")
+    return resampling.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run"))).select("run_id", "ruin")
 
 
 @query("val_03")
 def val_03(spark, sf_dir):
-    return metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.date_format("ts", "yyyy")))
+    return resampling.monte_carlo(_multiples(_trades(spark, sf_dir), F.date_format("ts", "yyyy")))
 
 
 _CELLS = "select o_custkey % 10 as cell, count(*) as trade_count, sum(case when o_totalprice > 250000 then o_totalprice - 250000 end) / sum(case when o_totalprice < 250000 then 250000 - o_totalprice end) as pf, 1.5e0 as sortino, 0.9e0 as calmar, cast(null as double) as sqn, -0.1e0 as mdd, 0e0 as ror, 0.2e0 as expectancy_r from {0} group by 1"
@@ -598,7 +603,7 @@ def val_04(spark, sf_dir):
 def val_06(spark, sf_dir):
     f = metrics.folds(_trades(spark, sf_dir), 5).agg(F.to_json(F.array_sort(F.collect_list(F.struct("fold", "pf", "degradation")))).alias("folds"))
     p = metrics.sharpe_probability(metrics.daily_returns(_equity(spark, sf_dir), ("ts", "seq")))
-    m = metrics.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run"))).select("p05", "p95", "ruin")
+    m = resampling.monte_carlo(_multiples(_trades(spark, sf_dir), F.lit("run"))).select("p05", "p95", "ruin")
     return f.crossJoin(_rounded(p)).crossJoin(m)
 
 

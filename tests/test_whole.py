@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tallow.operators import metrics
+from tallow.operators import resampling
 from tallow.queries import QUERIES
 from tallow.streaming import bars as streaming
 
@@ -81,12 +81,12 @@ def walked(rs: np.ndarray, draws: np.ndarray) -> tuple[list[float], list[bool]]:
 @pytest.mark.parametrize("n", [1, 50, 1000])
 def test_paths_in_blocks_are_those_of_their_draws(n):
     rs = np.array([random.Random(n + i).uniform(-6, 7) for i in range(n)])
-    total, ruined = metrics.resampled_paths(rs, 40, np.random.default_rng(7), step=n)
+    total, ruined = resampling.resampled_paths(rs, 40, np.random.default_rng(7), step=n)
     want = walked(rs, np.random.default_rng(7).integers(0, n, (40, n)))
     assert total.tolist() == pytest.approx(want[0]) and ruined.tolist() == want[1]
     rng = np.random.default_rng(7)
     draws = np.concatenate([rng.integers(0, n, (40, min(7, n - i))) for i in range(0, n, 7)], axis=1)
-    total, ruined = metrics.resampled_paths(rs, 40, np.random.default_rng(7), step=7)
+    total, ruined = resampling.resampled_paths(rs, 40, np.random.default_rng(7), step=7)
     assert total.tolist() == pytest.approx(walked(rs, draws)[0]) and ruined.tolist() == walked(rs, draws)[1]
 
 
@@ -106,7 +106,7 @@ def test_monte_carlo_takes_all_multiples_and_paths(spark, sf):
         # and as the theory has it: a sum of n draws is about normal
         spread = 1.645 * values.std() * len(values) ** 0.5
         assert got[year].p95 - got[year].p05 == pytest.approx(2 * spread, rel=0.06)
-    none = metrics.monte_carlo(spark.createDataFrame([("a", [])], "run_id string, rs array<double>"), paths=600).first()
+    none = resampling.monte_carlo(spark.createDataFrame([("a", 1, None)], "run_id string, trade_id bigint, r double"), paths=600).first()
     assert tuple(none) == ("a", 0.0, 0.0, 0.0)
 
 
