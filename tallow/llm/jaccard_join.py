@@ -20,7 +20,8 @@ tokens that the other classes may share before it.
    copies at first, in further rounds (star_rounds) the one with the most links. Components follow; an index key whose members all
    lie in one component has nothing more to add.
 4. Rest round: in the keys that are left, all pairs across components that no round has tried and that
-   the size and bitmap bounds allow are verified. Components again.
+   the size and bitmap bounds allow are verified. Components again. A key of many members is dealt by size and block into
+   cells, a pair of blocks each.
 
 Verification compares whole sets. Pairs within a component are never made, so that a group of near
 copies around a common original costs about as many pairs as it has members.
@@ -34,6 +35,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -241,10 +243,10 @@ def _common():
 class Join:
     """The join over one table of documents; classes() gives its result, joining_links() the links that hold it together."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, tokens_a_bucket: int = 32, most_bucket_bits: int = 26, star_rounds: int = 1):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, tokens_a_bucket: int = 32, most_bucket_bits: int = 26, star_rounds: int = 1, block: int = 512):
         ship(docs.sparkSession)
         self.docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-        self.percent, self.star_rounds = percent, star_rounds
+        self.percent, self.star_rounds, self.block = percent, star_rounds, block
         self.sets, self.keys_of = self._methods(k, percent)
         total = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
         self.bucket_bits = min(most_bucket_bits, max(16, int(total // (6 * tokens_a_bucket)).bit_length()))
@@ -333,11 +335,12 @@ class Join:
             open_rows = self._open(postings, found)
             last = stars == 0
             heads = None if last else self._heads(open_rows, weights)
-            pairs = (self._across(open_rows) if last else self._stars(open_rows, heads)).distinct()
+            pairs, crowded = self._across(open_rows) if last else (self._stars(open_rows, heads), None)
+            pairs = pairs.distinct()
             if tried is not None:
                 pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
             new = self._possible(pairs)
-            discard(heads, open_rows)
+            discard(heads, open_rows, crowded)
             true = self._verified(new)
             tried = new if tried is None else holding(tried.unionByName(new), tried, new)
             stars = 0 if true.isEmpty() else max(0, stars - 1)  # a star round that gains nothing is the last one
@@ -381,12 +384,40 @@ class Join:
         met = rows.join(heads, "key").filter(F.col("component") != F.col("c")).withColumn("y", F.struct("rep", "n", "place"))
         return met.filter(self._fits("x", "y")).select(*self._pair("x", "y"))
 
-    def _across(self, rows: DataFrame) -> DataFrame:
-        """Pairs of one key's members in different components. The longer list is split by AQE where a key is skewed;
-        sizes and places leave few partners for most members."""
-        l, r = (rows.select("key", F.struct("rep", "n", "place").alias(x), F.col("component").alias(f"{x}c")) for x in "xy")
-        pairs = l.join(r, "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("xc") != F.col("yc")) & self._fits("x", "y"))
-        return pairs.select(*self._pair("x", "y"))
+    def _across(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of one key's members in different components, and a stored table that they read; sizes and places leave few partners for most members.
+
+        Members of a crowded key are dealt into bands of size, of which partners share one or lie in two beside each other, and
+        bands into blocks; two blocks meet in a cell of their own, so that a key is the work of many tasks.
+        """
+        band = F.floor(F.log("n") / math.log(101 / self.percent))  # a little wider than partners can lie apart
+        rows = rows.withColumn("band", band)
+        many = F.ceil(F.col("members") / self.block).cast("int")
+        sizes = rows.groupBy("key", "band").agg(F.count("*").alias("members")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", many))).alias("blocks"), F.max(many).alias("most"))
+        crowded = stored(sizes.filter("most > 1").select("key", "blocks"), "crowded")
+        n = crowded.count()
+        plain = rows if n == 0 else rows.join(small(crowded.select("key"), n, _ROW), "key", "left_anti")
+        l, r = (plain.select("key", F.struct("rep", "n", "place").alias(x), F.col("component").alias(f"{x}c")) for x in "xy")
+        pairs = l.join(r, "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("xc") != F.col("yc")) & self._fits("x", "y")).select(*self._pair("x", "y"))
+        return (pairs if n == 0 else pairs.unionByName(self._by_cells(rows.join(small(crowded, n, 4 * _ROW), "key")))), crowded
+
+    def _by_cells(self, rows: DataFrame) -> DataFrame:
+        """Pairs of crowded keys: rows have the number of blocks of each band of their key."""
+        own, below, above = (F.col("blocks")[F.col("band") + d] for d in (0, -1, 1))
+        rows = rows.withColumn("at", F.pmod(F.xxhash64("rep"), own).cast("int"))
+        at = F.col("at")
+
+        def cells(band: Column, apart: int, first: Column, last: Column, cell: Callable[[Column], tuple[Column, Column]]) -> Column:
+            ks = F.when(last.isNotNull(), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))  # no such band: no cells
+            return F.transform(ks, lambda k: F.struct(band.alias("band"), F.lit(apart).alias("apart"), *(c.alias(o) for c, o in zip(cell(k), "ij"))))
+
+        zero = F.lit(0)
+        left = F.concat(cells(F.col("band"), 0, at, own - 1, lambda j: (at, j)), cells(F.col("band"), 1, zero, above - 1, lambda j: (at, j)))
+        right = F.concat(cells(F.col("band"), 0, zero, at, lambda i: (i, at)), cells(F.col("band") - 1, 1, zero, below - 1, lambda i: (i, at)))
+        l, r = (rows.select("key", F.struct("rep", "n", "place").alias(x), F.col("component").alias(f"{x}c"), F.explode(dealt).alias("cell")) for x, dealt in (("x", left), ("y", right)))
+        met = l.join(r, ["key", "cell"])
+        once = (F.col("x.rep") < F.col("y.rep")) | (F.col("cell.apart") > 0) | (F.col("cell.i") < F.col("cell.j"))
+        return met.filter(once & (F.col("xc") != F.col("yc")) & self._fits("x", "y")).select(*self._pair("x", "y"))
 
     def _fits(self, x: str, y: str) -> Column:
         """Whether sizes and places (structs rep, n, place) leave room for enough common tokens."""
