@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 ROWS_A_LEAF = 1024
 _DIGITS = 12
+#: Most groups whose depths are held, a row each, and sent to all tasks.
+_GROUPS = 10_000
 
 
 def row_hash(columns: list[str]) -> Column:
@@ -19,10 +21,13 @@ def row_hash(columns: list[str]) -> Column:
 
 
 def depths(df: DataFrame, columns: list[str], group: str, rows_a_leaf: int = ROWS_A_LEAF) -> DataFrame:
-    """group and depth: the digits that its leaves share."""
+    """group and depth: the digits that its leaves share. Rows meet the depths of few groups where they lie, so that a large group
+    is not one task's; more groups than that are joined."""
     n = df.select(group, row_hash(columns).alias("h")).distinct().groupBy(group).agg(F.count("*").alias("n"))
     deeper = sum((F.col("n") > rows_a_leaf * 16**k).cast("int") for k in range(_DIGITS))
-    return n.select(group, deeper.alias("depth"))
+    found = n.select(group, deeper.alias("depth"))
+    held = found.limit(_GROUPS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(held, found.schema)) if len(held) <= _GROUPS else found
 
 
 def leaves(df: DataFrame, columns: list[str], group: str, deep: DataFrame) -> DataFrame:
