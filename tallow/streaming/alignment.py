@@ -18,11 +18,16 @@ def next_candles(signals: DataFrame, bars: DataFrame, seconds: int = 3600, laten
     Both sides carry a watermark: a row later than it is dropped, a signal without a bar comes out with nulls once the
     watermark has passed its interval, and what no row can meet any more leaves the state, which so holds no more than
     lateness and interval span. bars: sym, ts, o, h, l, c, v, which come as bar_ts, o, h, l, c, v.
+
+    Both meet by blocks of that many seconds: a bar begins in a signal's own block or in the next one, so that it is there for both.
+    A signal is held against two bars, not against all of its series, and a series is the work of as many tasks as it has blocks.
     """
-    s = signals.withWatermark("ts", lateness)
+    block = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
+    s = signals.withWatermark("ts", lateness).withColumn("__block", block("ts"))
     b = bars.select(F.col("sym").alias("bar_sym"), F.col("ts").alias("bar_ts"), "o", "h", "l", "c", "v").withWatermark("bar_ts", lateness)
-    meets = (F.col("sym") == F.col("bar_sym")) & (F.col("bar_ts") > F.col("ts")) & F.expr(f"bar_ts <= ts + interval {seconds} seconds")
-    return s.join(b, meets, how).drop("bar_sym")
+    b = b.withColumn("__of", F.explode(F.array(block("bar_ts"), block("bar_ts") - 1)))
+    meets = (F.col("sym") == F.col("bar_sym")) & (F.col("__block") == F.col("__of")) & (F.col("bar_ts") > F.col("ts")) & F.expr(f"bar_ts <= ts + interval {seconds} seconds")
+    return s.join(b, meets, how).drop("bar_sym", "__block", "__of")
 
 
 class _Silence(StatefulProcessor):
