@@ -20,6 +20,9 @@ from ..operators.resample import bars_from_ticks, bucket, timeframe_seconds
 _TICKS = "sym string, ts timestamp, seq bigint, price double, size double, day date, batch bigint"
 _BARS = "sym string, ts timestamp, o double, h double, l double, c double, v double, day date"
 
+#: Files at most of a day and batch of ticks.
+_PIECES = 16
+
 
 class DayStore:
     """root/ticks/day=/batch=, root/bars/day=, root/<timeframe>/day= of the first day of a bucket."""
@@ -58,7 +61,9 @@ class DayStore:
         """A foreachBatch function over ticks (sym, ts, seq, price, size)."""
         day = F.to_date("ts").alias("day")
         new = batch.select("sym", "ts", "seq", "price", "size", day, F.lit(batch_id).cast("bigint").alias("batch"))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{self.root}/ticks")
+        # in pieces of days, so that no task sorts a whole batch for its folders
+        piece = F.pmod(F.xxhash64("sym", "ts", "seq"), F.lit(_PIECES))
+        new.repartition("day", piece).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{self.root}/ticks")
         days = sorted(r["day"] for r in batch.select(day).distinct().collect())  # a batch spans few days
         if days:
             self._put(self.made(days), "bars")
