@@ -43,7 +43,7 @@ def _once(spark: SparkSession, base: str, stream: DataFrame, keys: list[str], da
     ship(spark)
     with streaming.keyed_state(spark):
         _run(stream.writeStream.foreachBatch(streaming.append_once(f"{base}/out", keys, days)), base)
-    return _ntz(streaming.kept_once(spark, f"{base}/out"))
+    return _ntz(streaming.kept_once(spark, f"{base}/out", stream.schema))
 
 
 @query("str_01", "select event_id, make_timestamp(((floor((epoch_us(ts) - 2000000) / 60000000)::bigint + 1) * 60 + 2) * 1000000) as poll from events")

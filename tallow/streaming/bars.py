@@ -5,22 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..operators.align import as_of
 from ..operators.catalog import inserted_if_absent, latest
-from ..operators.resample import bars_from_ticks, bucket, confirmed, timeframe_seconds
+from ..operators.resample import bars_from_ticks, bucket, confirmed, place, timeframe_seconds
 from ..plans.layers import Average, scanned
 
 
 def streamed_bars(ticks: DataFrame, width: str = "1 hour", lateness: str = "1 minute") -> DataFrame:
     """Bars of a stream of (sym, ts, seq, price, size): a bar appears once the watermark has passed its end."""
-    place = F.struct("ts", "seq")
+    at = place(ticks)
     g = ticks.withWatermark("ts", lateness).groupBy(F.window("ts", width).alias("w"), "sym")
-    bars = g.agg(F.min_by("price", place).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", place).alias("c"), F.sum("size").alias("v"))
+    bars = g.agg(F.min_by("price", at).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", at).alias("c"), F.sum("size").alias("v"))
     return bars.select("sym", F.col("w.start").alias("ts"), "o", "h", "l", "c", "v")
 
 
@@ -92,12 +94,14 @@ class _Consumed(StatefulProcessor):
         self.last = handle.getValueState("last", "id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ids = sorted(set(pd.concat(list(rows))["signal_id"].tolist()))
         last = self.last.get()[0] if self.last.exists() else -1
-        new = [i for i in ids if i > last]
-        if new:
+        parts = [np.unique(ids[ids > last]) for ids in (part["signal_id"].to_numpy(np.int64) for part in rows)]
+        new = np.unique(np.concatenate(parts)) if parts else np.array([], np.int64)  # 8 bytes an id
+        if len(new):
             self.last.update((int(new[-1]),))
-            yield pd.DataFrame({"wallet": [key[0]] * len(new), "signal_id": new}).astype({"wallet": object, "signal_id": "int64"})
+        for at in range(0, len(new), 1 << 16):
+            ids = new[at : at + (1 << 16)]
+            yield pd.DataFrame({"wallet": [key[0]] * len(ids), "signal_id": ids}).astype({"wallet": object})
 
     def close(self) -> None:
         pass
@@ -105,7 +109,7 @@ class _Consumed(StatefulProcessor):
 
 def receipts(signals: DataFrame) -> DataFrame:
     """wallet, signal_id: a receipt for each signal that a wallet consumes; replays and ids at or below the last have none."""
-    return signals.groupBy("wallet").transformWithStateInPandas(_Consumed(), "wallet string, signal_id bigint", "Append", "None")
+    return signals.select("wallet", "signal_id").groupBy("wallet").transformWithStateInPandas(_Consumed(), "wallet string, signal_id bigint", "Append", "None")
 
 
 @contextmanager
@@ -159,8 +163,10 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     return _batches(spark, path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
 
 
-def kept_once(spark: SparkSession, path: str) -> DataFrame:
-    """What append_once has stored."""
+def kept_once(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """What append_once has stored; nothing, of the given schema, where no batch had rows."""
+    if schema is not None and _stored(spark, path) is None:
+        return spark.createDataFrame([], schema)
     out = _batches(spark, path)
     return out.drop(*({"batch", "day"} & set(out.columns)))
 

@@ -72,3 +72,69 @@ def test_the_source_goes_on_where_it_stopped(spark, tmp_path, ids):
         s = spark.readStream.format("tallow_events").schema("event_id long, name string").options(path=f"{tmp_path}/t", ids_a_partition=str(ids), **upto).load()
         run(s.writeStream.foreachBatch(streaming.put(f"{tmp_path}/out")), tmp_path)
     assert sorted(tuple(r) for r in streaming.read_batches(spark, f"{tmp_path}/out").collect()) == [(i, f"x{i}") for i in range(100)]
+
+
+def test_a_stream_that_gives_nothing_is_an_empty_table(spark, tmp_path):
+    """Series without a silence: no batch has rows, and the table has none."""
+    from datetime import datetime, timedelta
+
+    from tallow.queries import QUERIES
+
+    rows = [(i, datetime(2024, 1, 14, 20) + timedelta(minutes=i), "view", 1.0, "{}") for i in range(600)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["gap_08_silent"](spark, str(tmp_path))
+    assert got.columns == ["sym", "since"] and got.collect() == []
+
+
+def test_signals_meet_candles_by_blocks(spark):
+    """The join has a key beside the series, so that a signal is not held against all its candles; candles may lie off the grid."""
+    from tallow.streaming import alignment
+
+    at = lambda text: f"timestamp '2024-01-01 {text}'"
+    signals = spark.sql("select * from values " + ", ".join(f"({i}, 'a', {at(t)})" for i, t in enumerate(("00:10:00", "00:30:00", "01:29:59", "03:00:00"))) + " as t(id, sym, ts)")
+    bars = spark.sql("select sym, ts, 1d as o, 1d as h, 1d as l, c, 1d as v from values " + ", ".join(f"('a', {at(t)}, {c}d)" for c, t in enumerate(("00:30:00", "01:30:00", "04:00:00"))) + " as t(sym, ts, c)")
+    joined = alignment.next_candles(signals, bars)
+    assert {(r.id, r.c) for r in joined.collect()} == {(0, 0.0), (1, 1.0), (2, 1.0), (3, 2.0)} and joined.count() == 4
+    assert "__of" not in joined.columns and "__block" in joined._jdf.queryExecution().analyzed().toString()
+
+
+def test_receipts_come_in_pieces():
+    """A wallet's batch of any length is not one frame; ids of several parts come once, those not above the last one never."""
+    import numpy as np
+    import pandas as pd
+
+    from tallow.streaming.bars import _Consumed
+
+    class Last:
+        value = (4,)
+
+        def exists(self):
+            return True
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    consumed = _Consumed()
+    consumed.last = Last()
+    parts = [pd.DataFrame({"signal_id": np.arange(90_000)}), pd.DataFrame({"signal_id": np.arange(150_000, 50_000, -1)})]
+    out = list(consumed.handleInputRows(("w",), iter(parts), None))
+    assert max(map(len, out)) <= 1 << 16 and pd.concat(out)["signal_id"].tolist() == list(range(5, 150_001)) and consumed.last.value == (150_000,)
+    assert list(consumed.handleInputRows(("w",), iter(parts), None)) == [] and list(consumed.handleInputRows(("w",), iter([]), None)) == []
+
+
+def test_days_of_a_batch_are_written_in_pieces(spark, tmp_path):
+    """One file of ticks is not sorted by one task for its folders."""
+    import glob
+
+    from tallow.streaming import store
+
+    ticks = spark.range(4000, numPartitions=1).selectExpr("'a' as sym", "timestamp '2024-01-01 00:00:00' as ts", "id as seq", "1d as price", "1d as size")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as within a stream
+    try:
+        store.DayStore(spark, f"file://{tmp_path}/held").write(ticks, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(glob.glob(f"{tmp_path}/held/ticks/day=2024-01-01/batch=0/*.parquet")) > 1

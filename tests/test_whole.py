@@ -139,3 +139,70 @@ def test_late_ticks_correct_stored_bars(spark, tmp_path, kind):
 def test_the_overfit_bundle_has_its_monte_carlo(spark, sf):
     got, alone = QUERIES["val_06"](spark, sf).collect(), QUERIES["met_10"](spark, sf).first()
     assert len(got) == 1 and got[0].folds and got[0].psr is not None and got[0].ruin == alone.ruin and got[0].p05 < got[0].p95
+
+
+def test_bars_aggregate_without_a_sort(spark):
+    """First and last prices by (ts, seq) are hash aggregates, whatever the numbers; null numbers come first."""
+    from tallow.operators.resample import bars_from_ticks
+
+    big = 2**63 - 1
+    rows = [("a", "2024-01-01 00:00:01", big, 1.0), ("a", "2024-01-01 00:00:01", -big, 2.0), ("a", "2024-01-01 00:00:02", -big, 3.0), ("a", "2024-01-01 00:00:02", None, 4.0), ("b", "1969-01-01 00:00:02", 1, 5.0), ("b", "1969-01-01 00:00:01.000001", 9, 6.0)]
+    ticks = spark.createDataFrame(rows, "sym string, at string, seq bigint, price double").selectExpr("sym", "cast(at as timestamp) as ts", "seq", "price", "1d as size")
+    bars = bars_from_ticks(ticks, "1 hour")
+    assert {(r.sym, r.o, r.c, r.v) for r in bars.collect()} == {("a", 2.0, 3.0, 4.0), ("b", 6.0, 5.0, 2.0)}
+    assert "SortAggregate" not in bars._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_group_of_most_rows_meets_its_depth_where_it_lies(spark):
+    from tallow.operators import hashtree
+
+    rows = spark.range(3000).selectExpr("id as k", "concat('x', id % 2) as g")
+    tree = hashtree.leaves(rows, ["k"], "g", hashtree.depths(rows, ["k"], "g", 64))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in hashtree.leaves(rows, ["k"], "g", hashtree.depths(rows, ["k"], "g", 64))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tree.agg({"rows": "sum"}).first()[0] == 3000
+
+
+def _table(spark, tmp_path, **tables):
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_logarithms_of_nothing_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tallow.queries import ORACLES, QUERIES
+
+    sf = _table(spark, tmp_path, events="select id as event_id, cast(id - 1 as double) as value from range(3)")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{sf}/events.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["fun_math"].replace("/ 1000)", "/ 1000)")).fetchall())
+    assert sorted(map(repr, map(tuple, QUERIES["fun_math"](spark, sf).collect()))) == sorted(map(repr, want))
+
+
+def test_names_of_long_numbers_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tallow.queries import ORACLES, QUERIES
+
+    sf = _table(spark, tmp_path, orders="select 9000001L as o_orderkey", customer="select id as c_custkey, 3 as c_nationkey from range(30)")
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'")
+    got = QUERIES["snk_05"](spark, sf).select("c_custkey", "run_seq", "run_id", "status")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES["snk_05"]).fetchall())
+
+
+def test_orders_meet_their_bar_within_a_day(spark):
+    """No window holds all orders of a series, nor looks at all bars behind each of them."""
+    from tallow.operators import simulate
+
+    orders = spark.sql("select id as order_id, 'a' as sym, timestamp_ntz '2024-01-01 00:30:00' + make_dt_interval(id) as ts, 'market' as kind, 1 as side, 1d as level, 1 as quantity from range(9)")
+    bars = spark.sql("select 'a' as sym, ts, 2d as o, 3d as h, 1d as l from values (timestamp_ntz '2024-01-01 00:30:00'), (timestamp_ntz '2024-01-05 00:00:00') t(ts)")
+    met = simulate.matched(orders, bars)
+    assert {str(r.bar_ts) for r in met.filter("order_id < 4").collect()} == {"2024-01-05 00:00:00"} and met.filter("bar_ts is null").count() == 5
+    assert "unboundedfollowing" not in met._jdf.queryExecution().optimizedPlan().toString().lower().split("__near")[0]
