@@ -100,3 +100,14 @@ def test_one_plan_for_many(spark, sf):
     assert plan.count("FlatMapGroupsInArrow") <= 4
     one = registry.compute(bars, {"a": ("dema", {"n": 5})})
     assert sorted(map(tuple, both.select("sym", "ts", "a__value").collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+
+
+def test_bars_are_made_once(spark, tmp_path):
+    """Whatever runs and routes do, the frame that the bars came from is read once."""
+    from tallow.service import Workspace
+
+    source = f"file://{tmp_path}/source"
+    spark.sql("select 'a' as sym, timestamp_ntz '2024-01-01 00:00:00' as ts, 1d as o, 1d as h, 1d as l, 1d as c, 1d as v").write.parquet(source)
+    w = Workspace(spark, f"file://{tmp_path}/space", spark.read.parquet(source))
+    w.trigger_data_job("a", "2024-01-01 00:00:00", "2024-01-02 00:00:00", lambda s, a, b: w.bars)
+    assert all("/space/" in f for f in w.bars.inputFiles()) and w.bars.count() == 1
