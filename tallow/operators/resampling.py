@@ -6,7 +6,9 @@ it, a path is walked until it is ruined, and what the rest of it adds is drawn a
 so that no draw leaves its task. For the others each block of paths and part of steps first draws how many of its draws fall on each chunk (a
 multinomial of the chunks' sizes), each chunk draws its own, and these meet again by block and part, where every path's
 draws are put in random order. That is the same as drawing trades one by one. A part leaves its sum, product, highest and
-lowest point, which compose over parts. So no task holds a whole run or a whole path.
+lowest point, which compose over parts. Parts are walked in turns, and only by paths that are not ruined: what the steps behind
+a ruin add does not depend on their order, so each chunk draws its share of them and leaves their sum alone. So no task holds a
+whole run or a whole path, and what is shuffled are the draws of steps that are walked.
 """
 
 from __future__ import annotations
@@ -19,15 +21,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .quantiles import _checkpoints
 
 #: Most trades of a chunk: 2 MB of multiples.
 CHUNK = 1 << 18
 #: A long run of at most so many different multiples for each trade of a chunk is a table: 16 MB.
 TABLE = 4
-#: Steps of a part: with 250 paths a block, 8 MB of draws.
+#: A table that goes to every block of paths is worth it from so many trades a multiple.
+TRADES = 16
+#: Most steps of a part: with 250 paths a block, 8 MB of draws.
 STEPS = 4096
-#: Slots that a run's rows are counted in, so that a long run meets its count in many tasks.
-_SLOTS = 1024
+#: Steps of the first part; each has twice those of the one before.
+FIRST = 512
+#: Multiples that a table of the sums of two is made of: 65,536 sums, a number of 16 bits draws one.
+_PAIRED = 256
 #: Above every byte of a name: what follows in a generator's seed is a part or a chunk.
 _ABOVE = 256
 
@@ -63,10 +70,42 @@ def shares(key: list[int], sizes: np.ndarray, paths: int, steps: int) -> np.ndar
     return np.random.default_rng(key).multinomial(steps, sizes / sizes.sum(), size=paths)
 
 
+def parts_of(n: int, steps: int) -> list[tuple[int, int]]:
+    """Beginning and number of steps of each part of a path of n steps."""
+    found, at, each = [], 0, min(FIRST, steps)
+    while at < n:
+        found.append((at, min(each, n - at)))
+        at, each = at + each, min(2 * each, steps)
+    return found
+
+
 def own_draws(key: list[int], chunk: int, values: np.ndarray, many: int) -> np.ndarray:
     return values[np.random.default_rng([*key, _ABOVE + chunk]).integers(0, len(values), many)]
 
 
+def own_sums(values: np.ndarray, counts: list[np.ndarray], rngs: list[np.random.Generator]) -> list[np.ndarray]:
+    """Sums of so many draws a path (an array a block of paths, each with its generator). How many fall on each few multiples is
+    drawn first; of these, two draws are one from the sums of two, of which all pairs are as likely."""
+    each = np.bincount(np.arange(len(values)) // _PAIRED)
+    dealt = [np.ascontiguousarray(rng.multinomial(many, each / len(values)).T) for many, rng in zip(counts, rngs)]
+    sums = [np.zeros(len(many)) for many in counts]
+    for g in range(len(each)):
+        own = values[g * _PAIRED : (g + 1) * _PAIRED]
+        pairs = np.add.outer(own, own).ravel()
+        for of, rng, into in zip(dealt, rngs, sums):
+            two, some = of[g] // 2, of[g] > 1
+            into += own[rng.integers(0, len(own), len(two))] * (of[g] % 2)
+            if some.any():
+                into[some] += np.add.reduceat(pairs.take(_indices(rng, len(pairs), int(two.sum()))), (np.cumsum(two) - two)[some])
+    return sums
+
+
+def _indices(rng: np.random.Generator, below: int, many: int) -> np.ndarray:
+    if below < 1 << 16:
+        return rng.integers(0, below, many, dtype=np.uint16)
+    return rng.integers(0, 1 << 64, -(-many // 4), dtype=np.uint64).view(np.uint16)[:many]  # four numbers at once
+
+
 def shuffled(key: list[int], counts: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
     """A matrix (a row a path) of the chunks' draws, each row in random order."""
     paths = len(counts[0])
@@ -131,32 +170,43 @@ def monte_carlo(trades: DataFrame, paths: int = 10_000, seed: int = 0, block: in
     depend on how the work is dealt. Null multiples are no trades; a run that has no others ends at 0 and is not ruined. A
     null run is a run. Further columns are ignored.
     """
-    ship(trades.sparkSession)
+    ends = _ends(trades, paths, seed, block, risk, ruin, chunk, steps, True)
+    return ends.groupBy("run_id").agg(F.percentile("total", 0.05).alias("p05"), F.percentile("total", 0.95).alias("p95"), F.avg(F.col("ruined").cast("int")).alias("ruin"))
+
+
+def risk_of_ruin(trades: DataFrame, paths: int = 10_000, seed: int = 0, block: int = 250, risk: float = 0.01, ruin: float = 0.6, chunk: int = CHUNK, steps: int = STEPS) -> DataFrame:
+    """run_id, ruin of monte_carlo alone, for which a path of several chunks ends where it is ruined."""
+    return _ends(trades, paths, seed, block, risk, ruin, chunk, steps, False).groupBy("run_id").agg(F.avg(F.col("ruined").cast("int")).alias("ruin"))
+
+
+def _ends(trades: DataFrame, paths: int, seed: int, block: int, risk: float, ruin: float, chunk: int, steps: int, totals: bool) -> DataFrame:
+    """run_id, total, ruined of every path."""
+    spark = trades.sparkSession
+    ship(spark)
     r = F.col("r").cast("double")
     rows = trades.select(F.col("run_id").cast("string").alias("run_id"), F.col("trade_id").alias("id"), r.alias("r"), F.xxhash64("trade_id", r).alias("h"))
-    slot = F.pmod("h", F.lit(_SLOTS)).alias("slot")
-    counts = rows.groupBy("run_id", slot).agg(F.count("r").alias("n"))
-    n = F.sum("n").over(Window.partitionBy("run_id"))  # at most as many rows as slots
-    longest = counts.groupBy("run_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    # the driver has a row for each long run
+    sizes = rows.groupBy("run_id").agg(F.count("r").alias("n")).filter(F.col("n") > chunk).collect()
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-paths // block) - 1))).alias("block")
-    tasks = 4 * trades.sparkSession.sparkContext.defaultParallelism
-    if longest <= chunk:
-        ends = _local(rows, blocks, tasks, paths, seed, block, risk, ruin, steps)
-    else:
-        # chunks of half the bound on average, so that chance leaves none above it
-        of = counts.select(F.col("run_id").alias("of_run"), F.col("slot").alias("of_slot"), n.alias("n")).withColumn("chunks", F.when(F.col("n") <= chunk, 1).otherwise(F.ceil(2 * F.col("n") / chunk)))
-        named = rows.withColumn("slot", slot).join(of, F.col("run_id").eqNullSafe(F.col("of_run")) & (F.col("slot") == F.col("of_slot"))).drop("of_run", "of_slot", "slot")
-        ends = _local(named.filter("chunks = 1"), blocks, tasks, paths, seed, block, risk, ruin, steps)
-        long = named.filter("chunks > 1")
-        values = long.filter("r is not null").groupBy("run_id", "r").agg(F.count("*").alias("times"))
-        few = values.groupBy(F.col("run_id").alias("of_run")).agg((F.count("*") <= TABLE * chunk).alias("few"))
-        sorts = {r.few for r in few.select("few").distinct().collect()}
-        of = lambda df, test: df.join(few.filter(test), F.col("run_id").eqNullSafe(F.col("of_run")), "left_semi")
-        if True in sorts:
-            ends = ends.unionByName(_tabled(values if sorts == {True} else of(values, "few"), blocks, tasks, paths, seed, block, risk, ruin))
-        if False in sorts:
-            ends = ends.unionByName(_spread(long if sorts == {False} else of(long, "not few"), blocks, tasks, paths, seed, block, risk, ruin, steps))
-    return ends.groupBy("run_id").agg(F.percentile("total", 0.05).alias("p05"), F.percentile("total", 0.95).alias("p95"), F.avg(F.col("ruined").cast("int")).alias("ruin"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    if not sizes:
+        return _local(rows, blocks, tasks, paths, seed, block, risk, ruin, steps)
+
+    def known(df: DataFrame, runs: list[tuple], schema: str, how: str) -> DataFrame:
+        return df.join(F.broadcast(spark.createDataFrame(runs, f"of_run string, {schema}")), F.col("run_id").eqNullSafe(F.col("of_run")), how).drop("of_run")
+
+    # chunks of half the bound on average, so that chance leaves none above it
+    long = {s.run_id: (s.n, -(-2 * s.n // chunk)) for s in sizes}
+    different = known(rows, [(k, True) for k in long], "long boolean", "inner").groupBy("run_id").agg(F.approx_count_distinct("r").alias("k")).collect()
+    few = {d.run_id for d in different if d.k <= TABLE * chunk and d.k * TRADES <= long[d.run_id][0]}
+    named = known(rows, [(k, c, k in few) for k, (_, c) in long.items()], "chunks bigint, few boolean", "left")
+    ends = _local(named.filter("chunks is null"), blocks, tasks, paths, seed, block, risk, ruin, steps)
+    if few:
+        values = named.filter("few and r is not null").groupBy("run_id", "r").agg(F.count("*").alias("times"))
+        ends = ends.unionByName(_tabled(values, blocks, tasks, paths, seed, block, risk, ruin))
+    if len(few) < len(long):
+        ends = ends.unionByName(_spread(named.filter("not few and r is not null"), tasks, paths, seed, block, risk, ruin, steps, totals))
+    return ends
 
 
 def _values() -> Column:
@@ -202,43 +252,98 @@ def _tabled(values: DataFrame, blocks: Column, tasks: int, paths: int, seed: int
     return held.repartition(tasks, "run_id", "block").mapInArrow(run, "run_id string, total double, ruined boolean")
 
 
-def _spread(rows: DataFrame, blocks: Column, tasks: int, paths: int, seed: int, block: int, risk: float, ruin: float, steps: int) -> DataFrame:
-    """run_id, total, ruined of every path, for runs of several chunks."""
-    place = F.pmod("h", F.col("chunks")).alias("chunk")
-    held = rows.groupBy("run_id", place).agg(_values()).filter(F.size("rs") > 0)
-    sizes = rows.groupBy("run_id", place).agg(F.count("r").alias("n")).filter("n > 0").groupBy(F.col("run_id").alias("of_run")).agg(F.array_sort(F.collect_list(F.struct("chunk", "n"))).alias("sizes"))
-    # a number a chunk: 2 * 16 bytes for each 262,144 trades of long runs
-    met = held.join(F.broadcast(sizes), F.col("run_id").eqNullSafe(F.col("of_run")))
-    met = met.select("run_id", "rs", (F.array_position(F.col("sizes.chunk"), F.col("chunk")) - 1).cast("int").alias("at"), F.col("sizes.n").alias("sizes"), blocks)
-    part_schema = pa.schema([("run_id", pa.string()), ("block", pa.int32()), ("part", pa.int32()), ("at", pa.int32()), ("counts", pa.binary()), ("drawn", pa.binary())])
-
-    def chunk_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(rows: DataFrame, tasks: int, paths: int, seed: int, block: int, risk: float, ruin: float, steps: int, totals: bool) -> DataFrame:
+    """run_id, total, ruined of every path, for runs of several chunks. Without totals, total is that of the steps walked."""
+    held = _kept(rows.groupBy("run_id", F.pmod("h", F.col("chunks")).alias("chunk")).agg(_values()))
+    sizes: dict[str | None, dict[int, int]] = {}
+    for found in held.select("run_id", "chunk", F.size("rs").alias("n")).orderBy("chunk").collect():  # a number a chunk
+        sizes.setdefault(found.run_id, {})[found.chunk] = found.n
+    each = {run: np.array(list(of.values())) for run, of in sizes.items()}
+    place = {(run, chunk): at for run, of in sizes.items() for at, chunk in enumerate(of)}
+    # a chunk goes to as many tasks as keep them all busy, with so many blocks of paths
+    blocks = -(-paths // block)
+    span = min(blocks, max(1, blocks * len(place) // (4 * tasks)))
+    met = held.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1), F.lit(span)))).repartition(2 * tasks, "run_id", "chunk", "first")
+    drawn_schema = pa.schema([("run_id", pa.string()), ("block", pa.int32()), ("part", pa.int32()), ("at", pa.int32()), ("paths", pa.binary()), ("counts", pa.binary()), ("drawn", pa.binary())])
+    sums_schema = pa.schema([("run_id", pa.string()), ("block", pa.int32()), ("at", pa.int32()), ("sums", pa.binary())])
+
+    def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Name, place and multiples of chunks, and of each of their blocks its number and how far its paths were walked."""
         for batch in batches:
-            for run_id, rs, at, sizes, k in zip(*(batch.column(i) for i in range(5))):
-                values, each, name, place, number = _floats(rs), sizes.values.to_numpy(), run_id.as_py(), at.as_py(), k.as_py()
-                total, many = int(each.sum()), min(block, paths - number * block)
-                for part, done in enumerate(range(0, total, steps)):
-                    key = [seed, number, _ABOVE + part, *(name or "").encode()]
-                    counts = shares(key, each, many, min(steps, total - done))[:, place]
-                    drawn = own_draws(key, place, values, int(counts.sum()))
-                    cells = [name, number, part, place, counts.astype(np.int32).tobytes(), drawn.tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, part_schema)], schema=part_schema)
+            for run_id, chunk, rs, first, *walked in zip(*(batch.column(i) for i in range(batch.num_columns))):
+                name, numbers = run_id.as_py(), range(first.as_py(), min(first.as_py() + span, blocks))
+                far = walked[0].values.to_numpy() if walked else np.full(paths, -1)
+                yield name, place[name, chunk.as_py()], _floats(rs), [(k, far[k * block : (k + 1) * block]) for k in numbers]
+
+    def draws_of(begin: int, end: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for name, at, values, of_blocks in of_chunks(batches):
+                some = parts_of(int(each[name].sum()), steps)[begin:end]
+                for number, walked in of_blocks:
+                    alive = walked < 0
+                    for part, (_, length) in enumerate(some if alive.any() else (), begin):
+                        key = [seed, number, _ABOVE + part, *(name or "").encode()]
+                        counts = shares(key, each[name], len(alive), length)[:, at]
+                        drawn = own_draws(key, at, values, int(counts.sum()))[np.repeat(alive, counts)]
+                        cells = [name, number, part, at, np.flatnonzero(alive).astype(np.int32).tobytes(), counts[alive].astype(np.int32).tobytes(), drawn.tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, drawn_schema)], schema=drawn_schema)
+
+        return run
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         name, number, part = (k.as_py() for k in key)
         table = table.sort_by("at")
         counts, values = ([np.frombuffer(c.as_py(), kind) for c in table.column(of)] for of, kind in (("counts", np.int32), ("drawn", np.float64)))
         rows = shuffled([seed, number, _ABOVE + part, *(name or "").encode()], counts, values)
-        many = len(rows)
-        of = [pa.array([name] * many, pa.string()), pa.array([part] * many, pa.int32()), pa.array(np.arange(many, dtype=np.int64) + number * block)]
-        return pa.Table.from_arrays([*of, *(pa.array(c) for c in summary(rows, risk, ruin))], names=["run_id", "part", "path", "total", "grown", "high", "low", "fell"])
-
-    drawn = met.repartition(tasks, "run_id", "at", "block").mapInArrow(chunk_draws, "run_id string, block int, part int, at int, counts binary, drawn binary")
-    parts = drawn.groupBy("run_id", "block", "part").applyInArrow(meet, "run_id string, part int, path bigint, total double, grown double, high double, low double, fell boolean")
+        n = int(each[name].sum())
+        at, length = parts_of(n, steps)[part]
+        of = [pa.array([name] * len(rows), pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array(np.frombuffer(table.column("paths")[0].as_py(), np.int32).astype(np.int64) + number * block)]
+        walked = [pa.array(np.full(len(rows), k, np.int64)) for k in (at + length, n - at - length)]
+        return pa.Table.from_arrays([*of, *walked, *(pa.array(c) for c in summary(rows, risk, ruin))], names=["run_id", "part", "path", "walked", "ahead", "total", "grown", "high", "low", "fell"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, at, values, of_blocks in of_chunks(batches):
+            keys = [[seed, k, (1 << 32) - 1, *(name or "").encode()] for k, _ in of_blocks]
+            n = each[name].sum()
+            counts = [np.random.default_rng(key).multinomial(n - np.abs(walked), each[name] / n)[:, at] for key, (_, walked) in zip(keys, of_blocks)]
+            sums = own_sums(values, counts, [np.random.default_rng([*key, _ABOVE + at]) for key in keys])
+            of = [[name] * len(sums), [k for k, _ in of_blocks], [at] * len(sums), [x.tobytes() for x in sums]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(of, sums_schema)], schema=sums_schema)
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        sums = np.sum([np.frombuffer(c.as_py(), np.float64) for c in table.sort_by("at").column("sums")], axis=0)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(sums), pa.string()), pa.array(np.arange(len(sums), dtype=np.int64) + key[1].as_py() * block), pa.array(sums)], names=["of_run", "of_path", "rest"])
+
+    def with_walked(ends: DataFrame) -> DataFrame:
+        """Chunks and how far the paths of their run were walked, below zero if they are not ruined."""
+        far = F.when(F.col("ruined"), F.col("walked")).otherwise(-F.col("walked"))
+        of = ends.groupBy(F.col("run_id").alias("of_run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", far.alias("far")))), lambda x: x["far"]).alias("far"))
+        return met.join(F.broadcast(of), F.col("run_id").eqNullSafe(F.col("of_run"))).drop("of_run")  # a number a path of a long run
+
+    parts, ends, done = None, None, 0
+    while ends is None or not ends.filter("not ruined and ahead > 0").isEmpty():
+        upto = done + max(1, done // 2)
+        drawn = (met if ends is None else with_walked(ends)).mapInArrow(draws_of(done, upto), "run_id string, block int, part int, at int, paths binary, counts binary, drawn binary")
+        walked = _kept(drawn.groupBy("run_id", "block", "part").applyInArrow(meet, "run_id string, part int, path bigint, walked bigint, ahead bigint, total double, grown double, high double, low double, fell boolean"))
+        parts, done = walked if parts is None else parts.unionByName(walked), upto
+        ends = _composed(parts, ruin)
+    if not totals:
+        return ends.select("run_id", "total", "ruined")
+    sums = with_walked(ends).mapInArrow(rest, "run_id string, block int, at int, sums binary").groupBy("run_id", "block").applyInArrow(added, "of_run string, of_path bigint, rest double")
+    joined = ends.join(sums, F.col("run_id").eqNullSafe(F.col("of_run")) & (F.col("path") == F.col("of_path")))
+    return joined.select("run_id", (F.col("total") + F.col("rest")).alias("total"), "ruined")
+
+
+def _composed(parts: DataFrame, ruin: float) -> DataFrame:
+    """run_id, path, walked, ahead, total, ruined: the parts of each path after each other."""
     before = Window.partitionBy("run_id", "path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("wealth", F.coalesce(F.product("grown").over(before), F.lit(1.0)))
     parts = parts.withColumn("peak", F.greatest(F.lit(1.0), F.max(F.col("wealth") * F.col("high")).over(before)))
     fell = F.col("fell") | (F.col("wealth") * F.col("low") <= (1.0 - ruin) * F.col("peak"))
     upto = F.sum("total").over(before.rowsBetween(Window.unboundedPreceding, 0))  # in order of parts, so that sums are the same each time
-    ends = parts.select("run_id", "path", "part", upto.alias("upto"), fell.alias("fell"))
-    return ends.groupBy("run_id", "path").agg(F.max_by("upto", "part").alias("total"), F.max("fell").alias("ruined")).select("run_id", "total", "ruined")
+    ends = parts.select("run_id", "path", "part", "walked", "ahead", upto.alias("upto"), fell.alias("fell"))
+    return ends.groupBy("run_id", "path").agg(F.max("walked").alias("walked"), F.min("ahead").alias("ahead"), F.max_by("upto", "part").alias("total"), F.max("fell").alias("ruined"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if _checkpoints(df) else df.persist()

@@ -117,3 +117,50 @@ def test_a_path_that_no_ruin_ends_is_walked_to_its_end():
     assert total.tolist() == [1000.0] * 3 and not ruined.any()
     total, ruined = resampling.tabled_paths(np.array([-1.0]), np.array([1000]), 3, np.random.default_rng(1), step=64)
     assert total.tolist() == [-1000.0] * 3 and ruined.all()
+
+
+def written(spark):
+    """Bytes of shuffle that the session wrote so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_steps_behind_a_ruin_are_not_shuffled(spark):
+    """A long run of different multiples: the draws of the steps that are walked travel, of the others sums alone."""
+    rows = "cast(null as string) as run_id, id as trade_id, (id * 7919 % 60000) / 1200D - 25 as r"
+    frame, before = spark.range(60_000).selectExpr(*rows.split(", ")), written(spark)
+    got = resampling.monte_carlo(frame, paths=200, chunk=10_000).first()
+    assert written(spark) - before < 20_000_000  # of 96 MB of draws
+    rs = np.arange(60_000) / 1200 - 25
+    spread = rs.std() * len(rs) ** 0.5
+    assert got.p05 == pytest.approx(rs.sum() - 1.645 * spread, abs=0.35 * spread) and got.p95 == pytest.approx(rs.sum() + 1.645 * spread, abs=0.35 * spread)
+    assert got.run_id is None and got.ruin == 1.0
+
+
+def test_paths_ruined_in_any_part_end_as_those_drawn_one_by_one(spark):
+    rng = random.Random(3)
+    rows = [("some", i, round(rng.uniform(-7, 8), 3), "x") for i in range(2000)] + [("all", i, round(rng.uniform(-25, 24), 3), "x") for i in range(700)] + [("none", i, 1 + i / 1000, "x") for i in range(500)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.run_id: r for r in resampling.monte_carlo(frame, paths=2000, chunk=150, steps=32).collect()}
+    for run, low, high in (("some", 0.3, 0.95), ("all", 1, 1), ("none", 0, 0)):
+        rs = np.array([r for of, _, r, _ in rows if of == run])
+        total, ruined = resampling.resampled_paths(rs, 4000, np.random.default_rng(8))
+        assert low <= ruined.mean() <= high and got[run].ruin == pytest.approx(ruined.mean(), abs=0.05)
+        for q, of in ((0.05, got[run].p05), (0.95, got[run].p95)):
+            assert of == pytest.approx(np.quantile(total, q), abs=0.15 * total.std())
+    again = frame.repartition(5)
+    assert {r.run_id: r for r in resampling.monte_carlo(again, paths=2000, chunk=150, steps=32).collect()} == got
+    assert {r.run_id: r.ruin for r in resampling.risk_of_ruin(again, paths=2000, chunk=150, steps=32).collect()} == {k: r.ruin for k, r in got.items()}
+
+
+@pytest.mark.parametrize("n", [1, 3, 256, 700])
+def test_sums_are_of_as_many_draws(n):
+    counts = [np.array([0, 1, 2, 3, 1001]), np.zeros(4, int)]
+    rngs = lambda: [np.random.default_rng(k) for k in range(2)]
+    assert [x.tolist() for x in resampling.own_sums(np.ones(n), counts, rngs())] == [x.tolist() for x in counts]
+    values = np.random.default_rng(n).uniform(-1, 9, n)
+    many = np.full(4000, 333)
+    got = resampling.own_sums(values, [many], rngs())[0]
+    assert got.mean() == pytest.approx(333 * values.mean(), abs=0.08 * 333**0.5 * values.std() + 1e-9) and got.std() == pytest.approx(333**0.5 * values.std(), rel=0.05, abs=1e-9)
