@@ -94,3 +94,19 @@ def test_series_of_timeframes():
 
 def test_the_shared_folder_is_the_session_s(spark):
     assert shared_dir(spark).startswith("file:") and json.dumps(shared_dir(spark)) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_functions_of_numbers_of_any_size_are_those_of_the_sql(spark, tmp_path):
+    """Exponentials and rounding to the last digit, and signs of zeros, of small, large, negative and absent values."""
+    duckdb = pytest.importorskip("duckdb")
+    from tallow.queries import ORACLES, QUERIES
+
+    values = [None, 0.0, -1.5, 0.25, 29.27, 56428.62916861274, 0.0015196427413980455, 851.371609622, 1e-9, 72339.94362880627, 8e5, 1e9] + [i * 13.37 for i in range(4000)] + [-i * 1.01 for i in range(200)]
+    events = spark.createDataFrame(list(enumerate(values)), "event_id bigint, value double")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(db.execute(ORACLES["fun_math"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["fun_math"](spark, str(tmp_path)).collect())
+    text = lambda rows: [[str(c).replace("-nan", "nan") for c in row] for row in rows]
+    assert [r for r in zip(text(got), text(want)) if r[0] != r[1]] == []
