@@ -29,6 +29,8 @@ CHUNK = 1 << 18
 TABLE = 4
 #: A table that goes to every block of paths is worth it from so many trades a multiple.
 TRADES = 16
+#: Trades of a run of one chunk for which it goes to one more task.
+SHARE = 1 << 14
 #: Most steps of a part: with 250 paths a block, 8 MB of draws.
 STEPS = 4096
 #: Steps of the first part; each has twice those of the one before.
@@ -190,7 +192,7 @@ def _ends(trades: DataFrame, paths: int, seed: int, block: int, risk: float, rui
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-paths // block) - 1))).alias("block")
     tasks = 4 * spark.sparkContext.defaultParallelism
     if not sizes:
-        return _local(rows, blocks, tasks, paths, seed, block, risk, ruin, steps)
+        return _local(rows, tasks, paths, seed, block, risk, ruin, steps)
 
     def known(df: DataFrame, runs: list[tuple], schema: str, how: str) -> DataFrame:
         return df.join(F.broadcast(spark.createDataFrame(runs, f"of_run string, {schema}")), F.col("run_id").eqNullSafe(F.col("of_run")), how).drop("of_run")
@@ -200,7 +202,7 @@ def _ends(trades: DataFrame, paths: int, seed: int, block: int, risk: float, rui
     different = known(rows, [(k, True) for k in long], "long boolean", "inner").groupBy("run_id").agg(F.approx_count_distinct("r").alias("k")).collect()
     few = {d.run_id for d in different if d.k <= TABLE * chunk and d.k * TRADES <= long[d.run_id][0]}
     named = known(rows, [(k, c, k in few) for k, (_, c) in long.items()], "chunks bigint, few boolean", "left")
-    ends = _local(named.filter("chunks is null"), blocks, tasks, paths, seed, block, risk, ruin, steps)
+    ends = _local(named.filter("chunks is null"), tasks, paths, seed, block, risk, ruin, steps)
     if few:
         values = named.filter("few and r is not null").groupBy("run_id", "r").agg(F.count("*").alias("times"))
         ends = ends.unionByName(_tabled(values, blocks, tasks, paths, seed, block, risk, ruin))
@@ -219,20 +221,25 @@ def _floats(cell) -> np.ndarray:
     return np.asarray(cell.values.to_numpy(zero_copy_only=False), float)
 
 
-def _local(rows: DataFrame, blocks: Column, tasks: int, paths: int, seed: int, block: int, risk: float, ruin: float, steps: int) -> DataFrame:
-    """run_id, total, ruined of every path, for runs of one chunk."""
+def _local(rows: DataFrame, tasks: int, paths: int, seed: int, block: int, risk: float, ruin: float, steps: int) -> DataFrame:
+    """run_id, total, ruined of every path, for runs of one chunk. A run goes to a task for each so many of its trades, with a share of the blocks."""
     schema = pa.schema([("run_id", pa.string()), ("total", pa.float64()), ("ruined", pa.bool_())])
+    blocks = -(-paths // block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run_id, rs, k in zip(*(batch.column(i) for i in range(3))):
-                name, many = run_id.as_py(), min(block, paths - k.as_py() * block)
-                rng = np.random.default_rng([seed, k.as_py(), *(name or "").encode()])
-                total, ruined = resampled_paths(_floats(rs), many, rng, risk, ruin, steps)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * many, pa.string()), pa.array(total), pa.array(ruined)], schema=schema)
+            for run_id, rs, span, first in zip(*(batch.column(i) for i in range(4))):
+                name, values = run_id.as_py(), _floats(rs)
+                for k in range(first.as_py(), min(first.as_py() + span.as_py(), blocks)):
+                    many = min(block, paths - k * block)
+                    rng = np.random.default_rng([seed, k, *(name or "").encode()])
+                    total, ruined = resampled_paths(values, many, rng, risk, ruin, steps)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * many, pa.string()), pa.array(total), pa.array(ruined)], schema=schema)
 
     held = rows.groupBy("run_id").agg(_values())
-    return held.select("run_id", "rs", blocks).repartition(tasks, "run_id", "block").mapInArrow(run, "run_id string, total double, ruined boolean")
+    held = held.withColumn("span", F.greatest(F.lit(1), F.floor(F.lit(blocks * SHARE) / F.greatest(F.size("rs"), F.lit(SHARE)))).cast("int"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1), F.col("span"))).alias("first")
+    return held.select("run_id", "rs", "span", first).repartition(tasks, "run_id", "first").mapInArrow(run, "run_id string, total double, ruined boolean")
 
 
 def _tabled(values: DataFrame, blocks: Column, tasks: int, paths: int, seed: int, block: int, risk: float, ruin: float) -> DataFrame:
@@ -262,7 +269,7 @@ def _spread(rows: DataFrame, tasks: int, paths: int, seed: int, block: int, risk
     place = {(run, chunk): at for run, of in sizes.items() for at, chunk in enumerate(of)}
     # a chunk goes to as many tasks as keep them all busy, with so many blocks of paths
     blocks = -(-paths // block)
-    span = min(blocks, max(1, blocks * len(place) // (4 * tasks)))
+    span = min(blocks, max(1, blocks * len(place) // (2 * tasks)))
     met = held.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1), F.lit(span)))).repartition(2 * tasks, "run_id", "chunk", "first")
     drawn_schema = pa.schema([("run_id", pa.string()), ("block", pa.int32()), ("part", pa.int32()), ("at", pa.int32()), ("paths", pa.binary()), ("counts", pa.binary()), ("drawn", pa.binary())])
     sums_schema = pa.schema([("run_id", pa.string()), ("block", pa.int32()), ("at", pa.int32()), ("sums", pa.binary())])

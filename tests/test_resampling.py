@@ -164,3 +164,9 @@ def test_sums_are_of_as_many_draws(n):
     many = np.full(4000, 333)
     got = resampling.own_sums(values, [many], rngs())[0]
     assert got.mean() == pytest.approx(333 * values.mean(), abs=0.08 * 333**0.5 * values.std() + 1e-9) and got.std() == pytest.approx(333**0.5 * values.std(), rel=0.05, abs=1e-9)
+
+
+def test_a_run_of_one_chunk_does_not_travel_with_every_block(spark):
+    frame, before = spark.range(60_000).selectExpr("'a' as run_id", "id as trade_id", "(id * 7919 % 60000) / 1200D - 25 as r"), written(spark)
+    got = resampling.monte_carlo(frame, paths=400, block=10).first()
+    assert written(spark) - before < 8_000_000 and got.ruin == 1.0  # 40 blocks, 480 KB of multiples
